@@ -25,13 +25,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same sets as literal character strings, for btrim (no regex scan).
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+UNICODE_SPACE_CHARS = PY_SPACE_CHARS.replace("\x1c\x1d\x1e\x1f", "")
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove Unicode white space at both ends (F2)."""
-    return F.regexp_replace(_col(c), f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def unicode_trim(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{UNICODE_SPACE_CLASS}+|{UNICODE_SPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(UNICODE_SPACE_CHARS))
 
 
 def sanitize_name(c) -> Column:
@@ -100,10 +106,12 @@ def content_hash(c) -> Column:
 
 
 def strip_fence(c) -> Column:
-    """strip; drop a leading ```json and a trailing ```; strip again."""
-    s = py_strip(c)
-    s = F.when(s.startswith("```json"), F.substring(s, 8, 1 << 30)).otherwise(s)
-    s = F.when(s.endswith("```"), F.left(s, F.length(s) - 3)).otherwise(s)
+    """strip; drop a leading ```json and a trailing ```; strip again.
+
+    Written as anchored replacements (``\\A``/``\\z``) so each input is
+    referenced once and the expression stays linear in size."""
+    s = F.regexp_replace(py_strip(c), r"\A```json", "")
+    s = F.regexp_replace(s, r"```\z", "")
     return py_strip(s)
 
 

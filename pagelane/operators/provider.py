@@ -105,24 +105,31 @@ KEYWORDS = [
     ("bank_statement", ["bank", "account", "statement", "transaction", "balance", "deposit", "withdrawal"]),
     ("insurance_form", ["insurance", "policy", "insured", "premium", "coverage"]),
     ("accident_claim", ["accident", "incident", "collision", "vehicle", "injury", "claim"]),
-    ("invoice", ["invoice", "bill", "receipt", "amount due", "subtotal", "tax"]),
+    ("invoice", ["invoice", "bill", "receipt", "subtotal", "tax"]),
 ]
 
 
-def keyword_scores(text: Column) -> dict:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    scores = {}
-    for cls, words in KEYWORDS:
-        pattern = r"\b(?:" + "|".join(words) + r")\b"
-        scores[cls] = F.size(F.regexp_extract_all(low, F.lit(pattern), 0))
-    return scores
+def _in_list(words):
+    return lambda t: t.isin(*words)
+
+
+def keyword_scores(tokens: Column) -> Column:
+    """ARRAY<INT> of hits per class, in ``KEYWORDS`` order: lower-cased word
+    tokens (runs of letters, digits, ``_``) found in the class's list."""
+    return F.array(*[F.size(F.filter(tokens, _in_list(words))) for _, words in KEYWORDS])
 
 
 def keyword_classify(text: Column) -> Column:
-    """Class with the most keyword hits; none -> ``other``."""
-    scores = keyword_scores(text)
-    best = F.greatest(*scores.values())
-    out = F.lit("other")
-    for cls, _ in reversed(KEYWORDS):
-        out = F.when((scores[cls] == best) & (best > 0), F.lit(cls)).otherwise(out)
-    return out
+    """Class with the most keyword hits (ties: earlier class); none ->
+    ``other``. Tokens and scores are bound once through one-element
+    ``transform`` calls, so each is computed a single time per row."""
+    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    names = F.array(*[F.lit(cls) for cls, _ in KEYWORDS])
+
+    def decide(scores: Column) -> Column:
+        best = F.array_max(scores)
+        return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int"))) \
+            .otherwise(F.lit("other"))
+
+    scored = F.transform(F.array(tokens), keyword_scores)
+    return F.element_at(F.transform(scored, decide), 1)

@@ -108,24 +108,24 @@ def _is_null(x: Column) -> Column:
     return F.is_variant_null(x)
 
 
+def _float_words() -> Column:
+    pairs = [("nan", "NaN"), ("+nan", "NaN"), ("-nan", "NaN"), ("inf", "Infinity"), ("+inf", "Infinity"),
+             ("infinity", "Infinity"), ("+infinity", "Infinity"), ("-inf", "-Infinity"),
+             ("-infinity", "-Infinity")]
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
 def _float_text_value(s: Column) -> Column:
     u = F.lower(F.regexp_replace(s, "_", ""))
-    return (F.when(u.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-            .when(u.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-            .when(u.isin("-inf", "-infinity"), F.lit(float("-inf")))
-            .otherwise(u.try_cast("double")))
+    return F.coalesce(F.try_element_at(_float_words(), u), u).try_cast("double")
 
 
 def _float(x: Column):
     t = _kind(x)
-    numeric = t.isin(*_NUMERIC_TYPES) | t.startswith("DECIMAL")
-    boolean = t == "BOOLEAN"
-    text = unicode_trim(F.when(t == "STRING", F.try_variant_get(x, "$", "string")))
-    text_ok = text.rlike(FLOAT_TEXT)
-    ok = x.isNull() | _is_null(x) | numeric | boolean | F.coalesce(text_ok, F.lit(False))
-    value = (F.when(numeric, F.try_variant_get(x, "$", "double"))
-             .when(boolean, F.try_variant_get(x, "$", "boolean").cast("double"))
-             .when(text_ok, _float_text_value(text)))
+    text = unicode_trim(F.try_variant_get(x, "$", "string"))
+    ok = x.isNull() | F.when(t == "STRING", F.coalesce(text.rlike(FLOAT_TEXT), F.lit(False))) \
+        .otherwise(t.isin(*_NUMERIC_TYPES, "BOOLEAN", "VOID") | t.startswith("DECIMAL"))
+    value = F.when(t == "STRING", _float_text_value(text)).otherwise(F.try_variant_get(x, "$", "double"))
     return ok, value
 
 

@@ -10,15 +10,27 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelane.plans import flows, oracles
+from pagelane.plans import flows, oracles, text_queries
+from pagelane.session import apply_runtime_conf
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "invoice_documents": flows.invoice_documents,
+_REGISTRY: dict[str, tuple] = {
+    "invoice_documents": (flows.invoice_documents, oracles.invoice_documents),
 }
+for _group in (text_queries.QUERIES,):
+    _REGISTRY.update(_group)
 
-ORACLES: dict[str, Callable[[], str]] = {
-    "invoice_documents": oracles.invoice_documents,
-}
+
+def _with_conf(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_runtime_conf(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _with_conf(fn) for name, (fn, _) in _REGISTRY.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build() for name, build in ORACLES.items()}
+    return {name: build() for name, (_, build) in _REGISTRY.items() if build is not None}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelane.operators.assemble import assemble_documents
+from pagelane.operators.balance import spread
 from pagelane.operators.records import parse_responses
 from pagelane.operators.render import render_markdown
 from pagelane.operators.routing import normalize_label
@@ -24,7 +25,8 @@ def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     document; answers are parsed, validated, rendered and assembled.
     Result: ``(c_custkey, n_pages, markdown)``."""
     apply_runtime_conf(spark)
-    pages = classified_pages(responders.invoice_answers(spark, sf_dir))
+    answers = spread(responders.invoice_answers(spark, sf_dir), ["doc_id", "o_orderkey"])
+    pages = classified_pages(answers)
     docs = assemble_documents(pages.select("doc_id", "o_orderkey", "markdown"),
                               doc_col="doc_id", order_col="o_orderkey", text_col="markdown")
     return docs.select(F.col("doc_id").alias("c_custkey"), "n_pages", "markdown")
