@@ -224,12 +224,23 @@ def validate_record(v: Column, schema_type: str):
     return _object_fields(v, SCHEMAS[schema_type], schema_type)
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and evaluate ``fn`` on it (``transform`` over a
+    one-element array). Catalyst substitutes attributes into filters and
+    projections; binding keeps each intermediate a single subtree, so a
+    downstream filter never multiplies the parse work."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def parse_json_strict(text: Column) -> Column:
-    """VARIANT of ``text`` if the whole text is one JSON value, else NULL."""
-    v = F.try_parse_json(text)
+    """VARIANT of ``text`` if the whole text is one JSON value, else NULL.
+
+    ``try_parse_json`` ignores trailing text; the two wrapper parses fail on
+    every trailing remainder (``x``, ``}``, ``]``, ``, {...}``), and together
+    they imply the text itself is one value."""
     whole = (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
              & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
-    return F.when(v.isNotNull() & whole, v)
+    return F.when(whole, F.try_parse_json(text))
 
 
 def select_schema(label: Column) -> Column:
@@ -237,44 +248,75 @@ def select_schema(label: Column) -> Column:
     return F.when(label.isin(*fixed.SCHEMA_TYPES), label).otherwise(F.lit("other"))
 
 
-def parse_responses(df: DataFrame, response_col: str = "response", label_col: str = "document_type",
-                    structured: bool | Column = True) -> DataFrame:
-    """F1-F12 on a frame of model answers.
-
-    Adds ``schema_type``, ``parse_status`` (``ok``, ``empty``, ``disabled``,
-    ``bad_json``, ``bad_schema``), ``record_type`` (the record's own
-    ``document_type``) and one struct column per schema (see
-    ``RECORD_COLUMNS``); only the selected schema's column is filled, and
-    only when the status is ``ok``. The response column is never changed,
-    so fallbacks return the original text (F12).
+PAGE_FIELDS = ["schema_type", "parse_status", "record_type"] + [RECORD_COLUMNS[st] for st in fixed.SCHEMA_TYPES]
+
+
+def page_outputs(resp: Column, label: Column, structured: Column, with_markdown: bool = False) -> Column:
+    """F1-F12 (and G1-G8 with ``with_markdown``) for one page, as one struct.
+
+    Fields: ``schema_type``, ``parse_status`` (``ok``, ``empty``,
+    ``disabled``, ``bad_json``, ``bad_schema``), ``record_type`` (the
+    record's own ``document_type``), one record struct per schema (only the
+    selected one, only when ok) and, optionally, ``markdown`` and
+    ``page_status``. The response is never changed, so fallbacks return the
+    original text (F12).
     """
+    inputs = F.struct(resp.alias("resp"), select_schema(F.coalesce(label, F.lit("other"))).alias("schema_type"),
+                      structured.alias("structured"))
+
+    def cleaned(i):
+        empty = F.coalesce(i["resp"], F.lit("")) == ""
+        return F.struct(i["resp"].alias("resp"), i["schema_type"].alias("schema_type"),
+                        i["structured"].alias("structured"), empty.alias("empty"),
+                        F.when(i["structured"] & ~empty, strip_fence(i["resp"])).alias("clean"))
+
+    def parsed(c):
+        return F.struct(c["resp"].alias("resp"), c["schema_type"].alias("schema_type"),
+                        c["structured"].alias("structured"), c["empty"].alias("empty"),
+                        parse_json_strict(c["clean"]).alias("v"),
+                        F.coalesce(c["clean"].startswith("{"), F.lit(False)).alias("is_object"))
+
+    def status(p):
+        v, st = p["v"], p["schema_type"]
+        checks = {t: validate_record(v, t) for t in fixed.SCHEMA_TYPES}
+        valid = F.lit(False)
+        for t in reversed(fixed.SCHEMA_TYPES):
+            valid = F.when(st == t, checks[t][0]).otherwise(valid)
+        state = (F.when(p["empty"], F.lit("empty"))
+                 .when(~p["structured"], F.lit("disabled"))
+                 .when(v.isNull(), F.lit("bad_json"))
+                 .when(~p["is_object"], F.lit("bad_schema"))
+                 .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
+                 .otherwise(F.lit("bad_schema")))
+        return F.struct(p["resp"].alias("resp"), st.alias("schema_type"), v.alias("v"), state.alias("parse_status"))
+
+    def records(s):
+        v, st, ok = s["v"], s["schema_type"], s["parse_status"] == "ok"
+        dt = _get(v, "document_type")
+        record_type = F.when(ok, F.when(dt.isNull(), st).otherwise(F.try_variant_get(dt, "$", "string")))
+        cols = [s["resp"].alias("resp"), st.alias("schema_type"), s["parse_status"].alias("parse_status"),
+                record_type.alias("record_type")]
+        for t in fixed.SCHEMA_TYPES:
+            cols.append(F.when(ok & (st == t), validate_record(v, t)[1]).alias(RECORD_COLUMNS[t]))
+        return F.struct(*cols)
+
+    out = let(let(let(let(inputs, cleaned), parsed), status), records)
+    if with_markdown:
+        from pagelane.operators.render import render_page
+        out = let(out, render_page)
+    return out
+
+
+def parse_responses(df: DataFrame, response_col: str = "response", label_col: str = "document_type",
+                    structured: bool | Column = True, with_markdown: bool = False) -> DataFrame:
+    """F1-F12 on a frame of model answers: adds the ``PAGE_FIELDS`` columns
+    (and ``markdown``/``page_status`` with ``with_markdown``)."""
     structured_col = structured if isinstance(structured, Column) else F.lit(bool(structured))
-    resp = F.col(response_col)
-    staged = (df
-              .withColumn("schema_type", select_schema(F.coalesce(F.col(label_col), F.lit("other"))))
-              .withColumn("_clean", F.when(structured_col & (F.coalesce(resp, F.lit("")) != ""), strip_fence(resp)))
-              .withColumn("_json", parse_json_strict(F.col("_clean"))))
-    v = F.col("_json")
-    is_object = v.isNotNull() & F.col("_clean").startswith("{")
-    checks = {st: validate_record(v, st) for st in fixed.SCHEMA_TYPES}
-    valid = F.lit(False)
-    for st in reversed(fixed.SCHEMA_TYPES):
-        valid = F.when(F.col("schema_type") == st, checks[st][0]).otherwise(valid)
-    status = (F.when(F.coalesce(resp, F.lit("")) == "", F.lit("empty"))
-              .when(~structured_col, F.lit("disabled"))
-              .when(v.isNull(), F.lit("bad_json"))
-              .when(~is_object, F.lit("bad_schema"))
-              .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
-              .otherwise(F.lit("bad_schema")))
-    out = staged.withColumn("parse_status", status)
-    ok = F.col("parse_status") == "ok"
-    for st in fixed.SCHEMA_TYPES:
-        out = out.withColumn(RECORD_COLUMNS[st],
-                             F.when(ok & (F.col("schema_type") == st), checks[st][1]))
-    record_type = F.lit(None).cast("string")
-    for st in fixed.SCHEMA_TYPES:
-        record_type = F.coalesce(record_type, F.col(RECORD_COLUMNS[st]).getField("document_type"))
-    return out.withColumn("record_type", record_type).drop("_clean", "_json")
+    fields = PAGE_FIELDS + (["markdown", "page_status"] if with_markdown else [])
+    page = page_outputs(F.col(response_col), F.col(label_col), structured_col, with_markdown)
+    return (df.withColumn("_page", page)
+            .select("*", *[F.col("_page")[f].alias(f) for f in fields])
+            .drop("_page"))
 
 
 def union_records(parsed: DataFrame, key_cols) -> DataFrame:
@@ -292,7 +334,7 @@ def union_records(parsed: DataFrame, key_cols) -> DataFrame:
 
 def explode_transactions(parsed: DataFrame, key_cols) -> DataFrame:
     """one row per transaction of each valid statement, in order."""
-    return (parsed.filter(F.col("bank_statement").isNotNull())
+    return (parsed
             .select(*key_cols, F.posexplode("bank_statement.transactions").alias("txn_no", "txn"))
             .select(*key_cols, "txn_no", "txn.*"))
 

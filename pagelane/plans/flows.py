@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pagelane.operators.assemble import assemble_documents
 from pagelane.operators.balance import spread
 from pagelane.operators.records import parse_responses
-from pagelane.operators.render import render_markdown
 from pagelane.operators.routing import normalize_label
 from pagelane.plans import responders
 from pagelane.session import apply_runtime_conf
@@ -17,7 +16,7 @@ from pagelane.session import apply_runtime_conf
 def classified_pages(answers: DataFrame) -> DataFrame:
     """E3 -> F1-F12 -> G1-G8 on a frame with ``class_response`` and ``response``."""
     labelled = answers.withColumn("document_type", normalize_label("class_response"))
-    return render_markdown(parse_responses(labelled, "response", "document_type"))
+    return parse_responses(labelled, "response", "document_type", with_markdown=True)
 
 
 def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
