@@ -10,13 +10,13 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelane.plans import flows, oracles, record_queries, text_queries
+from pagelane.plans import flows, oracles, record_queries, telemetry_queries, text_queries
 from pagelane.session import apply_runtime_conf
 
 _REGISTRY: dict[str, tuple] = {
     "invoice_documents": (flows.invoice_documents, oracles.invoice_documents),
 }
-for _group in (text_queries.QUERIES, record_queries.QUERIES):
+for _group in (text_queries.QUERIES, record_queries.QUERIES, telemetry_queries.QUERIES):
     _REGISTRY.update(_group)
 
 
