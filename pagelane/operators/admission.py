@@ -46,3 +46,22 @@ def admit_requested(requested: DataFrame, listing: DataFrame, name_col: str = "n
 def quarantine(admitted: DataFrame):
     """``(accepted, rejected)``; rejects keep their reason, nothing is dropped."""
     return admitted.filter(F.col("is_valid")), admitted.filter(~F.col("is_valid"))
+
+
+def admit_folder(spark, folder: str, glob: str | None = None) -> DataFrame:
+    """B1-B6 over a folder without loading oversized files.
+
+    Two scans of the same listing: files above the limit are judged from
+    metadata alone (``content`` is pruned from that scan), and only files
+    within the limit are read, behind a ``length`` filter that the
+    ``binaryFile`` source applies before loading bytes.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(folder)
+    big = (files.filter(F.col("length") > fixed.MAX_UPLOAD_BYTES)
+           .select("path", "modificationTime", "length",
+                   F.lit(False).alias("is_valid"), F.lit(fixed.MSG_TOO_LARGE).alias("reason")))
+    small = admit(files.filter(F.col("length") <= fixed.MAX_UPLOAD_BYTES)).drop("content")
+    return small.unionByName(big)
