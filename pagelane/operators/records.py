@@ -120,8 +120,10 @@ def _float_text_value(s: Column) -> Column:
     return F.coalesce(F.try_element_at(_float_words(), u), u).try_cast("double")
 
 
-def _float(x: Column):
-    t = _kind(x)
+# Each rule takes the field value ``x`` (VARIANT, NULL when the key is
+# missing) and its type name ``t`` (``schema_of_variant``), both bound once.
+
+def _float(x: Column, t: Column):
     text = unicode_trim(F.try_variant_get(x, "$", "string"))
     ok = x.isNull() | F.when(t == "STRING", F.coalesce(text.rlike(FLOAT_TEXT), F.lit(False))) \
         .otherwise(t.isin(*_NUMERIC_TYPES, "BOOLEAN", "VOID") | t.startswith("DECIMAL"))
@@ -129,18 +131,17 @@ def _float(x: Column):
     return ok, value
 
 
-def _str(x: Column):
-    is_str = _kind(x) == "STRING"
-    ok = x.isNull() | _is_null(x) | F.coalesce(is_str, F.lit(False))
-    return ok, F.when(is_str, F.try_variant_get(x, "$", "string"))
+def _str(x: Column, t: Column):
+    ok = x.isNull() | t.isin("STRING", "VOID")
+    return ok, F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
 
 
-def _enum(x: Column, members, missing_value, null_ok: bool):
-    s = F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+def _enum(x: Column, t: Column, members, missing_value, null_ok: bool):
+    s = F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
     member = F.coalesce(s.isin(*members), F.lit(False))
     ok = x.isNull() | member
     if null_ok:
-        ok = ok | _is_null(x)
+        ok = ok | (t == "VOID")
     value = F.when(x.isNull(), F.lit(missing_value)).when(member, s)
     return ok, value
 
@@ -149,79 +150,105 @@ def _array(x: Column) -> Column:
     return F.try_variant_get(x, "$", "array<variant>")
 
 
-def _elements_ok(arr: Column, pred) -> Column:
+def _all(arr: Column, pred) -> Column:
     return F.coalesce(F.forall(arr, pred), F.lit(False))
 
 
-def _strlist(x: Column):
+def _strlist(x: Column, t: Column):
     arr = _array(x)
-    ok = x.isNull() | _is_null(x) | _elements_ok(arr, lambda e: F.coalesce(_kind(e) == "STRING", F.lit(False)))
+    ok = x.isNull() | (t == "VOID") | _all(arr, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
     value = (F.when(x.isNull(), F.array().cast("array<string>"))
              .otherwise(F.transform(arr, lambda e: F.try_variant_get(e, "$", "string"))))
     return ok, value
 
 
-def _floatlist(x: Column):
-    arr = _array(x)
-    ok = x.isNull() | _is_null(x) | _elements_ok(arr, lambda e: e.isNotNull() & ~_is_null(e) & _float(e)[0])
-    value = (F.when(x.isNull(), F.array().cast("array<double>"))
-             .otherwise(F.transform(arr, lambda e: _float(e)[1])))
-    return ok, value
+def _float_element(e: Column) -> Column:
+    return let(F.struct(e.alias("x"), F.schema_of_variant(e).alias("t")),
+               lambda xt: F.struct((xt["x"].isNotNull() & (xt["t"] != "VOID") & _float(xt["x"], xt["t"])[0]).alias("ok"),
+                                   _float(xt["x"], xt["t"])[1].alias("v")))
+
+
+def _floatlist(x: Column, t: Column):
+    checked = F.transform(_array(x), _float_element)
+
+    def from_checked(c):
+        ok = x.isNull() | (t == "VOID") | _all(c, lambda s: s["ok"])
+        value = (F.when(x.isNull(), F.array().cast("array<double>"))
+                 .otherwise(F.transform(c, lambda s: s["v"])))
+        return F.struct(ok.alias("ok"), value.alias("v"))
 
+    out = let(checked, from_checked)
+    return out["ok"], out["v"]
 
-def _dict(x: Column):
-    is_obj = F.coalesce(_kind(x).startswith("OBJECT"), F.lit(False))
-    ok = x.isNull() | _is_null(x) | is_obj
+
+def _dict(x: Column, t: Column):
+    is_obj = F.coalesce(t.startswith("OBJECT"), F.lit(False))
+    ok = x.isNull() | (t == "VOID") | is_obj
     value = F.when(x.isNull(), F.parse_json(F.lit("{}"))).when(is_obj, x)
     return ok, value
 
 
-def _object_fields(v: Column, fields, own_type: str | None):
-    oks, values = [], []
-    for name, kind in fields:
-        x = _get(v, name)
-        if kind == "str":
-            ok, val = _str(x)
-        elif kind == "float":
-            ok, val = _float(x)
-        elif kind == "doctype":
-            ok, val = _enum(x, fixed.DOCUMENT_TYPES, own_type, null_ok=False)
-        elif kind == "txtype":
-            ok, val = _enum(x, fixed.TRANSACTION_TYPES, None, null_ok=True)
-        elif kind == "strlist":
-            ok, val = _strlist(x)
-        elif kind == "floatlist":
-            ok, val = _floatlist(x)
-        elif kind == "dict":
-            ok, val = _dict(x)
-        elif kind == "txlist":
-            ok, val = _txlist(x)
-        else:  # pragma: no cover - declarative table above is closed
-            raise ValueError(kind)
-        oks.append(ok)
-        values.append(val.cast(_SPARK_TYPES[kind]).alias(name))
-    all_ok = oks[0]
-    for ok in oks[1:]:
-        all_ok = all_ok & ok
-    return all_ok, F.struct(*values)
-
-
-def _txlist(x: Column):
-    arr = _array(x)
+def _txlist(x: Column, t: Column):
+    def element(e):
+        is_obj = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
+        checked = object_check(e, TRANSACTION_FIELDS, None)
+        return F.struct((is_obj & checked["ok"]).alias("ok"), checked["rec"].alias("v"))
 
-    def element_ok(e):
-        is_obj = F.coalesce(_kind(e).startswith("OBJECT"), F.lit(False))
-        return is_obj & _object_fields(e, TRANSACTION_FIELDS, None)[0]
+    def from_checked(c):
+        ok = x.isNull() | _all(c, lambda s: s["ok"])
+        value = (F.when(x.isNull(), F.array().cast(_SPARK_TYPES["txlist"]))
+                 .otherwise(F.transform(c, lambda s: s["v"])))
+        return F.struct(ok.alias("ok"), value.alias("v"))
+
+    out = let(F.transform(_array(x), element), from_checked)
+    return out["ok"], out["v"]
+
+
+def _rule(kind: str, own_type):
+    if kind == "str":
+        return _str
+    if kind == "float":
+        return _float
+    if kind == "doctype":
+        return lambda x, t: _enum(x, t, fixed.DOCUMENT_TYPES, own_type, null_ok=False)
+    if kind == "txtype":
+        return lambda x, t: _enum(x, t, fixed.TRANSACTION_TYPES, None, null_ok=True)
+    return {"strlist": _strlist, "floatlist": _floatlist, "dict": _dict, "txlist": _txlist}[kind]
 
-    ok = x.isNull() | _elements_ok(arr, element_ok)
-    value = (F.when(x.isNull(), F.array().cast(_SPARK_TYPES["txlist"]))
-             .otherwise(F.transform(arr, lambda e: _object_fields(e, TRANSACTION_FIELDS, None)[1])))
-    return ok, value
+
+def field_check(v: Column, name: str, kind: str, own_type=None) -> Column:
+    """``struct(ok, v)`` of one field: the key is looked up once and its
+    type computed once, then the acceptance rule and the typed value are
+    read from the bound pair."""
+    rule = _rule(kind, own_type)
+
+    def with_pair(xt):
+        ok, value = rule(xt["x"], xt["t"])
+        return F.struct(ok.alias("ok"), value.cast(_SPARK_TYPES[kind]).alias("v"))
+
+    return let(_get(v, name), lambda x: let(F.struct(x.alias("x"), F.schema_of_variant(x).alias("t")), with_pair))
+
+
+def object_check(v: Column, fields, own_type) -> Column:
+    """``struct(ok, rec)`` of a JSON object against a field list: every field
+    is checked exactly once; ``ok`` is the conjunction, ``rec`` the typed
+    record in declared order."""
+    checks = F.struct(*[field_check(v, name, kind, own_type).alias(name) for name, kind in fields])
+
+    def combine(c):
+        ok = c[fields[0][0]]["ok"]
+        for name, _ in fields[1:]:
+            ok = ok & c[name]["ok"]
+        rec = F.struct(*[c[name]["v"].alias(name) for name, _ in fields])
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), rec.alias("rec"))
+
+    return let(checks, combine)
 
 
 def validate_record(v: Column, schema_type: str):
     """(is_valid, record struct) of one schema on a parsed JSON object."""
-    return _object_fields(v, SCHEMAS[schema_type], schema_type)
+    checked = object_check(v, SCHEMAS[schema_type], schema_type)
+    return checked["ok"], checked["rec"]
 
 
 def let(value: Column, fn) -> Column:
@@ -278,26 +305,31 @@ def page_outputs(resp: Column, label: Column, structured: Column, with_markdown:
 
     def status(p):
         v, st = p["v"], p["schema_type"]
-        checks = {t: validate_record(v, t) for t in fixed.SCHEMA_TYPES}
+        selected = F.struct(*[F.when(st == t, object_check(v, SCHEMAS[t], t)).alias(RECORD_COLUMNS[t])
+                              for t in fixed.SCHEMA_TYPES])
+        return F.struct(p["resp"].alias("resp"), st.alias("schema_type"), p["empty"].alias("empty"),
+                        p["structured"].alias("structured"), v.alias("v"), p["is_object"].alias("is_object"),
+                        selected.alias("sel"))
+
+    def records(s):
+        st, sel = s["schema_type"], s["sel"]
         valid = F.lit(False)
         for t in reversed(fixed.SCHEMA_TYPES):
-            valid = F.when(st == t, checks[t][0]).otherwise(valid)
-        state = (F.when(p["empty"], F.lit("empty"))
-                 .when(~p["structured"], F.lit("disabled"))
-                 .when(v.isNull(), F.lit("bad_json"))
-                 .when(~p["is_object"], F.lit("bad_schema"))
+            valid = F.when(st == t, sel[RECORD_COLUMNS[t]]["ok"]).otherwise(valid)
+        state = (F.when(s["empty"], F.lit("empty"))
+                 .when(~s["structured"], F.lit("disabled"))
+                 .when(s["v"].isNull(), F.lit("bad_json"))
+                 .when(~s["is_object"], F.lit("bad_schema"))
                  .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
                  .otherwise(F.lit("bad_schema")))
-        return F.struct(p["resp"].alias("resp"), st.alias("schema_type"), v.alias("v"), state.alias("parse_status"))
-
-    def records(s):
-        v, st, ok = s["v"], s["schema_type"], s["parse_status"] == "ok"
-        dt = _get(v, "document_type")
-        record_type = F.when(ok, F.when(dt.isNull(), st).otherwise(F.try_variant_get(dt, "$", "string")))
-        cols = [s["resp"].alias("resp"), st.alias("schema_type"), s["parse_status"].alias("parse_status"),
-                record_type.alias("record_type")]
+        ok = state == "ok"
+        record_type = F.lit(None).cast("string")
+        for t in reversed(fixed.SCHEMA_TYPES):
+            record_type = F.when(st == t, sel[RECORD_COLUMNS[t]]["rec"]["document_type"]).otherwise(record_type)
+        cols = [s["resp"].alias("resp"), st.alias("schema_type"), state.alias("parse_status"),
+                F.when(ok, record_type).alias("record_type")]
         for t in fixed.SCHEMA_TYPES:
-            cols.append(F.when(ok & (st == t), validate_record(v, t)[1]).alias(RECORD_COLUMNS[t]))
+            cols.append(F.when(ok & (st == t), sel[RECORD_COLUMNS[t]]["rec"]).alias(RECORD_COLUMNS[t]))
         return F.struct(*cols)
 
     out = let(let(let(let(inputs, cleaned), parsed), status), records)

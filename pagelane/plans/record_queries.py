@@ -37,8 +37,9 @@ def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement page per order; its lines are the transactions, in
     ``(l_linenumber, text)`` order. Damage by ``k = o_orderkey % 9``:
     4 gives line 1 the type "refund", 5 sends ``"transactions": null``."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"),
+        ["l_orderkey", "l_linenumber"])
     credit = F.col("l_returnflag") == "R"
     ttype = (F.when(((F.col("l_orderkey") % 9) == 4) & (F.col("l_linenumber") == 1), F.lit("refund"))
              .when(credit, F.lit("credit")).otherwise(F.lit("debit")))
@@ -52,8 +53,8 @@ def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", txn.alias("txn"))
     per_order = ordered_page_texts(lines, "o_orderkey", "l_linenumber", "txn").select(
         "o_orderkey", F.array_join("pages", ", ").alias("txns"))
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"), ["o_orderkey"])
     k = F.col("o_orderkey") % 9
     body = F.concat(
         F.lit('{"document_type": "bank_statement", "account_holder": '),
@@ -73,7 +74,7 @@ def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6 + F14 + G2 + I2: per statement, status, transaction count, markdown."""
-    pages = classified_pages(spread(statement_answers(spark, sf_dir), ["doc_id", "o_orderkey"]))
+    pages = classified_pages(statement_answers(spark, sf_dir))
     return pages.select("o_orderkey", "parse_status",
                         F.when(F.col("bank_statement").isNotNull(), F.size("bank_statement.transactions")).alias("n_transactions"), "markdown")
 
@@ -141,7 +142,7 @@ FROM resp"""
 
 def statement_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per transaction of each valid statement, in order."""
-    pages = classified_pages(spread(statement_answers(spark, sf_dir), ["doc_id", "o_orderkey"]))
+    pages = classified_pages(statement_answers(spark, sf_dir))
     return explode_transactions(pages, ["o_orderkey"]).select(
         "o_orderkey", F.col("txn_no").cast("int").alias("txn_no"), "date", "amount", "transaction_type", "reference")
 
@@ -168,8 +169,8 @@ def claim_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     (bad schema); accident 5 -> a null witness (bad schema), 6 -> witnesses
     null (valid), 7 -> damage ``true`` (1.0). ``o_orderkey % 4 = 0`` has an
     empty description (no description block)."""
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    o = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     base = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -204,7 +205,7 @@ def claim_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 + F8 + G3 + G4."""
-    pages = classified_pages(spread(claim_answers(spark, sf_dir), ["doc_id", "o_orderkey"]))
+    pages = classified_pages(claim_answers(spark, sf_dir))
     return pages.select("o_orderkey", "document_type", "parse_status", "markdown",
                         F.when(F.col("accident_claim.witnesses").isNotNull(), F.size("accident_claim.witnesses")).alias("n_witnesses"))
 
@@ -268,7 +269,8 @@ def general_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as general documents. ``g = p_partkey % 7``: 4 -> a number among
     the parties (bad schema), 5 -> ``document_type`` "contract" (renders as
     general), 6 -> the object wrapped in an array (bad schema)."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    p = spread(read_table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), ["p_partkey"])
     g = F.col("p_partkey") % 7
     parties = F.when(g == 4, F.concat(F.lit("["), _q(F.col("p_brand")), F.lit(", 5]"))) \
         .otherwise(F.concat(F.lit("["), _q(F.col("p_brand")), F.lit("]")))
@@ -285,7 +287,7 @@ def general_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def general_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10 + F11 (dict field) + G6."""
-    pages = classified_pages(spread(general_answers(spark, sf_dir), ["p_partkey"]))
+    pages = classified_pages(general_answers(spark, sf_dir))
     return pages.select("p_partkey", "parse_status", "markdown",
                         F.try_variant_get("general.key_information", "$.brand", "string").alias("brand"))
 
@@ -316,7 +318,7 @@ FROM b"""
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice pages by classified type and outcome."""
     from pagelane.plans import responders
-    pages = classified_pages(spread(responders.invoice_answers(spark, sf_dir), ["doc_id", "o_orderkey"]))
+    pages = classified_pages(responders.invoice_answers(spark, sf_dir))
     return pages.groupBy("document_type", "page_status").agg(F.count(F.lit(1)).alias("pages"))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelane.operators.balance import spread
 from pagelane.sources.tables import read_table
 
 
@@ -44,8 +45,8 @@ def invoice_answers(spark, sf_dir: str) -> DataFrame:
     string (still valid), 8 invoice number as a number (bad schema),
     9 ``document_type`` "receipt" (type mismatch); even ``r`` is fenced.
     """
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     base = orders.join(customer, orders.o_custkey == customer.c_custkey)
     r = F.col("o_orderkey") % 10
