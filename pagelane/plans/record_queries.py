@@ -339,7 +339,39 @@ SELECT document_type,
 FROM b GROUP BY ALL"""
 
 
+# --------------------------------------------------------------------- A7
+def invoice_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid invoice record as JSON text (nulls kept, declared order)."""
+    from pagelane.operators.records import record_json
+    from pagelane.plans import responders
+    pages = classified_pages(responders.invoice_answers(spark, sf_dir))
+    return (pages.filter(F.col("invoice").isNotNull())
+            .select("o_orderkey", record_json("invoice").alias("record_json")))
+
+
+def invoice_records_json_sql() -> str:
+    from pagelane.plans.responders import INVOICE_CLASS_ANSWERS
+    return f"""
+WITH b AS (
+  SELECT o.o_orderkey, o.o_totalprice, o.o_orderdate, o.o_orderstatus, o.o_orderpriority, c.c_name, c.c_mktsegment,
+         o.o_orderkey % 10 AS r,
+         lower(trim({_pick_sql('o.o_orderkey', INVOICE_CLASS_ANSWERS)}, ' ' || chr(9) || chr(10))) IN ('invoice', 'receipt', 'bill') AS is_invoice
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)
+SELECT o_orderkey,
+  '{{"document_type":"' || CASE WHEN r = 9 THEN 'receipt' ELSE 'invoice' END
+  || '","invoice_number":"INV-' || CAST(o_orderkey AS VARCHAR)
+  || '","invoice_date":"' || strftime(o_orderdate, '%Y-%m-%d')
+  || '","due_date":null,"vendor_name":"' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE c_mktsegment END
+  || '","customer_name":"' || c_name
+  || '","total_amount":' || CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR)
+  || ',"tax_amount":null,"subtotal":null,"items":["' || o_orderpriority
+  || '"],"vendor_address":null,"customer_address":null}}' AS record_json
+FROM b WHERE is_invoice AND r NOT IN (6, 8)"""
+
+
 QUERIES = {
+    "invoice_records_json": (invoice_records_json, invoice_records_json_sql),
     "statement_pages": (statement_pages, statement_pages_sql),
     "statement_transactions": (statement_transactions, statement_transactions_sql),
     "claim_pages": (claim_pages, claim_pages_sql),

@@ -299,7 +299,59 @@ SELECT doc_id,
 FROM documents"""
 
 
+# ---------------------------------------------------------------------- B1-B5
+def upload_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads: the URL's last segment is the file name, the HTML
+    bytes are the content; the admission rules give each its verdict."""
+    from pagelane.operators.admission import verdict
+    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id"])
+    name = F.regexp_extract("url", r"([^/]*)$", 1)
+    v = verdict(name, F.octet_length("html").cast("long"), F.encode("html", "UTF-8"))
+    return p.select("page_id", name.alias("name"), v["is_valid"].alias("is_valid"), v["reason"].alias("reason"))
+
+
+def upload_verdicts_sql() -> str:
+    return f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, html FROM pages)
+SELECT page_id, name, reason = {q(fixed.MSG_VALID)} AS is_valid, reason FROM (
+  SELECT page_id, name,
+    CASE WHEN name IS NULL OR name = '' THEN {q(fixed.MSG_NOT_FOUND)}
+         WHEN strlen(html) > {fixed.MAX_UPLOAD_BYTES} THEN {q(fixed.MSG_TOO_LARGE)}
+         WHEN NOT ends_with(lower(name), '.pdf') THEN {q(fixed.MSG_BAD_TYPE)}
+         WHEN NOT starts_with(html, '%PDF') THEN {q(fixed.MSG_BAD_MAGIC)}
+         ELSE {q(fixed.MSG_VALID)} END AS reason
+  FROM u)"""
+
+
+# --------------------------------------------------------------------------- H7
+def conversation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as an upload named ``conv_<id>.pdf``: its pages are
+    the turns that survive D2; the status line follows H7."""
+    from pagelane.operators.assemble import status_message
+    pages = _conversation_pages(spark, sf_dir)
+    counts = page_counts(require_all_pages(pages))
+    inputs = pages.select("doc_id").distinct()
+    joined = inputs.join(counts, "doc_id", "left")
+    n = F.coalesce(F.col("page_count"), F.lit(0))
+    name = F.concat(F.lit("conv_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return joined.select(F.col("doc_id").alias("conv_id"),
+                         status_message(F.lit(True), F.lit(fixed.MSG_VALID), n, name, n > 0).alias("status"))
+
+
+def conversation_status_sql() -> str:
+    return f"""
+WITH g AS (SELECT conv_id, count(*) AS n FROM conversations
+           WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id),
+i AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id,
+  CASE WHEN coalesce(g.n, 0) = 0 THEN {q(fixed.STATUS_NO_PAGES)}
+       ELSE '✅ Successfully processed ' || CAST(g.n AS VARCHAR) || ' pages from conv_' || CAST(i.conv_id AS VARCHAR) || '.pdf' END AS status
+FROM i LEFT JOIN g ON g.conv_id = i.conv_id"""
+
+
 QUERIES = {
+    "upload_verdicts": (upload_verdicts, upload_verdicts_sql),
+    "conversation_status": (conversation_status, conversation_status_sql),
     "text_sanitize": (text_sanitize, text_sanitize_sql),
     "upload_names": (upload_names, upload_names_sql),
     "document_hashes": (document_hashes, document_hashes_sql),
