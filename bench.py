@@ -30,7 +30,8 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", cpus, app_name="pagelane-bench")
     qs = entry.queries()
-    names = [n for n in HEADLINE if n in qs]
+    wanted = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
+    names = [n for n in (wanted or HEADLINE) if n in qs]
     # Warm-up: JIT and code generation on the smallest data set.
     warm_dir = "/root/testdata/sf0.001"
     if os.path.isdir(warm_dir):

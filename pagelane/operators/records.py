@@ -163,9 +163,10 @@ def _strlist(x: Column, t: Column):
 
 
 def _float_element(e: Column) -> Column:
-    return let(F.struct(e.alias("x"), F.schema_of_variant(e).alias("t")),
-               lambda xt: F.struct((xt["x"].isNotNull() & (xt["t"] != "VOID") & _float(xt["x"], xt["t"])[0]).alias("ok"),
-                                   _float(xt["x"], xt["t"])[1].alias("v")))
+    def check(xt):
+        ok, value = _float(xt["x"], xt["t"])
+        return F.struct((xt["x"].isNotNull() & (xt["t"] != "VOID") & ok).alias("ok"), value.alias("v"))
+    return let(F.struct(e.alias("x"), F.schema_of_variant(e).alias("t")), check)
 
 
 def _floatlist(x: Column, t: Column):
@@ -339,16 +340,34 @@ def page_outputs(resp: Column, label: Column, structured: Column, with_markdown:
     return out
 
 
+_PAGE_INPUTS = ("__pl_resp", "__pl_label", "__pl_structured")
+_PAGE_EXPR_CACHE: dict = {}
+
+
+def _cached_page_expr(spark, with_markdown: bool) -> Column:
+    """The page expression over fixed helper column names, built once per
+    session: it has thousands of nodes and building it through py4j costs
+    seconds, while reusing the (immutable, unresolved) JVM column is free."""
+    key = (id(spark._jsparkSession), bool(with_markdown))
+    expr = _PAGE_EXPR_CACHE.get(key)
+    if expr is None:
+        resp, label, structured = (F.col(c) for c in _PAGE_INPUTS)
+        expr = page_outputs(resp, label, structured, with_markdown)
+        _PAGE_EXPR_CACHE[key] = expr
+    return expr
+
+
 def parse_responses(df: DataFrame, response_col: str = "response", label_col: str = "document_type",
                     structured: bool | Column = True, with_markdown: bool = False) -> DataFrame:
     """F1-F12 on a frame of model answers: adds the ``PAGE_FIELDS`` columns
     (and ``markdown``/``page_status`` with ``with_markdown``)."""
     structured_col = structured if isinstance(structured, Column) else F.lit(bool(structured))
     fields = PAGE_FIELDS + (["markdown", "page_status"] if with_markdown else [])
-    page = page_outputs(F.col(response_col), F.col(label_col), structured_col, with_markdown)
-    return (df.withColumn("_page", page)
-            .select("*", *[F.col("_page")[f].alias(f) for f in fields])
-            .drop("_page"))
+    page = _cached_page_expr(df.sparkSession, with_markdown)
+    staged = df.select("*", F.col(response_col).alias(_PAGE_INPUTS[0]), F.col(label_col).alias(_PAGE_INPUTS[1]),
+                       structured_col.alias(_PAGE_INPUTS[2]))
+    return (staged.withColumn("_page", page)
+            .select(*[F.col(c) for c in df.columns], *[F.col("_page")[f].alias(f) for f in fields]))
 
 
 def union_records(parsed: DataFrame, key_cols) -> DataFrame:
