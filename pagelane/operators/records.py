@@ -346,9 +346,11 @@ _PAGE_EXPR_CACHE: dict = {}
 
 def _cached_page_expr(spark, with_markdown: bool) -> Column:
     """The page expression over fixed helper column names, built once per
-    session: it has thousands of nodes and building it through py4j costs
-    seconds, while reusing the (immutable, unresolved) JVM column is free."""
-    key = (id(spark._jsparkSession), bool(with_markdown))
+    application: it has thousands of nodes and building it through py4j
+    costs seconds (each PySpark function call also records its call site),
+    while reusing the immutable, unresolved JVM column is free."""
+    # Unresolved JVM columns stay valid for every session of the application.
+    key = (spark.sparkContext.applicationId, bool(with_markdown))
     expr = _PAGE_EXPR_CACHE.get(key)
     if expr is None:
         resp, label, structured = (F.col(c) for c in _PAGE_INPUTS)
