@@ -48,33 +48,38 @@ def _listing(spark: SparkSession, folder: str, label: str) -> DataFrame:
                         F.lower(F.col("name")).endswith(".pdf").alias("is_pdf"))
 
 
-def file_inventory(spark: SparkSession, folders: dict) -> DataFrame:
-    """A3: ``(folder, ext, files, names)`` per folder and extension; a missing
-    folder contributes nothing."""
+def _all_listings(spark: SparkSession, folders: dict) -> DataFrame:
     parts = [_listing(spark, path, label) for label, path in folders.items()]
     allf = parts[0]
     for p in parts[1:]:
         allf = allf.unionByName(p)
-    return allf.groupBy("folder", "ext").agg(F.count(F.lit(1)).alias("files"),
-                                             F.sort_array(F.collect_list("name")).alias("names"))
+    return allf
+
+
+def file_inventory(spark: SparkSession, folders: dict) -> DataFrame:
+    """A3: ``(folder, ext, files)`` per folder and extension; a missing folder
+    contributes nothing. Counts are partial aggregates; names are never
+    gathered into one row (see ``inventory_listing``)."""
+    return _all_listings(spark, folders).groupBy("folder", "ext").agg(F.count(F.lit(1)).alias("files"))
+
+
+def inventory_listing(spark: SparkSession, folders: dict) -> DataFrame:
+    """A3/A4 names: ``(folder, name, is_pdf)`` sorted by folder and name with a
+    distributed sort, so a folder of any size never lands in one row."""
+    return _all_listings(spark, folders).select("folder", "name", "is_pdf").orderBy("folder", "name")
 
 
 def inventory_report(spark: SparkSession, folders: dict) -> DataFrame:
-    """A4: per expected folder: exists flag, file and PDF counts, sorted names."""
+    """A4: per expected folder: exists flag (the "folder doesn't exist"
+    marker), file and PDF counts. Sorted names: ``inventory_listing``."""
     expected = spark.createDataFrame([(k, os.path.isdir(v)) for k, v in folders.items()],
                                      "folder string, exists boolean")
-    parts = [_listing(spark, path, label) for label, path in folders.items()]
-    allf = parts[0]
-    for p in parts[1:]:
-        allf = allf.unionByName(p)
-    per = allf.groupBy("folder").agg(
+    per = _all_listings(spark, folders).groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"),
-        F.sum(F.when(F.col("is_pdf"), 1).otherwise(0)).cast("long").alias("pdfs"),
-        F.sort_array(F.collect_list("name")).alias("names"))
+        F.sum(F.when(F.col("is_pdf"), 1).otherwise(0)).cast("long").alias("pdfs"))
     return (expected.join(per, "folder", "left")
             .select("folder", "exists", F.coalesce("files", F.lit(0)).alias("files"),
-                    F.coalesce("pdfs", F.lit(0)).alias("pdfs"),
-                    F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+                    F.coalesce("pdfs", F.lit(0)).alias("pdfs"))
             .orderBy("folder"))
 
 

@@ -88,7 +88,11 @@ def test_inventory_and_outputs(spark):
     d = _fixture_folder()
     rep = {r["folder"]: r for r in S.inventory_report(spark, {"input": d, "missing": d + "/nope"}).collect()}
     assert rep["missing"]["exists"] is False and rep["missing"]["files"] == 0
-    assert rep["input"]["pdfs"] >= 6 and rep["input"]["names"] == sorted(rep["input"]["names"])
+    assert rep["input"]["pdfs"] >= 6
+    names = [r["name"] for r in S.inventory_listing(spark, {"input": d}).collect()]
+    assert names == sorted(names) and "ok.pdf" in names
+    inv = {(r["folder"], r["ext"]): r["files"] for r in S.file_inventory(spark, {"input": d}).collect()}
+    assert inv[("input", ".md")] == 1
     assert S.list_outputs(spark, d).count() == 1
 
 
