@@ -43,3 +43,22 @@ def streaming_load_windows(events: DataFrame, ts_col: str = "ts", value_col: str
     ts = F.col(ts_col).cast("timestamp")
     prepared = events.withColumn(ts_col, ts).withWatermark(ts_col, watermark)
     return load_windows(prepared, ts_col, value_col, F.col("event_type") == "error", width)
+
+
+def document_batch_handler(renderer, model_factory, output_folder: str, results_path: str | None = None,
+                           custom_prompt: str | None = None, structured: bool = True):
+    """``foreachBatch`` handler: each micro-batch of admitted files is turned
+    into markdown files (one per document, A6) and, optionally, appends its
+    per-input results. Whole files arrive in one batch, so no state is kept
+    between batches; overwriting sinks keep replays idempotent."""
+    from pagelane.plans.documents import process_documents
+    from pagelane.sources.files import write_markdown
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        results, documents = process_documents(batch, renderer, model_factory, custom_prompt, structured)
+        write_markdown(documents, output_folder)
+        if results_path:
+            (results.withColumn("epoch", F.lit(epoch_id))
+             .write.mode("append").parquet(results_path))
+
+    return handle

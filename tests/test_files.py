@@ -147,3 +147,46 @@ def test_streaming_load_windows(spark):
     streamed = spark.sql(f"select * from {name}").count()
     batch = spark.read.parquet(src).select(F.to_date("ts")).distinct().count()
     assert 0 < streamed <= batch
+
+
+def fake_renderer(content):
+    """Pages of a fixture 'PDF' are separated by form feeds."""
+    body = bytes(content)
+    if b"BROKEN" in body:
+        raise ValueError("cannot rasterise")
+    return [p for p in body[4:].split(b"\f")]
+
+
+class InvoiceModel:
+    def __call__(self, payloads, prompts):
+        out = []
+        for payload, prompt in zip(payloads, prompts):
+            text = bytes(payload).decode()
+            if prompt == fixed.CLASSIFICATION_PROMPT:
+                out.append("invoice" if text.startswith("inv") else "other")
+            elif prompt == fixed.INVOICE_PROMPT:
+                out.append('```json\n{"invoice_number": "' + text + '", "total_amount": 2.675}\n```')
+            else:
+                out.append('{"title": "' + text + '"}')
+        return out
+
+
+def test_stream_documents_to_markdown(spark):
+    from pagelane.streaming.documents import document_batch_handler, process_stream, stream_documents
+    d = tempfile.mkdtemp(prefix="pagelane-docs-")
+    out = tempfile.mkdtemp(prefix="pagelane-md-")
+    res = tempfile.mkdtemp(prefix="pagelane-res-") + "/results"
+    _write(d, "a.pdf", b"%PDFinv-1\fmemo")
+    _write(d, "b.pdf", b"%PDFBROKEN")
+    _write(d, "c.pdf", b"not a pdf")
+    handler = document_batch_handler(fake_renderer, InvoiceModel, out, res)
+    q = process_stream(stream_documents(spark, d), handler, tempfile.mkdtemp(prefix="pagelane-sck-"))
+    q.awaitTermination(300)
+    assert sorted(os.listdir(out)) == ["a.md"]
+    md = open(os.path.join(out, "a.md"), encoding="utf-8").read()
+    assert md.startswith(fixed.DOC_HEADER + "# Page 1\n\n# Invoice\n\n**Invoice Number:** inv-1\n")
+    assert "**Total Amount:** $2.67" in md and "# Page 2\n\n# Document\n\n**Title:** memo\n" in md
+    status = {os.path.basename(r["path"]): (r["n_pages"], r["status"]) for r in spark.read.parquet(res).collect()}
+    assert status["a.pdf"] == (2, "ok")
+    assert status["b.pdf"][0] == 0 and status["b.pdf"][1].startswith("render failed")
+    assert "c.pdf" not in status  # rejected at admission (Invalid PDF file format)
