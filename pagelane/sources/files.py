@@ -124,13 +124,17 @@ def stage_plan(spark: SparkSession, working: str, input_folder: str) -> DataFram
 
 def stage_documents(plan: DataFrame) -> DataFrame:
     """A8 (apply): move each planned file; ``(name, ok, error)`` per file, a
-    failing move does not stop the others."""
+    failing move does not stop the others. A retried task finds its files
+    already at the target and reports them as moved (idempotent)."""
     def move(rows):
         import shutil
         from urllib.parse import unquote, urlparse
         for row in rows:
             src = unquote(urlparse(row["path"]).path) if row["path"].startswith("file:") else row["path"]
             try:
+                if not os.path.exists(src) and os.path.exists(row["target"]):
+                    yield (row["name"], True, None)  # moved by an earlier attempt of this task
+                    continue
                 shutil.move(src, row["target"])
                 yield (row["name"], True, None)
             except Exception as exc:  # reported, the batch goes on
