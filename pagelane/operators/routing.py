@@ -135,3 +135,20 @@ def schema_catalog(spark: SparkSession) -> DataFrame:
             rows.append((st, pos, name, _SPARK_TYPES[kind], not required, desc))
     return spark.createDataFrame(
         rows, "schema_type string, position int, field string, data_type string, nullable boolean, description string")
+
+
+def prompt_lengths(spark: SparkSession) -> DataFrame:
+    """Prompt characters per document class (all 7 enum members); classes
+    without their own prompt use the General prompt."""
+    classes = spark.createDataFrame([(t,) for t in fixed.DOCUMENT_TYPES], "document_type string")
+    prompts = prompt_table(spark).filter(F.col("kind") == "extraction").select("document_type", "prompt")
+    return (classes.join(F.broadcast(prompts), "document_type", "left")
+            .select("document_type", F.length(F.coalesce("prompt", F.lit(fixed.GENERAL_DOCUMENT_PROMPT)))
+                    .alias("prompt_chars")))
+
+
+def run_id() -> Column:
+    """8 hex characters identifying one run, made once on the driver and
+    carried as a literal (never compared across runs)."""
+    import secrets
+    return F.lit(secrets.token_hex(4))

@@ -93,3 +93,16 @@ def test_extractors(spark):
     assert r["p"] == ["+1 (771) 555-1655"]
     assert r["a"] == [1250.5, 3.0]
     assert r["d"] == ["2024-01-31", "1/2/2024"]
+
+
+def test_prompt_lengths_and_run_id(spark):
+    from pagelane.functions import fixed
+    from pagelane.operators.routing import prompt_lengths, run_id, schema_catalog
+    got = {r["document_type"]: r["prompt_chars"] for r in prompt_lengths(spark).collect()}
+    assert got["invoice"] == len(fixed.INVOICE_PROMPT)
+    assert got["receipt"] == got["contract"] == len(fixed.GENERAL_DOCUMENT_PROMPT)
+    assert len(got) == 7
+    rid = spark.range(1).select(run_id().alias("r")).first()["r"]
+    assert len(rid) == 8 and int(rid, 16) >= 0
+    cat = schema_catalog(spark)
+    assert cat.filter("schema_type = 'invoice'").count() == 12
