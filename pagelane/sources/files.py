@@ -101,8 +101,7 @@ def write_markdown(docs: DataFrame, folder: str, name_col: str = "output_name",
     base = folder.rstrip("/")
 
     def write_rows(rows):
-        from pyarrow import fs as pafs
-        filesystem, root = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+        filesystem, root = _fs_and_path(base)
         filesystem.create_dir(root, recursive=True)
         for row in rows:
             name = row[name_col]
@@ -122,20 +121,34 @@ def stage_plan(spark: SparkSession, working: str, input_folder: str) -> DataFram
     return found.select("path", "name", F.concat(F.lit(input_folder.rstrip("/") + "/"), F.col("name")).alias("target"))
 
 
+def _fs_and_path(uri: str):
+    """``(pyarrow filesystem, path)`` for local paths, ``file:`` URIs and
+    object-store / HDFS URIs alike."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs as pafs
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), unquote(urlparse(uri).path)
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
+
+
 def stage_documents(plan: DataFrame) -> DataFrame:
     """A8 (apply): move each planned file; ``(name, ok, error)`` per file, a
     failing move does not stop the others. A retried task finds its files
     already at the target and reports them as moved (idempotent)."""
     def move(rows):
-        import shutil
-        from urllib.parse import unquote, urlparse
+        from pyarrow import fs as pafs
         for row in rows:
-            src = unquote(urlparse(row["path"]).path) if row["path"].startswith("file:") else row["path"]
             try:
-                if not os.path.exists(src) and os.path.exists(row["target"]):
+                filesystem, src = _fs_and_path(row["path"])
+                _, dst = _fs_and_path(row["target"])
+                missing = filesystem.get_file_info(src).type == pafs.FileType.NotFound
+                if missing and filesystem.get_file_info(dst).type != pafs.FileType.NotFound:
                     yield (row["name"], True, None)  # moved by an earlier attempt of this task
                     continue
-                shutil.move(src, row["target"])
+                filesystem.move(src, dst)
                 yield (row["name"], True, None)
             except Exception as exc:  # reported, the batch goes on
                 yield (row["name"], False, f"{type(exc).__name__}: {exc}")

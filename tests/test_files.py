@@ -190,3 +190,18 @@ def test_stream_documents_to_markdown(spark):
     assert status["a.pdf"] == (2, "ok")
     assert status["b.pdf"][0] == 0 and status["b.pdf"][1].startswith("render failed")
     assert "c.pdf" not in status  # rejected at admission (Invalid PDF file format)
+
+
+def test_stage_documents_retry_and_failure(spark):
+    work = tempfile.mkdtemp(prefix="pagelane-work2-")
+    inp = os.path.join(work, "input")
+    os.makedirs(inp)
+    _write(work, "one.pdf", PDF)
+    plan = S.stage_plan(spark, work, inp).cache()
+    first = S.stage_documents(plan).collect()
+    again = S.stage_documents(plan).collect()  # a replay finds the file already moved
+    assert [r["ok"] for r in first] == [True] and [r["ok"] for r in again] == [True]
+    bad = spark.createDataFrame([("file:" + work + "/nope.pdf", "nope.pdf", inp + "/nope.pdf")],
+                                "path string, name string, target string")
+    r = S.stage_documents(bad).first()
+    assert r["ok"] is False and r["error"]
