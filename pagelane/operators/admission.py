@@ -35,8 +35,9 @@ def admit(files: DataFrame, path_col: str = "path") -> DataFrame:
 def admit_requested(requested: DataFrame, listing: DataFrame, name_col: str = "name",
                     path_col: str = "path") -> DataFrame:
     """B1 + B5 for requested names: a name missing from the listing is
-    ``File not found``. Left join on the name; the listing side is read
-    without ``content`` until the size rule has passed."""
+    ``File not found``. Left join on the name. The join cannot push the size
+    rule into the scan, so pass a listing already filtered on ``length``
+    (or use ``admit_folder``) when the folder may hold oversized files."""
     files = listing.withColumn(name_col, F.regexp_extract(F.col(path_col), r"([^/]*)$", 1))
     joined = requested.join(files, name_col, "left")
     v = verdict(F.col(path_col), F.col("length"), F.col("content"))
