@@ -125,3 +125,18 @@ def test_filter_on_parsed_column_stays_small(spark):
     plan = parsed.filter(F.col("markdown") != "").select("page_no")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 400_000
     assert parsed.filter(F.col("parse_status") == "ok").count() == 50
+
+
+def test_format_output_forms(spark):
+    from pagelane.operators.render import format_output
+    df = spark.createDataFrame([(1, "invoice", INV), (2, "invoice", "not json")],
+                               "page_no int, document_type string, response string")
+    parsed = parse_responses(df)
+    js = {r["page_no"]: r["output"] for r in format_output(parsed, "json").collect()}
+    rec = json.loads(js[1])
+    assert rec["invoice_number"] == "A1" and rec["total_amount"] == 12.5 and rec["due_date"] is None
+    assert js[2] == "not json"
+    txt = {r["page_no"]: r["output"] for r in format_output(parsed, "text").collect()}
+    assert txt[1].startswith('document_type="invoice",invoice_number="A1"') and txt[2] == "not json"
+    md = {r["page_no"]: r["output"] for r in format_output(parsed, "markdown").collect()}
+    assert md[1] == INV_MD
