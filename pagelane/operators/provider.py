@@ -21,10 +21,17 @@ from pagelane.functions import fixed
 from pagelane.session import ensure_checkpoint_dir
 
 
-def call_provider(df: DataFrame, factory: Callable[[], Callable], payload_col: str, prompt_col: str,
+def provider_options() -> dict:
+    """Options every provider receives: the system instruction and the
+    generation settings (the prompt table's ``system`` row, E16)."""
+    return {"system_instruction": fixed.SYSTEM_INSTRUCTION, "generation": dict(fixed.GENERATION_SETTINGS)}
+
+
+def call_provider(df: DataFrame, factory: Callable[..., Callable], payload_col: str, prompt_col: str,
                   out_col: str = "response", partitions: int | None = None,
-                  key_cols=("doc_id", "page_no")) -> DataFrame:
-    """Run ``factory()`` once per partition over ``(payload, prompt)`` rows.
+                  key_cols=("doc_id", "page_no"), options: dict | None = None) -> DataFrame:
+    """Run ``factory(**options)`` once per partition over ``(payload, prompt)``
+    rows (``factory()`` when no options are given).
 
     Rows whose prompt is NULL are passed through without a call.
     ``partitions`` bounds concurrent calls (explicit count, so AQE does not
@@ -40,8 +47,10 @@ def call_provider(df: DataFrame, factory: Callable[[], Callable], payload_col: s
     schema = src.schema.simpleString()[len("struct<"):-1]
     out_schema = f"{schema}, {out_col} string, {out_col}_error string"
 
+    opts = dict(options or {})
+
     def run(batches):
-        model = factory()
+        model = factory(**opts) if opts else factory()
         for pdf in batches:
             texts, errors = [], []
             for payload, prompt in zip(pdf[payload_col], pdf[prompt_col]):
@@ -72,7 +81,7 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame, factory, payload_col: str = "payload", partitions: int | None = None,
-                   structured: bool = True, custom_col: str | None = None) -> DataFrame:
+                   structured: bool = True, custom_col: str | None = None, options: dict | None = None) -> DataFrame:
     """E2 + E3: classify a page only when structured extraction is on and
     no custom prompt is given; failures and empty answers become ``other``."""
     from pagelane.operators.routing import normalize_label
@@ -81,21 +90,23 @@ def classify_pages(pages: DataFrame, factory, payload_col: str = "payload", part
     if custom_col:
         needs = needs & (F.coalesce(F.col(custom_col), F.lit("")) == "")
     with_prompt = pages.withColumn("_cls_prompt", F.when(needs, F.lit(fixed.CLASSIFICATION_PROMPT)))
-    called = call_provider(with_prompt, factory, payload_col, "_cls_prompt", "class_response", partitions)
+    called = call_provider(with_prompt, factory, payload_col, "_cls_prompt", "class_response", partitions,
+                           options=options)
     label = F.when(F.coalesce(F.col("class_response"), F.lit("")) == "", F.lit("other")) \
         .otherwise(normalize_label("class_response"))
     return called.withColumn("document_type", label).drop("_cls_prompt")
 
 
 def extract_pages(pages: DataFrame, factory, payload_col: str = "payload", partitions: int | None = None,
-                  structured: bool = True, custom_col: str | None = None) -> DataFrame:
+                  structured: bool = True, custom_col: str | None = None, options: dict | None = None) -> DataFrame:
     """E4 + E7 + E8 + E9: second call with the routed prompt; the page text
     is ``coalesce(answer, '')`` and the error is kept beside it."""
     from pagelane.operators.routing import extraction_prompt
 
     prompt = extraction_prompt("document_type", custom_col, structured=structured)
     with_prompt = pages.withColumn("_ext_prompt", prompt)
-    called = call_provider(with_prompt, factory, payload_col, "_ext_prompt", "response", partitions)
+    called = call_provider(with_prompt, factory, payload_col, "_ext_prompt", "response", partitions,
+                           options=options)
     return called.withColumn("response", F.coalesce(F.col("response"), F.lit(""))).drop("_ext_prompt")
 
 

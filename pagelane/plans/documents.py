@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pagelane.functions.text import output_name
 from pagelane.operators.assemble import assemble_documents
 from pagelane.operators.pages import explode_rendered_pages
-from pagelane.operators.provider import classify_pages, extract_pages, stage
+from pagelane.operators.provider import classify_pages, extract_pages, provider_options, stage
 from pagelane.operators.records import parse_responses
 from pagelane.operators.routing import choose_output
 
 
 def process_documents(admitted: DataFrame, renderer, model_factory, custom_prompt: str | None = None,
-                      structured: bool = True, partitions: int | None = None):
+                      structured: bool = True, partitions: int | None = None, pass_options: bool = False):
     """Return ``(results, documents)``.
 
     ``admitted``: ``binaryFile`` rows with ``is_valid`` (see
@@ -30,7 +30,10 @@ def process_documents(admitted: DataFrame, renderer, model_factory, custom_promp
     ``(path, n_pages, status)`` where a document that could not be rendered
     has 0 pages (H4). ``documents`` has ``(path, output_name, n_pages,
     markdown)`` only for documents with pages (no output otherwise, H3).
+    With ``pass_options`` the factory is called as
+    ``model_factory(system_instruction=..., generation=...)``.
     """
+    options = provider_options() if pass_options else None
     docs = admitted.filter(F.col("is_valid")).select(F.col("path").alias("doc_id"), "content")
     # Rendered pages are read twice (pages and failures): stage them once.
     rendered = stage(explode_rendered_pages(docs, renderer, "doc_id", "content"))
@@ -38,9 +41,9 @@ def process_documents(admitted: DataFrame, renderer, model_factory, custom_promp
     failed = rendered.filter(F.col("page_no") < 0).select("doc_id", "error")
     custom = F.lit(custom_prompt).cast("string")
     pages = pages.withColumn("custom_prompt", custom)
-    classified = classify_pages(pages, model_factory, "payload", partitions, structured, "custom_prompt")
-    answered = stage(extract_pages(classified, model_factory, "payload", partitions, structured, "custom_prompt")
-                     .drop("payload"))
+    classified = classify_pages(pages, model_factory, "payload", partitions, structured, "custom_prompt", options)
+    answered = stage(extract_pages(classified, model_factory, "payload", partitions, structured, "custom_prompt",
+                                   options).drop("payload"))
     parsed = parse_responses(answered, "response", "document_type", structured=True, with_markdown=True)
     page_text = choose_output(F.lit(bool(structured)), F.col("custom_prompt"), F.col("markdown"), F.col("response"))
     final_pages = parsed.select("doc_id", "page_no", page_text.alias("page_markdown"))

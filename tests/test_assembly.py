@@ -104,3 +104,18 @@ def test_status_message(spark):
     got = [r[0] for r in df.select(status_message(F.col("v"), F.col("r"), F.col("n"), F.col("name"), F.col("out"))).collect()]
     assert got == ["✅ Successfully processed 3 pages from a.pdf", "❌ File not found", fixed.STATUS_NO_PAGES,
                    fixed.STATUS_NO_OUTPUT]
+
+
+class OptionEcho:
+    def __init__(self, system_instruction=None, generation=None):
+        self.tag = f"{len(system_instruction or '')}:{(generation or {}).get('max_output_tokens')}"
+
+    def __call__(self, payloads, prompts):
+        return [self.tag for _ in payloads]
+
+
+def test_provider_receives_options(spark):
+    from pagelane.operators.provider import call_provider, provider_options
+    df = spark.createDataFrame([(1, 0, "x", "p")], "doc_id int, page_no int, payload string, prompt string")
+    out = call_provider(df, OptionEcho, "payload", "prompt", options=provider_options()).first()
+    assert out["response"] == f"{len(fixed.SYSTEM_INSTRUCTION)}:8192"
