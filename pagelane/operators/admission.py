@@ -49,13 +49,14 @@ def quarantine(admitted: DataFrame):
     return admitted.filter(F.col("is_valid")), admitted.filter(~F.col("is_valid"))
 
 
-def admit_folder(spark, folder: str, glob: str | None = None) -> DataFrame:
+def admit_folder(spark, folder: str, glob: str | None = None, keep_content: bool = False) -> DataFrame:
     """B1-B6 over a folder without loading oversized files.
 
     Two scans of the same listing: files above the limit are judged from
     metadata alone (``content`` is pruned from that scan), and only files
     within the limit are read, behind a ``length`` filter that the
-    ``binaryFile`` source applies before loading bytes.
+    ``binaryFile`` source applies before loading bytes. With
+    ``keep_content`` the admitted rows carry their bytes for the next stage.
     """
     reader = spark.read.format("binaryFile")
     if glob:
@@ -64,5 +65,8 @@ def admit_folder(spark, folder: str, glob: str | None = None) -> DataFrame:
     big = (files.filter(F.col("length") > fixed.MAX_UPLOAD_BYTES)
            .select("path", "modificationTime", "length",
                    F.lit(False).alias("is_valid"), F.lit(fixed.MSG_TOO_LARGE).alias("reason")))
-    small = admit(files.filter(F.col("length") <= fixed.MAX_UPLOAD_BYTES)).drop("content")
-    return small.unionByName(big)
+    small = admit(files.filter(F.col("length") <= fixed.MAX_UPLOAD_BYTES))
+    if not keep_content:
+        return small.drop("content").unionByName(big)
+    # ``content`` only for files within the limit (oversized ones get NULL).
+    return small.unionByName(big.withColumn("content", F.lit(None).cast("binary")))

@@ -65,6 +65,9 @@ def test_admission_rules(spark):
     assert got["large.pdf"] == fixed.MSG_TOO_LARGE
     assert got["edge.pdf"] == fixed.MSG_VALID
     assert got["big.txt"] == fixed.MSG_TOO_LARGE
+    kept = {os.path.basename(r["path"]): r["content"] is not None
+            for r in admit_folder(spark, d, keep_content=True).select("path", "content").collect()}
+    assert kept["ok.pdf"] and not kept["large.pdf"]
     ok, bad = quarantine(admitted)
     assert ok.count() + bad.count() == S.read_files(spark, d).select("path").count()
 
