@@ -208,3 +208,17 @@ def test_stage_documents_retry_and_failure(spark):
                                 "path string, name string, target string")
     r = S.stage_documents(bad).first()
     assert r["ok"] is False and r["error"]
+
+
+def test_batch_documents_from_folder(spark):
+    from pagelane.plans.documents import process_documents
+    d = tempfile.mkdtemp(prefix="pagelane-batch-")
+    out = tempfile.mkdtemp(prefix="pagelane-batch-md-")
+    _write(d, "x.pdf", b"%PDFinv-9\fnote")
+    _write(d, "y.pdf", b"%PDFBROKEN")
+    admitted = admit_folder(spark, d, "*.pdf", keep_content=True)
+    results, documents = process_documents(admitted, fake_renderer, InvoiceModel, partitions=2)
+    S.write_markdown(documents, out)
+    assert sorted(os.listdir(out)) == ["x.md"]
+    got = {os.path.basename(r["path"]): (r["n_pages"], r["status"][:6]) for r in results.collect()}
+    assert got == {"x.pdf": (2, "ok"), "y.pdf": (0, "render")}
