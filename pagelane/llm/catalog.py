@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagelane.llm import op1_exact_dedup, op3_line_dedup, op4_mixing, op5_ngram_join, op10_packing
+from pagelane.llm import op1_exact_dedup, op3_line_dedup, op4_mixing, op5_ngram_join, op6_toxicity, op7_language_id, op10_packing
 
 _MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op10_packing": op10_packing,
 }
 
