@@ -45,7 +45,7 @@ NEGATION_SCOPE = 3
 _FOLDS, _HELD = 5, 0
 _FLUSH = 200_000
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (2, 3, 4, 5, 6)
 
 # Closed word classes in English, French, German and Spanish.
 THREATS = frozenset("kill hurt die destroy hang burn shoot beat stab tuer mourir frapper töten sterben schlagen matar morir golpear".split())
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # The SAMPLE_ROWS smallest hashes: 16 bytes a row, so small enough to send to every task.
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(
-        sample, F.col("doc_id") == F.col("id")).select("toxic", "text", F.pmod(F.xxhash64("id"), F.lit(3)).alias("part"))
+        sample, F.col("doc_id") == F.col("id")).select("toxic", "text", F.pmod(F.xxhash64("id"), F.lit(4)).alias("part"))
     for_words, for_patterns = rows.filter("part != 0").select("toxic", "text"), rows.filter("part = 0").select("toxic", "text")
     sizes = {r["toxic"]: r["count"] for r in for_words.groupBy("toxic").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
