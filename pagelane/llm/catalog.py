@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagelane.llm import (op1_exact_dedup, op3_line_dedup, op4_mixing, op5_ngram_join, op6_toxicity, op7_language_id, op8_warc,
-                          op9_url_filters, op10_packing)
+from pagelane.llm import (op1_exact_dedup, op2_exact_topk, op3_line_dedup, op4_mixing, op5_ngram_join, op6_toxicity, op7_language_id,
+                          op8_warc, op9_url_filters, op10_packing)
 
 _MODULES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_exact_topk": op2_exact_topk,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
