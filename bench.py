@@ -44,6 +44,7 @@ def main() -> None:
     import __spark_entry__ as entry
 
     spark = build_session(f"local[{cpus}]", cpus, app_name="pagelane-bench")
+    spark.conf.set("pagelane.minPartitions", cpus)  # the tables are single files
     qs = entry.queries()
     wanted = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n]
     names = [n for n in (wanted or HEADLINE) if n in qs]

@@ -47,11 +47,17 @@ def sanitize_name(c) -> Column:
     return F.when(kept.endswith(".pdf"), kept).otherwise(F.concat(kept, F.lit(".pdf")))
 
 
-def sanitize_text(c, max_length: int = 1000) -> Column:
-    """Free-text hygiene (B9): cut to ``max_length`` code points first, then
-    drop everything outside printable ASCII. Non-strings give NULL."""
-    n = max(int(max_length), 0)
-    return F.regexp_replace(F.left(_col(c), F.lit(n)), r"[^\x20-\x7E]", "")
+def sanitize_text(c, max_length: int | None = 1000) -> Column:
+    """Free-text hygiene (B9): cut to ``max_length`` code points first (the rule
+    for user input; None, for document texts, cuts nothing), then drop
+    everything outside printable ASCII. Non-strings give NULL."""
+    text = _col(c) if max_length is None else F.left(_col(c), F.lit(max(int(max_length), 0)))
+    return F.regexp_replace(text, r"[^\x20-\x7E]", "")
+
+
+def cut_characters(c, max_length: int = 1000) -> Column:
+    """How many characters ``sanitize_text`` cuts off at ``max_length``."""
+    return F.greatest(F.length(_col(c)) - F.lit(max(int(max_length), 0)), F.lit(0))
 
 
 def path_stem(c) -> Column:
@@ -162,6 +168,22 @@ def extract_dates(c) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(DATE_PATTERN), 0)
 
 
+def python_text(value: Column, kind: str) -> Column:
+    """The text Python's ``repr`` gives for a value: quoted strings, True/False, None."""
+    if kind == "string":
+        escaped = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+        for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            escaped = F.replace(escaped, F.lit(char), F.lit(code))
+        double = value.contains("'") & ~value.contains('"')
+        single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        text = F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single)
+    elif kind == "boolean":
+        text = F.when(value, F.lit("True")).otherwise(F.lit("False"))
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), F.lit("None")).otherwise(text)
+
+
 def sql_quote(text: str) -> str:
     """Literal for SQL text built by the library (single quotes doubled)."""
     return "'" + text.replace("'", "''") + "'"

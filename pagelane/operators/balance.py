@@ -1,22 +1,22 @@
-"""Parallelism for CPU-heavy per-row stages."""
+"""Parallelism for CPU-heavy per-row stages, as the caller asks for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Session setting: partitions to deal small inputs out to. Unset: the scan's splits stay.
+SETTING = "pagelane.minPartitions"
 
-def spread(df: DataFrame, keys=(), min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition ``df`` when it has fewer partitions than the cluster
-    has cores.
 
-    Parsing, validation, rendering and regex work cost far more per row
-    than reading; a single unsplittable input file would otherwise run
-    them in one task. Keys should include the page key, not only the
-    document key, so that one large document is still spread. On a large
-    input that already has enough splits this is a no-op (no shuffle).
+def spread(df: DataFrame, keys=(), partitions: int | None = None) -> DataFrame:
+    """Hash-repartition ``df`` by ``keys`` into as many partitions as the
+    caller names, here or in the session setting ``pagelane.minPartitions``.
+
+    For inputs with fewer splits than cores whose rows are costly to work on
+    (a single Parquet file on many cores). Without the setting nothing is
+    shuffled and the plan does not depend on the cluster's size.
     """
-    target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
+    target = int(partitions or df.sparkSession.conf.get(SETTING, None) or 0)
+    if not target:
         return df
-    cols = [k for k in keys if k in df.columns]
-    return df.repartition(target, *cols) if cols else df.repartition(target)
+    return df.repartition(target, *[k for k in keys if k in df.columns])

@@ -1,4 +1,4 @@
-"""Document -> pages (D1-D3) and page positions.
+"""Document -> pages.
 
 Pages live as rows ``(doc_id, page_no, ...)``; order is a column, never
 partition order.
@@ -6,7 +6,7 @@ partition order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelane.functions import fixed
@@ -34,14 +34,12 @@ def explode_rendered_pages(docs: DataFrame, renderer, doc_col: str = "doc_id",
 
     def fn(batches):
         for pdf in batches:
-            rows = []
-            for doc, content in zip(pdf[doc_col], pdf[content_col]):
+            for doc, content in zip(pdf[doc_col], pdf[content_col]):  # one document's images at a time
                 try:
-                    images = list(renderer(content))
-                    rows.extend((doc, i, img, None) for i, img in enumerate(images))
+                    rows = [(doc, i, img, None) for i, img in enumerate(renderer(content))]
                 except Exception as exc:  # one document fails, the batch goes on
-                    rows.append((doc, -1, None, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=[doc_col, "page_no", "payload", "error"])
+                    rows = [(doc, -1, None, f"{type(exc).__name__}: {exc}")]
+                yield pd.DataFrame(rows, columns=[doc_col, "page_no", "payload", "error"])
 
     doc_type = docs.schema[doc_col].dataType.simpleString()
     schema = f"{doc_col} {doc_type}, page_no int, payload binary, error string"
@@ -62,27 +60,3 @@ def require_all_pages(pages: DataFrame, doc_col: str = "doc_id", ok_col: str = "
 def page_counts(pages: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """D3."""
     return pages.groupBy(doc_col).agg(F.count(F.lit(1)).alias("page_count"))
-
-
-def page_positions(df: DataFrame, group_cols, order_col: str, out_col: str = "page_no",
-                   bucket_width: int = 1 << 16) -> DataFrame:
-    """0-based position of each row within its group, ordered by a numeric
-    ``order_col`` (ties broken arbitrarily but consistently).
-
-    A plain ``row_number`` window sends a whole group to one task. Here the
-    order key is cut into fixed-width buckets: the rank inside a
-    ``(group, bucket)`` is a window bounded by ``bucket_width`` keys, and the
-    offset of each bucket is a running sum over the small per-bucket count
-    table. A group holding a third of all rows is spread over its buckets.
-    """
-    group_cols = list(group_cols)
-    bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
-    keyed = df.withColumn("_bucket", bucket)
-    in_bucket = Window.partitionBy(*group_cols, "_bucket").orderBy(order_col)
-    local = keyed.withColumn("_local", F.row_number().over(in_bucket) - 1)
-    counts = keyed.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
-    return (local.join(offsets, group_cols + ["_bucket"])
-            .withColumn(out_col, (F.col("_offset") + F.col("_local")).cast("int"))
-            .drop("_bucket", "_local", "_offset"))

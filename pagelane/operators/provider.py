@@ -1,17 +1,20 @@
-"""Model calls as a Spark stage (E2, E7, E9) and the offline keyword
+"""Model calls as Spark stages (E2, E7, E9) and the offline keyword
 classifier (E11).
 
 A provider is any picklable callable ``provider(payloads, prompts) ->
-list[str | None]`` over one Arrow batch. It is built once per partition
-(``factory()``), runs inside ``mapInPandas``, and every page is isolated:
-an exception on one page gives ``text=NULL, error=...`` for that page and
-the batch goes on. Because model answers are not deterministic and task
-retries would call the model again, answers are written to the shared
-checkpoint folder before anything reads them twice.
+list[str | None]``, built once per partition (``factory()``) and called from
+up to ``CONCURRENCY`` threads of the task, a page at a time, because one call
+takes seconds and waits for the network. Every page is isolated: an exception
+gives ``text=NULL, error=...`` for that page and the rest goes on. Answers are
+not deterministic and a retried task calls the model again, so they are written
+to the shared folder before anything reads them twice.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 from pagelane.functions import fixed
 from pagelane.session import ensure_checkpoint_dir
 
+CONCURRENCY = 4
+_ROWS_PER_BATCH = 256
+
 
 def provider_options() -> dict:
     """Options every provider receives: the system instruction and the
@@ -29,14 +35,15 @@ def provider_options() -> dict:
 
 def call_provider(df: DataFrame, factory: Callable[..., Callable], payload_col: str, prompt_col: str,
                   out_col: str = "response", partitions: int | None = None,
-                  key_cols=("doc_id", "page_no"), options: dict | None = None) -> DataFrame:
+                  key_cols=("doc_id", "page_no"), options: dict | None = None,
+                  concurrency: int = CONCURRENCY) -> DataFrame:
     """Run ``factory(**options)`` once per partition over ``(payload, prompt)``
     rows (``factory()`` when no options are given).
 
     Rows whose prompt is NULL are passed through without a call.
-    ``partitions`` bounds concurrent calls (explicit count, so AQE does not
-    coalesce it away); pages of one document are spread by
-    ``(doc_id, page_no)`` hashing.
+    ``partitions`` x ``concurrency`` bounds the calls in flight (explicit
+    count, so AQE does not coalesce it away); pages of one document are spread
+    by ``(doc_id, page_no)`` hashing.
     """
     import pandas as pd
 
@@ -51,28 +58,105 @@ def call_provider(df: DataFrame, factory: Callable[..., Callable], payload_col:
 
     def run(batches):
         model = factory(**opts) if opts else factory()
-        for pdf in batches:
-            texts, errors = [], []
-            for payload, prompt in zip(pdf[payload_col], pdf[prompt_col]):
-                if prompt is None or (isinstance(prompt, float) and pd.isna(prompt)):
-                    texts.append(None)
-                    errors.append(None)
-                    continue
-                try:
-                    answer = model([payload], [prompt])[0]
-                    texts.append(None if answer is None else str(answer))
-                    errors.append(None)
-                except Exception as exc:  # page-level isolation (E9)
-                    texts.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            pdf = pdf.copy()
-            pdf[out_col] = texts
-            pdf[f"{out_col}_error"] = errors
-            yield pdf
+
+        def one(pair):
+            payload, prompt = pair
+            if prompt is None or (isinstance(prompt, float) and pd.isna(prompt)):
+                return None, None
+            return _answer(model, payload, prompt)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                answers = list(pool.map(one, zip(pdf[payload_col], pdf[prompt_col])))
+                pdf = pdf.copy()
+                pdf[out_col] = [text for text, _ in answers]
+                pdf[f"{out_col}_error"] = [error for _, error in answers]
+                yield pdf
 
     return src.mapInPandas(run, out_schema)
 
 
+def _answer(model, payload, prompt):
+    """``(text, error)`` of one call."""
+    try:
+        answer = model([payload], [prompt])[0]
+        return (None if answer is None else str(answer)), None
+    except Exception as exc:
+        return None, f"{type(exc).__name__}: {exc}"
+
+
+def _in_flight(pool, work, items, limit):
+    """Results of ``work(item)`` in order, never more than ``limit`` items taken ahead."""
+    items, waiting = iter(items), deque()
+    for item in islice(items, limit):
+        waiting.append(pool.submit(work, item))
+    while waiting:
+        yield waiting.popleft().result()
+        for item in islice(items, 1):
+            waiting.append(pool.submit(work, item))
+
+
+ANSWER_SCHEMA = "page_no int, document_type string, response string, error string"
+
+
+def answer_documents(docs: DataFrame, renderer, factory, custom_prompt: str | None = None, classification: bool = True,
+                     manager_structured: bool = True, call_structured: bool = True, options: dict | None = None,
+                     partitions: int | None = None, concurrency: int = CONCURRENCY, doc_col: str = "doc_id",
+                     content_col: str = "content") -> DataFrame:
+    """D1 + E1-E9 in one Python stage: binary documents to answered pages.
+
+    Renders a document's pages one after the other, classifies and extracts up
+    to ``concurrency`` of them at a time and emits text only:
+    ``(doc_id, page_no, document_type, response, error)``. A page whose call
+    fails keeps its row with an empty response and the error; a document that
+    cannot be rendered gives no page but one row with ``page_no = -1``.
+    """
+    import pandas as pd
+
+    opts = dict(options or {})
+    labels = dict(fixed.LABEL_MAP)
+    by_label = {t: prompt for kind, t, prompt in fixed.PROMPT_ROWS if kind == "extraction"}
+    classify = classification and call_structured and not custom_prompt
+    fallback = not classification or not manager_structured
+
+    def prompt_for(label):
+        if custom_prompt:
+            return custom_prompt
+        return fixed.MARKDOWN_FALLBACK_PROMPT if fallback else by_label.get(label, fixed.GENERAL_DOCUMENT_PROMPT)
+
+    def run(batches):
+        model = factory(**opts) if opts else factory()
+
+        def one(numbered):
+            number, image = numbered
+            label = fixed.DEFAULT_LABEL
+            if classify:
+                said, _ = _answer(model, image, fixed.CLASSIFICATION_PROMPT)
+                label = labels.get((said or "").strip().lower(), fixed.DEFAULT_LABEL)
+            text, error = _answer(model, image, prompt_for(label))
+            return number, label, text or "", error
+
+        def pages_of(content, pool):
+            try:
+                yield from _in_flight(pool, one, enumerate(renderer(content)), concurrency)
+            except Exception as exc:  # one document fails, the batch goes on
+                yield -1, None, None, f"{type(exc).__name__}: {exc}"
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                for doc, content in zip(pdf[doc_col], pdf[content_col]):
+                    rows = pages_of(content, pool)
+                    while chunk := list(islice(rows, _ROWS_PER_BATCH)):
+                        yield pd.DataFrame([(doc, *row) for row in chunk],
+                                           columns=[doc_col, "page_no", "document_type", "response", "error"])
+
+    doc_type = docs.schema[doc_col].dataType.simpleString()
+    source = docs.select(doc_col, content_col)
+    if partitions:
+        source = source.repartition(int(partitions), doc_col)
+    return source.mapInPandas(run, f"{doc_col} {doc_type}, {ANSWER_SCHEMA}")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Persist model answers reliably (shared checkpoint folder) so later
     actions and retries never call the model again."""
@@ -81,15 +165,16 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame, factory, payload_col: str = "payload", partitions: int | None = None,
-                   structured: bool = True, custom_col: str | None = None, options: dict | None = None) -> DataFrame:
-    """E2 + E3: classify a page only when structured extraction is on and
-    no custom prompt is given; failures and empty answers become ``other``."""
-    from pagelane.operators.routing import normalize_label
-
-    needs = F.lit(bool(structured))
-    if custom_col:
-        needs = needs & (F.coalesce(F.col(custom_col), F.lit("")) == "")
-    with_prompt = pages.withColumn("_cls_prompt", F.when(needs, F.lit(fixed.CLASSIFICATION_PROMPT)))
+                   call_structured: bool = True, custom_col: str | None = None, options: dict | None = None,
+                   classification: bool = True) -> DataFrame:
+    """E2 + E3: classify a page only when the manager's classification and the
+    call's structured flag are on and no custom prompt is given; failures and
+    empty answers become ``other``."""
+    from pagelane.operators.routing import normalize_label, page_prompts
+
+    routed = page_prompts(pages.withColumn("_label", F.lit(None).cast("string")), "_label", custom_col,
+                          classification, True, call_structured)
+    with_prompt = routed.withColumnRenamed("classification_prompt", "_cls_prompt").drop("page_prompt", "n_calls", "_label")
     called = call_provider(with_prompt, factory, payload_col, "_cls_prompt", "class_response", partitions,
                            options=options)
     label = F.when(F.coalesce(F.col("class_response"), F.lit("")) == "", F.lit("other")) \
@@ -98,13 +183,14 @@ def classify_pages(pages: DataFrame, factory, payload_col: str = "payload", part
 
 
 def extract_pages(pages: DataFrame, factory, payload_col: str = "payload", partitions: int | None = None,
-                  structured: bool = True, custom_col: str | None = None, options: dict | None = None) -> DataFrame:
+                  manager_structured: bool = True, custom_col: str | None = None, options: dict | None = None,
+                  classification: bool = True, call_structured: bool = True) -> DataFrame:
     """E4 + E7 + E8 + E9: second call with the routed prompt; the page text
     is ``coalesce(answer, '')`` and the error is kept beside it."""
-    from pagelane.operators.routing import extraction_prompt
+    from pagelane.operators.routing import page_prompts
 
-    prompt = extraction_prompt("document_type", custom_col, structured=structured)
-    with_prompt = pages.withColumn("_ext_prompt", prompt)
+    routed = page_prompts(pages, "document_type", custom_col, classification, manager_structured, call_structured)
+    with_prompt = routed.withColumnRenamed("page_prompt", "_ext_prompt").drop("classification_prompt", "n_calls")
     called = call_provider(with_prompt, factory, payload_col, "_ext_prompt", "response", partitions,
                            options=options)
     return called.withColumn("response", F.coalesce(F.col("response"), F.lit(""))).drop("_ext_prompt")

@@ -31,43 +31,7 @@ from pyspark.sql import functions as F
 from pagelane.functions import fixed
 from pagelane.functions.text import strip_fence, unicode_trim
 
-# Record field lists in declared order: (name, kind).
-TRANSACTION_FIELDS = [
-    ("date", "str"), ("description", "str"), ("amount", "float"), ("balance", "float"),
-    ("transaction_type", "txtype"), ("reference", "str"),
-]
-
-SCHEMAS = {
-    "bank_statement": [
-        ("document_type", "doctype"), ("account_holder", "str"), ("account_number", "str"),
-        ("bank_name", "str"), ("statement_period", "str"), ("opening_balance", "float"),
-        ("closing_balance", "float"), ("total_credits", "float"), ("total_debits", "float"),
-        ("transactions", "txlist"), ("address", "str"), ("phone", "str"), ("email", "str"),
-    ],
-    "insurance_form": [
-        ("document_type", "doctype"), ("policy_number", "str"), ("claim_number", "str"),
-        ("insured_name", "str"), ("incident_date", "str"), ("incident_description", "str"),
-        ("claim_amount", "float"), ("policy_type", "str"), ("address", "str"), ("phone", "str"),
-        ("email", "str"),
-    ],
-    "accident_claim": [
-        ("document_type", "doctype"), ("claim_number", "str"), ("claimant_name", "str"),
-        ("accident_date", "str"), ("accident_location", "str"), ("accident_description", "str"),
-        ("vehicle_details", "str"), ("damage_amount", "float"), ("police_report", "str"),
-        ("witnesses", "strlist"), ("address", "str"), ("phone", "str"), ("email", "str"),
-    ],
-    "invoice": [
-        ("document_type", "doctype"), ("invoice_number", "str"), ("invoice_date", "str"),
-        ("due_date", "str"), ("vendor_name", "str"), ("customer_name", "str"),
-        ("total_amount", "float"), ("tax_amount", "float"), ("subtotal", "float"),
-        ("items", "strlist"), ("vendor_address", "str"), ("customer_address", "str"),
-    ],
-    "other": [
-        ("document_type", "doctype"), ("title", "str"), ("date", "str"), ("parties", "strlist"),
-        ("addresses", "strlist"), ("phone_numbers", "strlist"), ("email_addresses", "strlist"),
-        ("amounts", "floatlist"), ("dates", "strlist"), ("key_information", "dict"),
-    ],
-}
+SCHEMAS, TRANSACTION_FIELDS = fixed.SCHEMAS, fixed.TRANSACTION_FIELDS
 
 # Struct column that carries each schema's record.
 RECORD_COLUMNS = {
@@ -100,14 +64,6 @@ def _get(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def _kind(x: Column) -> Column:
-    return F.schema_of_variant(x)
-
-
-def _is_null(x: Column) -> Column:
-    return F.is_variant_null(x)
-
-
 def _float_words() -> Column:
     pairs = [("nan", "NaN"), ("+nan", "NaN"), ("-nan", "NaN"), ("inf", "Infinity"), ("+inf", "Infinity"),
              ("infinity", "Infinity"), ("+infinity", "Infinity"), ("-inf", "-Infinity"),
@@ -373,23 +329,21 @@ def parse_responses(df: DataFrame, response_col: str = "response", label_col: st
 
 
 def union_records(parsed: DataFrame, key_cols) -> DataFrame:
-    """the five record kinds as one wide relation (one row per valid record)."""
-    parts = []
+    """the five record kinds as one wide relation (one row per valid
+    record), in one pass: a field comes from whichever record the row has."""
+    owners: dict[str, list[str]] = {}
     for st in fixed.SCHEMA_TYPES:
-        col = RECORD_COLUMNS[st]
-        parts.append(parsed.filter(F.col(col).isNotNull())
-                     .select(*key_cols, F.lit(st).alias("schema_type"), f"{col}.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        for name, _ in SCHEMAS[st]:
+            owners.setdefault(name, []).append(RECORD_COLUMNS[st])
+    fields = [F.coalesce(*[F.col(f"{col}.{name}") for col in cols]).alias(name) for name, cols in owners.items()]
+    return parsed.filter(F.col("parse_status") == "ok").select(*key_cols, "schema_type", *fields)
 
 
 def explode_transactions(parsed: DataFrame, key_cols) -> DataFrame:
     """one row per transaction of each valid statement, in order."""
     return (parsed
-            .select(*key_cols, F.posexplode("bank_statement.transactions").alias("txn_no", "txn"))
-            .select(*key_cols, "txn_no", "txn.*"))
+            .select(*key_cols, F.posexplode_outer("bank_statement.transactions").alias("txn_no", "txn"))
+            .filter(F.col("txn_no").isNotNull()).select(*key_cols, "txn_no", "txn.*"))
 
 
 def record_json(c) -> Column:

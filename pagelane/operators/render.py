@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelane.functions.text import fmt2, money, or_na
-from pagelane.operators.records import RECORD_COLUMNS, record_json
+from pagelane.functions.text import fmt2, money, or_na, python_text
+from pagelane.operators.records import RECORD_COLUMNS, SCHEMAS, TRANSACTION_FIELDS
 
 NL = "\n"
 
@@ -132,6 +132,13 @@ def render_page(p: Column) -> Column:
     return F.struct(*[p[f].alias(f) for f in fields], markdown.alias("markdown"), page_status.alias("page_status"))
 
 
+def with_page_status(parsed: DataFrame) -> DataFrame:
+    """``page_status`` alone: ``parse_status``, or ``type_mismatch`` for a valid
+    record whose own type no renderer of its schema takes."""
+    mismatch = (F.col("parse_status") == "ok") & ~F.coalesce(renders(F.col("schema_type"), F.col("record_type")), F.lit(False))
+    return parsed.withColumn("page_status", F.when(mismatch, F.lit("type_mismatch")).otherwise(F.col("parse_status")))
+
+
 def render_markdown(parsed: DataFrame, response_col: str = "response",
                     out_col: str = "markdown") -> DataFrame:
     """G1 on a frame produced by ``parse_responses``; adds ``out_col`` and
@@ -145,21 +152,88 @@ def render_markdown(parsed: DataFrame, response_col: str = "response",
             .drop("_md"))
 
 
+def _number_text(x: Column) -> Column:
+    """A float as Python prints it, for values of up to ten decimals below 10^16."""
+    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(28,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    return F.when(F.abs(x) < 1e16, plain).otherwise(x.cast("string"))
+
+
+def _enum_text(enum: str, x: Column) -> Column:
+    return F.concat(F.lit(f"<{enum}."), F.upper(x), F.lit(": '"), x, F.lit("'>"))
+
+
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+def _field_text(x: Column, kind: str) -> Column:
+    """A field's value as the record's ``str()`` shows it."""
+    if kind == "str":
+        text = python_text(x, "string")
+    elif kind == "float":
+        text = _number_text(x)
+    elif kind == "doctype":
+        text = _enum_text("DocumentType", x)
+    elif kind == "txtype":
+        text = _enum_text("TransactionType", x)
+    elif kind == "strlist":
+        text = _listed(F.transform(x, lambda e: python_text(e, "string")))
+    elif kind == "floatlist":
+        text = _listed(F.transform(x, _number_text))
+    elif kind == "txlist":
+        text = _listed(F.transform(x, lambda t: F.concat(
+            F.lit("Transaction("), _fields_text(t, TRANSACTION_FIELDS, ", "), F.lit(")"))))
+    else:
+        text = F.to_json(x)
+    return F.coalesce(text, F.lit("None"))
+
+
+def _fields_text(record: Column, fields, separator: str) -> Column:
+    return F.concat_ws(separator, *[F.concat(F.lit(f"{name}="), _field_text(record[name], kind)) for name, kind in fields])
+
+
+def _json_text(x: Column, kind: str, indent: int) -> Column:
+    """A field's value as JSON, nested values indented by two."""
+    inner, close = "\n" + " " * (indent + 2), "\n" + " " * indent
+
+    def block(items, brackets):
+        return F.when(F.size(items) == 0, F.lit(brackets)).otherwise(
+            F.concat(F.lit(brackets[0] + inner), F.array_join(items, "," + inner), F.lit(close + brackets[1])))
+
+    def quoted(e):
+        return F.regexp_replace(F.to_json(F.array(e)), r"(?s)^\[|\]$", "")
+    if kind == "float":
+        text = _number_text(x)
+    elif kind == "strlist":
+        text = block(F.transform(x, quoted), "[]")
+    elif kind == "floatlist":
+        text = block(F.transform(x, _number_text), "[]")
+    elif kind == "txlist":
+        text = block(F.transform(x, lambda t: _json_object(t, TRANSACTION_FIELDS, indent + 2)), "[]")
+    elif kind == "dict":
+        text = F.to_json(x)
+    else:
+        text = F.when(x.isNotNull(), quoted(x))
+    return F.coalesce(text, F.lit("null"))
+
+
+def _json_object(record: Column, fields, indent: int = 0) -> Column:
+    inner, close = "\n" + " " * (indent + 2), "\n" + " " * indent
+    body = [F.concat(F.lit(f'"{name}": '), _json_text(record[name], kind, indent + 2)) for name, kind in fields]
+    return F.concat(F.lit("{" + inner), F.concat_ws("," + inner, *body), F.lit(close + "}"))
+
+
 def format_output(parsed: DataFrame, output_format: str = "markdown", response_col: str = "response",
                   out_col: str = "output") -> DataFrame:
-    """Raw text passes through; ``json`` gives the record as JSON;
-    ``markdown`` the rendering; anything else ``field=value`` text."""
+    """Raw text passes through; ``json`` gives the record as JSON indented
+    by two; ``markdown`` the rendering; anything else ``field=value`` text.
+    (The free-form ``key_information`` object is compact JSON in both.)"""
     if output_format == "markdown":
         return render_markdown(parsed, response_col, out_col)
-    ok = F.col("parse_status") == "ok"
     body = F.lit(None).cast("string")
     for st, col in RECORD_COLUMNS.items():
         rec = F.col(col)
-        if output_format == "json":
-            text = record_json(rec)
-        else:
-            text = F.to_json(rec, {"ignoreNullFields": "false"})
-            text = F.regexp_replace(F.regexp_replace(text, r'^\{|\}$', ""), r'"([A-Za-z_]+)":', "$1=")
+        text = _json_object(rec, SCHEMAS[st]) if output_format == "json" else _fields_text(rec, SCHEMAS[st], " ")
         body = F.when(F.col("schema_type") == st, text).otherwise(body)
-    return parsed.withColumn(out_col, F.when(ok, body).when(F.col("parse_status") == "empty", F.lit(""))
+    return parsed.withColumn(out_col, F.when(F.col("parse_status") == "ok", body).when(F.col("parse_status") == "empty", F.lit(""))
                              .otherwise(F.col(response_col)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelane.functions import fixed
-from pagelane.functions.text import py_strip
+from pagelane.functions.text import py_strip, python_text
 from pagelane.operators.records import SCHEMAS, TRANSACTION_FIELDS, _SPARK_TYPES
 
 
@@ -63,17 +63,44 @@ def route_prompts(df: DataFrame, custom_col: str | None = "custom_prompt",
             .withColumn("classification_prompt", cls.cast("string")))
 
 
-def _python_dict_text(m: Column) -> Column:
-    """Render MAP<STRING,STRING> as Python's ``{'k': 'v', ...}`` text."""
+def page_prompts(df: DataFrame, label_col: str = "document_type", custom_col: str | None = "custom_prompt",
+                 classification: Column | bool = True, manager_structured: Column | bool = True,
+                 call_structured: Column | bool = True) -> DataFrame:
+    """E1 + E4 + E7 per page: ``classification_prompt`` (NULL: no such call),
+    ``page_prompt`` of the extraction call and ``n_calls``.
+
+    Three flags, literals or columns. The manager's classification flag off
+    gives the markdown fallback prompt; the call's structured flag off only
+    skips the classification call, so the page counts as ``other``; the
+    manager's structured flag off gives the fallback prompt for every label.
+    """
+    def flag(x):
+        return x if isinstance(x, Column) else F.lit(bool(x))
+
+    custom = F.col(custom_col) if custom_col else F.lit(None).cast("string")
+    has_custom = F.coalesce(custom, F.lit("")) != ""
+    classify = flag(classification) & ~has_custom & flag(call_structured)
+    label = F.when(classify, F.coalesce(F.col(label_col), F.lit(fixed.DEFAULT_LABEL))).otherwise(F.lit(fixed.DEFAULT_LABEL))
+    fallback = F.lit(fixed.MARKDOWN_FALLBACK_PROMPT)
+    prompt = (F.when(has_custom, custom).when(~flag(classification), fallback)
+              .when(~flag(manager_structured), fallback).otherwise(extraction_prompt(label)))
+    return (df.withColumn("classification_prompt", F.when(classify, F.lit(fixed.CLASSIFICATION_PROMPT)))
+            .withColumn("page_prompt", prompt)
+            .withColumn("n_calls", F.when(classify, F.lit(2)).otherwise(F.lit(1))))
+
+
+def _python_dict_text(m: Column, kind: str) -> Column:
+    """Render MAP<STRING, ...> as Python's ``{'k': v, ...}`` text."""
     entries = F.transform(F.map_entries(m), lambda e: F.concat(
-        F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'")))
+        python_text(e["key"], "string"), F.lit(": "), python_text(e["value"], kind)))
     return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
 
 
-def extend_prompt(base: Column, custom_fields: Column) -> Column:
-    """E5: append the additional-fields instruction when fields are given."""
+def extend_prompt(base: Column, custom_fields: Column, kind: str = "string") -> Column:
+    """E5: append the additional-fields instruction when fields are given.
+    ``kind`` is the type of the map's values: string, boolean or number."""
     return F.when(F.coalesce(F.size(custom_fields) > 0, F.lit(False)),
-                  F.concat(base, F.lit(fixed.CUSTOM_FIELDS_INTRO), _python_dict_text(custom_fields))
+                  F.concat(base, F.lit(fixed.CUSTOM_FIELDS_INTRO), _python_dict_text(custom_fields, kind))
                   ).otherwise(base)
 
 
@@ -94,45 +121,13 @@ def prompt_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.PROMPT_ROWS, "kind string, document_type string, prompt string")
 
 
-# FIXED VALUES: field descriptions of the record schemas, in declared order.
-FIELD_DESCRIPTIONS = {
-    "document_type": "Document classification",
-    "account_holder": "Account holder name", "account_number": "Bank account number",
-    "bank_name": "Name of the bank", "statement_period": "Statement period (from - to)",
-    "opening_balance": "Opening balance", "closing_balance": "Closing balance",
-    "total_credits": "Total credit amount", "total_debits": "Total debit amount",
-    "transactions": "List of transactions",
-    "policy_number": "Insurance policy number", "insured_name": "Name of insured person",
-    "incident_date": "Date of incident", "incident_description": "Description of incident",
-    "claim_amount": "Claimed amount", "policy_type": "Type of insurance policy",
-    "claimant_name": "Name of claimant", "accident_date": "Date of accident",
-    "accident_location": "Location of accident", "accident_description": "Description of accident",
-    "vehicle_details": "Vehicle information", "damage_amount": "Estimated damage amount",
-    "police_report": "Police report number", "witnesses": "Witness information",
-    "invoice_number": "Invoice number", "invoice_date": "Invoice date", "due_date": "Payment due date",
-    "vendor_name": "Vendor/supplier name", "customer_name": "Customer name",
-    "total_amount": "Total invoice amount", "tax_amount": "Tax amount", "subtotal": "Subtotal before tax",
-    "items": "Invoice line items", "vendor_address": "Vendor address", "customer_address": "Customer address",
-    "title": "Document title or subject", "date": "Document date", "parties": "Names mentioned in document",
-    "addresses": "Addresses mentioned", "phone_numbers": "Phone numbers found",
-    "email_addresses": "Email addresses found", "amounts": "Monetary amounts found", "dates": "All dates found",
-    "key_information": "Other key information",
-    "description": "Transaction description", "amount": "Transaction amount",
-    "balance": "Account balance after transaction", "transaction_type": "Type of transaction",
-    "reference": "Transaction reference number",
-}
-
-
 def schema_catalog(spark: SparkSession) -> DataFrame:
     """One row per field of each record schema (plus the nested transaction)."""
     rows = []
     for st, fields in list(SCHEMAS.items()) + [("transaction", TRANSACTION_FIELDS)]:
         for pos, (name, kind) in enumerate(fields):
             required = kind == "txlist" or (kind == "doctype")
-            desc = FIELD_DESCRIPTIONS.get(name)
-            if st == "transaction" and name == "date":
-                desc = "Transaction date"
-            rows.append((st, pos, name, _SPARK_TYPES[kind], not required, desc))
+            rows.append((st, pos, name, _SPARK_TYPES[kind], not required, fixed.FIELD_DESCRIPTIONS[st][pos]))
     return spark.createDataFrame(
         rows, "schema_type string, position int, field string, data_type string, nullable boolean, description string")
 

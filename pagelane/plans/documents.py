@@ -4,57 +4,75 @@ markdown, one output per document, plus one result row per input.
 
 The renderer (PDF -> page images) and the model provider are supplied by
 the caller; everything between them is the table operators of this
-library. Answers are staged to the shared checkpoint folder before they
-are parsed, so retries never call the model twice for one page.
+library. Rendering and both model calls are one Python stage whose text
+rows are written to the shared folder, so nothing after it calls the model
+again and no image leaves its task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelane.functions.text import output_name
-from pagelane.operators.assemble import assemble_documents
-from pagelane.operators.pages import explode_rendered_pages
-from pagelane.operators.provider import classify_pages, extract_pages, provider_options, stage
+from pagelane.operators.admission import quarantine
+from pagelane.operators.assemble import assemble_documents, status_message
+from pagelane.operators.provider import CONCURRENCY, answer_documents, provider_options
 from pagelane.operators.records import parse_responses
 from pagelane.operators.routing import choose_output
+from pagelane.session import stage_table
 
 
 def process_documents(admitted: DataFrame, renderer, model_factory, custom_prompt: str | None = None,
-                      structured: bool = True, partitions: int | None = None, pass_options: bool = False):
+                      call_structured: bool = True, manager_structured: bool = True, classification: bool = True,
+                      partitions: int | None = None, pass_options: bool = False, concurrency: int = CONCURRENCY):
     """Return ``(results, documents)``.
 
-    ``admitted``: ``binaryFile`` rows with ``is_valid`` (see
-    ``operators.admission``). ``results`` has one row per admitted input:
-    ``(path, n_pages, status)`` where a document that could not be rendered
-    has 0 pages (H4). ``documents`` has ``(path, output_name, n_pages,
+    ``admitted``: ``binaryFile`` rows with ``is_valid`` and ``reason`` (see
+    ``operators.admission``). ``results`` has one row per input, rejects
+    included: ``(path, is_valid, reason, n_pages, n_failed_pages, error,
+    status)`` with the status line H7 and, if a page or the rendering failed,
+    the first error. ``documents`` has ``(path, output_name, n_pages,
     markdown)`` only for documents with pages (no output otherwise, H3).
-    With ``pass_options`` the factory is called as
+
+    ``classification`` and ``manager_structured`` are the manager's flags,
+    ``call_structured`` the call's (see ``routing.page_prompts``). With
+    ``pass_options`` the factory is called as
     ``model_factory(system_instruction=..., generation=...)``.
     """
     options = provider_options() if pass_options else None
-    docs = admitted.filter(F.col("is_valid")).select(F.col("path").alias("doc_id"), "content")
-    # Rendered pages are read twice (pages and failures): stage them once.
-    rendered = stage(explode_rendered_pages(docs, renderer, "doc_id", "content"))
-    pages = rendered.filter(F.col("page_no") >= 0).drop("error")
-    failed = rendered.filter(F.col("page_no") < 0).select("doc_id", "error")
-    custom = F.lit(custom_prompt).cast("string")
-    pages = pages.withColumn("custom_prompt", custom)
-    classified = classify_pages(pages, model_factory, "payload", partitions, structured, "custom_prompt", options)
-    answered = stage(extract_pages(classified, model_factory, "payload", partitions, structured, "custom_prompt",
-                                   options).drop("payload"))
-    parsed = parse_responses(answered, "response", "document_type", structured=True, with_markdown=True)
-    page_text = choose_output(F.lit(bool(structured)), F.col("custom_prompt"), F.col("markdown"), F.col("response"))
-    final_pages = parsed.select("doc_id", "page_no", page_text.alias("page_markdown"))
-    documents = (assemble_documents(final_pages, "doc_id", "page_no", "page_markdown")
-                 .select(F.col("doc_id").alias("path"), output_name(F.col("doc_id")).alias("output_name"),
-                         "n_pages", "markdown"))
-    inputs = admitted.filter(F.col("is_valid")).select("path")
-    results = (inputs.join(documents.select("path", "n_pages"), "path", "left")
-               .join(failed.withColumnRenamed("doc_id", "path"), "path", "left")
-               .select("path", F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
-                       F.when(F.col("error").isNotNull(), F.concat(F.lit("render failed: "), F.col("error")))
-                       .when(F.coalesce("n_pages", F.lit(0)) == 0, F.lit("no pages"))
-                       .otherwise(F.lit("ok")).alias("status")))
-    return results, documents
+    accepted, _ = quarantine(admitted)
+    docs = accepted.select(F.col("path").alias("doc_id"), "content")
+    answers = stage_table(answer_documents(docs, renderer, model_factory, custom_prompt, classification, manager_structured,
+                                           call_structured, options, partitions, concurrency), "answers")
+    pages = answers.filter("page_no >= 0")
+    parsed = parse_responses(pages, "response", "document_type", structured=manager_structured, with_markdown=True)
+    page_text = choose_output(F.lit(bool(call_structured)), F.lit(custom_prompt).cast("string"), F.col("markdown"), F.col("response"))
+    documents = _named(assemble_documents(parsed.select("doc_id", "page_no", page_text.alias("page_markdown")),
+                                          "doc_id", "page_no", "page_markdown"))
+    return _results(admitted, answers), documents
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    """Output names; of inputs that would write one file, all but the first by path get a number."""
+    named = documents.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id")).alias("wanted"), "n_pages", "markdown")
+    order = Window.partitionBy("wanted").orderBy("path")
+    numbers = named.select(F.col("path").alias("_path"), F.row_number().over(order).alias("_n")).filter("_n > 1")
+    numbered = F.concat(F.regexp_replace("wanted", r"\.md$", ""), F.lit("-"), F.col("_n").cast("string"), F.lit(".md"))
+    return named.join(numbers, F.col("path") == F.col("_path"), "left").select(
+        "path", F.coalesce(numbered, "wanted").alias("output_name"), "n_pages", "markdown")
+
+
+def _results(admitted: DataFrame, answers: DataFrame) -> DataFrame:
+    page = F.col("page_no") >= 0
+    failed = F.col("error").isNotNull()
+    counts = answers.groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.count(F.when(page, 1)).alias("n"), F.count(F.when(page & failed, 1)).alias("bad"),
+        F.min(F.when(failed, F.struct("page_no", "error"))).alias("first"))
+    joined = admitted.select("path", "is_valid", "reason").join(counts, F.col("path") == F.col("_doc"), "left")
+    n = F.coalesce("n", F.lit(0))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    unrendered = F.when(F.col("first.page_no") < 0, F.col("first.error"))
+    status = status_message(F.col("is_valid"), F.col("reason"), n, name, n > 0, unrendered)
+    return joined.select("path", "is_valid", "reason", n.alias("n_pages"), F.coalesce("bad", F.lit(0)).alias("n_failed_pages"),
+                         F.col("first.error").alias("error"), status.alias("status"))

@@ -12,6 +12,11 @@ from pagelane.plans import responders
 from pagelane.session import apply_runtime_conf
 
 
+def parsed_pages(answers: DataFrame) -> DataFrame:
+    """E3 -> F1-F12 on a frame with ``class_response`` and ``response``, no markdown."""
+    return parse_responses(answers.withColumn("document_type", normalize_label("class_response")), "response", "document_type")
+
+
 def classified_pages(answers: DataFrame) -> DataFrame:
     """E3 -> F1-F12 -> G1-G8 on a frame with ``class_response`` and ``response``."""
     labelled = answers.withColumn("document_type", normalize_label("class_response"))

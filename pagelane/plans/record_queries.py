@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pagelane.functions.text import sql_quote as q
 from pagelane.operators.assemble import ordered_page_texts
 from pagelane.operators.balance import spread
-from pagelane.operators.records import explode_transactions
-from pagelane.plans.flows import classified_pages
+from pagelane.operators.records import explode_transactions, union_records
+from pagelane.operators.render import format_output, with_page_status
+from pagelane.plans.flows import classified_pages, parsed_pages
 from pagelane.plans.oracles import _money, _or_na
 from pagelane.plans.responders import _fence, _q, dec2
 from pagelane.sources.tables import read_table
@@ -142,7 +143,7 @@ FROM resp"""
 
 def statement_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one row per transaction of each valid statement, in order."""
-    pages = classified_pages(statement_answers(spark, sf_dir))
+    pages = parsed_pages(statement_answers(spark, sf_dir))
     return explode_transactions(pages, ["o_orderkey"]).select(
         "o_orderkey", F.col("txn_no").cast("int").alias("txn_no"), "date", "amount", "transaction_type", "reference")
 
@@ -318,7 +319,7 @@ FROM b"""
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice pages by classified type and outcome."""
     from pagelane.plans import responders
-    pages = classified_pages(responders.invoice_answers(spark, sf_dir))
+    pages = with_page_status(parsed_pages(responders.invoice_answers(spark, sf_dir)))
     return pages.groupBy("document_type", "page_status").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -344,7 +345,7 @@ def invoice_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every valid invoice record as JSON text (nulls kept, declared order)."""
     from pagelane.operators.records import record_json
     from pagelane.plans import responders
-    pages = classified_pages(responders.invoice_answers(spark, sf_dir))
+    pages = parsed_pages(responders.invoice_answers(spark, sf_dir))
     return (pages.filter(F.col("invoice").isNotNull())
             .select("o_orderkey", record_json("invoice").alias("record_json")))
 
@@ -370,7 +371,68 @@ SELECT o_orderkey,
 FROM b WHERE is_invoice AND r NOT IN (6, 8)"""
 
 
+# -------------------------------------------------------------------- F13
+def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """insurance forms, accident claims and general documents as one relation."""
+    claims = claim_answers(spark, sf_dir).select(F.lit("claim").alias("source"), F.col("o_orderkey").alias("key"), "class_response", "response")
+    general = general_answers(spark, sf_dir).select(F.lit("general").alias("source"), F.col("p_partkey").alias("key"), "class_response", "response")
+    pages = parsed_pages(claims.unionByName(general))
+    return union_records(pages, ["source", "key"]).select("source", "key", "schema_type", "document_type", "claim_number", "policy_number",
+                                                          "insured_name", "claimant_name", "claim_amount", "damage_amount", "title", "address")
+
+
+def record_union_sql() -> str:
+    return """
+WITH c AS (
+  SELECT o.*, c.c_name, n.n_name, o_orderkey % 11 AS m, o_orderpriority IN ('1-URGENT', '2-HIGH') AS ins,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amt
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+)
+SELECT 'claim' AS source, o_orderkey AS key, CASE WHEN ins THEN 'insurance_form' ELSE 'accident_claim' END AS schema_type,
+       CASE WHEN ins THEN 'insurance_form' ELSE 'accident_claim' END AS document_type,
+       CASE WHEN ins THEN 'CLM-' ELSE 'ACC-' END || o_orderkey AS claim_number, CASE WHEN ins THEN 'POL-' || o_custkey END AS policy_number,
+       CASE WHEN ins THEN c_name END AS insured_name, CASE WHEN NOT ins THEN c_name END AS claimant_name,
+       CASE WHEN ins THEN amt END AS claim_amount, CASE WHEN NOT ins THEN CASE WHEN m = 7 THEN 1.0 ELSE amt END END AS damage_amount,
+       NULL AS title, CASE WHEN ins THEN n_name END AS address
+FROM c WHERE NOT (ins AND m = 3) AND NOT (NOT ins AND m = 5)
+UNION ALL
+SELECT 'general', p_partkey, 'other', CASE WHEN p_partkey % 7 = 5 THEN 'contract' ELSE 'other' END, NULL, NULL, NULL, NULL, NULL, NULL, p_name, NULL
+FROM part WHERE p_partkey % 7 NOT IN (4, 6)"""
+
+
+# --------------------------------------------------------------------- G9
+def record_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements and invoices as indented JSON and as ``field=value`` text."""
+    from pagelane.plans import responders
+    pages = parsed_pages(responders.invoice_answers(spark, sf_dir)).filter((F.col("document_type") == "invoice") & (F.col("parse_status") == "ok"))
+    both = format_output(format_output(pages, "json", out_col="as_json"), "text", out_col="as_text")
+    return both.select("o_orderkey", "as_json", "as_text")
+
+
+def record_formats_sql() -> str:
+    from pagelane.plans.responders import INVOICE_CLASS_ANSWERS
+    return f"""
+WITH b AS (
+  SELECT o.o_orderkey, o.o_orderpriority AS pr, c.c_name, CASE WHEN o.o_orderstatus = 'P' THEN '' ELSE c.c_mktsegment END AS vendor,
+         strftime(o.o_orderdate, '%Y-%m-%d') AS d, o.o_orderkey % 10 AS r,
+         CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR) AS amt,
+         CASE WHEN o.o_orderkey % 10 = 9 THEN 'receipt' ELSE 'invoice' END AS t,
+         lower(trim({_pick_sql('o.o_orderkey', INVOICE_CLASS_ANSWERS)}, ' ' || chr(9) || chr(10))) IN ('invoice', 'receipt', 'bill') AS is_invoice
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+)
+SELECT o_orderkey,
+  replace('{{|  "document_type": "' || t || '",|  "invoice_number": "INV-' || o_orderkey || '",|  "invoice_date": "' || d
+  || '",|  "due_date": null,|  "vendor_name": "' || vendor || '",|  "customer_name": "' || c_name || '",|  "total_amount": ' || amt
+  || ',|  "tax_amount": null,|  "subtotal": null,|  "items": [|    "' || pr || '"|  ],|  "vendor_address": null,|  "customer_address": null|}}', '|', {NL}) AS as_json,
+  replace('document_type=<DocumentType.' || upper(t) || ': ~' || t || '~> invoice_number=~INV-' || o_orderkey || '~ invoice_date=~' || d
+  || '~ due_date=None vendor_name=~' || vendor || '~ customer_name=~' || c_name || '~ total_amount=' || amt
+  || ' tax_amount=None subtotal=None items=[~' || pr || '~] vendor_address=None customer_address=None', '~', chr(39)) AS as_text
+FROM b WHERE is_invoice AND r NOT IN (6, 8)"""
+
+
 QUERIES = {
+    "record_union": (record_union, record_union_sql),
+    "record_formats": (record_formats, record_formats_sql),
     "invoice_records_json": (invoice_records_json, invoice_records_json_sql),
     "statement_pages": (statement_pages, statement_pages_sql),
     "statement_transactions": (statement_transactions, statement_transactions_sql),

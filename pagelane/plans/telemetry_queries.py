@@ -14,8 +14,8 @@ from pagelane.functions import fixed
 from pagelane.operators.pages import explode_text_pages, page_counts
 from pagelane.operators.records import parse_json_strict
 from pagelane.operators.balance import spread
-from pagelane.operators.telemetry import (io_throughput, load_windows, metrics_report, rank_bottlenecks, ratio,
-                                          run_metrics, size_classes, throughput)
+from pagelane.operators.telemetry import (io_throughput, load_windows, metrics_report, parse_log, rank_bottlenecks, ratio,
+                                          run_metrics, size_classes, suite_summary, throughput)
 from pagelane.sources.tables import read_table
 
 
@@ -141,7 +141,7 @@ SELECT size_class, count(*) AS documents, count(*) / sum(count(*)) OVER () AS sh
 # J8
 def minute_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir, "ts", "value", "event_type")
-    return load_windows(e, "ts", "value", _is_error(), "1 minute")
+    return load_windows(e, "ts", "value", _is_error(), "1 minute", exact=True)
 
 
 def minute_load_sql() -> str:
@@ -168,7 +168,49 @@ SELECT event_id, coalesce(json_valid(props), false) AS json_ok,
 FROM events"""
 
 
+# Log lines built from the events
+def _log_lines(spark, sf_dir) -> DataFrame:
+    """One log line per event: errors are ERROR, views DEBUG, the rest INFO;
+    every tenth is no log line, every 97th carries a key-shaped string."""
+    e = _events(spark, sf_dir, "event_id", "ts", "event_type")
+    level = F.when(F.col("event_type") == "error", F.lit("ERROR")).when(F.col("event_type") == "view", F.lit("DEBUG")).otherwise(F.lit("INFO"))
+    message = F.concat(F.lit("event "), F.col("event_id").cast("string"),
+                       F.when(F.col("event_id") % 97 == 0, F.concat(F.lit(" key AIza"), F.md5(F.col("event_id").cast("string")))).otherwise(F.lit("")))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - "), level, F.lit(" - "), message)
+    return e.select(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("  at frame "), message)).otherwise(line).alias("value"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_log(_log_lines(spark, sf_dir))
+    return parsed.groupBy("level").agg(F.count(F.lit(1)).alias("lines"), F.count("ts").alias("timed"),
+                                       F.count(F.when(F.col("message").rlike(fixed.API_KEY_PATTERN), 1)).alias("with_key"))
+
+
+def log_lines_sql() -> str:
+    return """
+SELECT CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
+       count(*) AS lines, count(CASE WHEN event_id % 10 <> 0 THEN 1 END) AS timed, count(CASE WHEN event_id % 97 = 0 THEN 1 END) AS with_key
+FROM events GROUP BY 1"""
+
+
+# Events as test outcomes
+def suite_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir, "event_id", "event_type")
+    outcome = F.when(F.col("event_type") == "error", F.lit("error")).when(F.col("event_id") % 50 == 0, F.lit("failure")).otherwise(F.lit("pass"))
+    return suite_summary(e.select(outcome.alias("outcome")))
+
+
+def suite_results_sql() -> str:
+    return """
+WITH s AS (SELECT count(*) AS tests_run,
+  CAST(sum(CASE WHEN event_type <> 'error' AND event_id % 50 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events)
+SELECT *, CASE WHEN tests_run > 0 THEN (tests_run - failures - errors) * 100.0::DOUBLE / tests_run ELSE 0.0 END AS success_rate FROM s"""
+
+
 QUERIES = {
+    "log_lines": (log_lines, log_lines_sql),
+    "suite_results": (suite_results, suite_results_sql),
     "run_stats": (run_stats, run_stats_sql),
     "event_throughput": (event_throughput, event_throughput_sql),
     "run_report": (run_report, run_report_sql),

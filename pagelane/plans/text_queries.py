@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelane.functions import fixed
-from pagelane.functions.text import (PY_SPACE_CHARS, content_hash, extract_amounts, extract_dates,
+from pagelane.functions.text import (PY_SPACE_CHARS, content_hash, cut_characters, extract_amounts, extract_dates,
                                      extract_emails, extract_phones, normalize_prompt, output_name,
                                      sanitize_name, sanitize_text, sql_quote as q, unsafe_folder)
-from pagelane.operators.assemble import assemble_documents, batch_results, batch_summary, first_document
+from pagelane.operators.assemble import (assemble_documents, batch_summary, first_document, page_totals,
+                                         status_message)
 from pagelane.operators.balance import spread
 from pagelane.operators.pages import explode_text_pages, page_counts, require_all_pages
 from pagelane.operators.provider import KEYWORDS, keyword_classify
-from pagelane.operators.routing import extend_prompt, extraction_prompt, normalize_label, route_prompts
+from pagelane.operators.records import parse_responses
+from pagelane.operators.routing import (choose_output, empty_response, extend_prompt, extraction_prompt,
+                                        normalize_label, page_prompts, route_prompts)
 from pagelane.plans.responders import INVOICE_CLASS_ANSWERS
 from pagelane.sources.tables import read_table
 
 NL = "chr(10)"
+USER_INPUT_CHARS = 1000  # the reference rule for user input
 
 
 def _chars_sql(chars: str) -> str:
@@ -38,13 +42,26 @@ def _docs(spark, sf_dir, *cols) -> DataFrame:
 
 # --------------------------------------------------------------------------- B9
 def text_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts, cleaned and not cut."""
     d = _docs(spark, sf_dir, "doc_id", "text")
-    return d.select("doc_id", sanitize_text(F.col("text"), 1000).alias("clean_text"))
+    return d.select("doc_id", sanitize_text(F.col("text"), None).alias("clean_text"))
 
 
 def text_sanitize_sql() -> str:
-    return ("SELECT doc_id, regexp_replace(left(text, 1000), '[^\\x20-\\x7E]', '', 'g') AS clean_text "
-            "FROM documents")
+    return "SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E]', '', 'g') AS clean_text FROM documents"
+
+
+def user_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule for user input: user turns cut to ``USER_INPUT_CHARS`` and
+    cleaned, with the number of characters cut off."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return c.select("conv_id", "turn", sanitize_text("text", USER_INPUT_CHARS).alias("clean_text"),
+                    cut_characters("text", USER_INPUT_CHARS).alias("n_cut"))
+
+
+def user_inputs_sql() -> str:
+    return (f"SELECT conv_id, turn, regexp_replace(left(text, {USER_INPUT_CHARS}), '[^\\x20-\\x7E]', '', 'g') AS clean_text, "
+            f"CAST(greatest(length(text) - {USER_INPUT_CHARS}, 0) AS INTEGER) AS n_cut FROM conversations WHERE role = 'user'")
 
 
 # ------------------------------------------------------------ B8, B10, B13, C1
@@ -165,10 +182,8 @@ FROM p GROUP BY conv_id"""
 
 # ---------------------------------------------------------------------- H4, H5
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _conversation_pages(spark, sf_dir)
-    inputs = pages.select("doc_id").distinct()
-    results = batch_results(inputs, require_all_pages(pages), "doc_id", "page_no", "text")
-    return batch_summary(results, "doc_id").select(F.col("doc_id").alias("conv_id"), "pages", "documents",
+    totals = page_totals(_conversation_pages(spark, sf_dir))
+    return batch_summary(totals, "doc_id", F.col("n_pages")).select(F.col("doc_id").alias("conv_id"), "pages", "documents",
                                                    "failed", "summary")
 
 
@@ -189,7 +204,7 @@ WITH good AS (
 SELECT conv_id, pages, documents, failed,
        CASE WHEN g = 1 THEN printf('%d documents, %d pages, %d failed', documents, pages, failed)
             WHEN pages = 0 THEN {q(fixed.BATCH_FAILED)}
-            ELSE printf('%d pages', pages) END AS summary
+            ELSE printf('%d pages extracted', pages) END AS summary
 FROM a"""
 
 
@@ -327,12 +342,8 @@ SELECT page_id, name, reason = {q(fixed.MSG_VALID)} AS is_valid, reason FROM (
 def conversation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as an upload named ``conv_<id>.pdf``: its pages are
     the turns that survive D2; the status line follows H7."""
-    from pagelane.operators.assemble import status_message
-    pages = _conversation_pages(spark, sf_dir)
-    counts = page_counts(require_all_pages(pages))
-    inputs = pages.select("doc_id").distinct()
-    joined = inputs.join(counts, "doc_id", "left")
-    n = F.coalesce(F.col("page_count"), F.lit(0))
+    joined = page_totals(_conversation_pages(spark, sf_dir))
+    n = F.col("n_pages")
     name = F.concat(F.lit("conv_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return joined.select(F.col("doc_id").alias("conv_id"),
                          status_message(F.lit(True), F.lit(fixed.MSG_VALID), n, name, n > 0).alias("status"))
@@ -349,7 +360,132 @@ SELECT i.conv_id,
 FROM i LEFT JOIN g ON g.conv_id = i.conv_id"""
 
 
+# ------------------------------------------------------- B1-B5 + H7, all outcomes
+def upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads whose name, size, bytes and outcome follow the page id:
+    every verdict of B1-B5 and every status line of H7 occurs."""
+    from pagelane.operators.admission import verdict
+    p = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"])
+    k = F.col("page_id") % 10
+    stem = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    name = F.when(k == 0, F.lit("")).when(k == 1, F.concat(stem, F.lit(".txt"))).otherwise(F.concat(stem, F.lit(".PDF")))
+    size = F.octet_length("html").cast("long") * F.when(k == 2, F.lit(1_000_000)).otherwise(F.lit(1))
+    body = F.when(k == 3, F.col("html")).otherwise(F.concat(F.lit("%PDF-1.4\n"), F.col("html")))
+    content = F.when(k != 4, F.encode(body, "UTF-8"))
+    u = p.select("page_id", name.alias("name"), verdict(name, size, content).alias("v"),
+                 F.when(k == 5, F.lit(0)).otherwise(F.regexp_count("html", F.lit("<p>"))).alias("n"), k.alias("k"))
+    status = status_message(F.col("v.is_valid"), F.col("v.reason"), F.col("n"), F.col("name"), F.col("k") != 6,
+                            F.when(F.col("k") == 7, F.lit("RuntimeError: model failure")))
+    return u.select("page_id", "name", F.col("v.is_valid").alias("is_valid"), F.col("v.reason").alias("reason"), status.alias("status"))
+
+
+def upload_status_sql() -> str:
+    return f"""
+WITH u AS (
+  SELECT page_id, page_id % 10 AS k, len(regexp_extract_all(html, '<p>')) AS p, strlen(html) AS bytes,
+         CASE page_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'page_' || page_id || '.txt' ELSE 'page_' || page_id || '.PDF' END AS name
+  FROM pages
+), v AS (
+  SELECT *, CASE WHEN k = 0 THEN 'File not found' WHEN k = 2 AND bytes * 1000000 > 50 * 1024 * 1024 THEN 'File too large (max 50MB)'
+                 WHEN k = 1 THEN 'Invalid file type (PDF required)' WHEN k = 4 THEN 'Validation error: content unreadable'
+                 WHEN k = 3 THEN 'Invalid PDF file format' ELSE 'Valid PDF file' END AS reason
+  FROM u
+)
+SELECT page_id, name, reason = 'Valid PDF file' AS is_valid, reason,
+       CASE WHEN reason <> 'Valid PDF file' THEN '❌ ' || reason
+            WHEN k = 7 THEN '❌ Processing error: RuntimeError: model failure'
+            WHEN k = 5 OR p = 0 THEN '❌ Failed to extract text from PDF. The file may be corrupted or contain only images.'
+            WHEN k = 6 THEN '❌ Markdown file not generated. Processing may have failed.'
+            ELSE '✅ Successfully processed ' || p || ' pages from ' || name END AS status
+FROM v"""
+
+
+# ------------------------------------------------------------------ E1, E4, E7
+def prompt_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of the three flags with and without a custom prompt;
+    the label a classification call would give follows the conversation."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    flags = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    label = F.element_at(F.array(*[F.lit(t) for t in fixed.DOCUMENT_TYPES]), (F.col("conv_id") % 7 + 1).cast("int"))
+    pages = c.select("conv_id", "turn", flags.cast("int").alias("flags"), label.alias("document_type"),
+                     F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), normalize_prompt("text")).alias("custom_prompt"))
+
+    def on(bit):
+        return F.col("flags").bitwiseAND(F.lit(bit)) > 0
+    return page_prompts(pages, "document_type", "custom_prompt", on(1), on(2), on(4)).select(
+        "conv_id", "turn", "flags", F.col("classification_prompt").isNotNull().alias("classified"), "page_prompt", "n_calls")
+
+
+def prompt_routes_sql() -> str:
+    types = ", ".join(q(t) for t in fixed.DOCUMENT_TYPES)
+    prompt = " ".join(f"WHEN {q(t)} THEN {q(p)}" for kind, t, p in fixed.PROMPT_ROWS if kind == "extraction")
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, ((conv_id * 3 + turn) % 8)::INTEGER AS flags, list_extract([{types}], (conv_id % 7 + 1)::INTEGER) AS label,
+         CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN coalesce(trim(text, {PY_STRIP_SQL}), '') ELSE '' END AS custom
+  FROM conversations
+), d AS (SELECT *, flags & 1 > 0 AND flags & 4 > 0 AND custom = '' AS classified FROM c)
+SELECT conv_id, turn, flags, classified,
+       CASE WHEN custom <> '' THEN custom WHEN flags & 1 = 0 OR flags & 2 = 0 THEN {q(fixed.MARKDOWN_FALLBACK_PROMPT)}
+            ELSE CASE CASE WHEN classified THEN label ELSE 'other' END {prompt} ELSE {q(fixed.GENERAL_DOCUMENT_PROMPT)} END END AS page_prompt,
+       CASE WHEN classified THEN 2 ELSE 1 END AS n_calls
+FROM d"""
+
+
+# ------------------------------------------------------------- E8, E10, F12, G1
+def page_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty and missing answers, bare fences, both structured flags and custom
+    prompts: the page text is the rendering or the raw answer."""
+    o = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    key = F.col("o_orderkey")
+    body = F.concat(F.lit('{"title": "'), F.col("o_orderpriority"), F.lit('"}'))
+    answer = (F.when(key % 6 == 0, F.lit(None)).when(key % 6 == 1, F.lit("")).when(key % 6 == 2, F.concat(F.lit("```\n"), body, F.lit("\n```")))
+              .otherwise(body))
+    pages = o.select("o_orderkey", F.lit("other").alias("document_type"), empty_response(answer).alias("response"),
+                     (key % 5 != 0).alias("manager_structured"), (key % 4 != 0).alias("call_structured"),
+                     F.when(key % 7 == 0, F.lit("Describe it")).alias("custom_prompt"))
+    parsed = parse_responses(pages, "response", "document_type", structured=F.col("manager_structured"), with_markdown=True)
+    return parsed.select("o_orderkey", "parse_status", choose_output(
+        F.col("call_structured"), F.col("custom_prompt"), F.col("markdown"), F.col("response")).alias("page_text"))
+
+
+def page_choices_sql() -> str:
+    return f"""
+WITH a AS (
+  SELECT o_orderkey AS k, o_orderpriority AS t, '{{"title": "' || o_orderpriority || '"}}' AS body FROM orders
+), r AS (
+  SELECT *, CASE WHEN k % 6 < 2 THEN '' WHEN k % 6 = 2 THEN '```' || {NL} || body || {NL} || '```' ELSE body END AS response,
+         CASE WHEN k % 6 < 2 THEN 'empty' WHEN k % 5 = 0 THEN 'disabled' WHEN k % 6 = 2 THEN 'bad_json' ELSE 'ok' END AS parse_status
+  FROM a
+)
+SELECT k AS o_orderkey, parse_status,
+       CASE WHEN parse_status = 'ok' AND k % 4 <> 0 AND k % 7 <> 0
+            THEN '# Document' || {NL} || {NL} || '**Title:** ' || t || {NL} || '**Date:** N/A' || {NL} || {NL} ELSE response END AS page_text
+FROM r"""
+
+
+# --------------------------------------------------------------------- E14, E15
+def order_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and dates found in a sentence about each order."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    price = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(": $"), price, F.lit(" due "),
+                    F.date_format("o_orderdate", "M/d/yyyy"), F.lit(", placed "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" ($7 fee)."))
+    return o.select("o_orderkey", extract_amounts(text).alias("amounts"), extract_dates(text).alias("dates"))
+
+
+def order_mentions_sql() -> str:
+    return """
+SELECT o_orderkey, [CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE), 7.0::DOUBLE] AS amounts,
+       [strftime(o_orderdate, '%-m/%-d/%Y'), strftime(o_orderdate, '%Y-%m-%d')] AS dates FROM orders"""
+
+
 QUERIES = {
+    "user_inputs": (user_inputs, user_inputs_sql),
+    "upload_status": (upload_status, upload_status_sql),
+    "prompt_routes": (prompt_routes, prompt_routes_sql),
+    "page_choices": (page_choices, page_choices_sql),
+    "order_mentions": (order_mentions, order_mentions_sql),
     "upload_verdicts": (upload_verdicts, upload_verdicts_sql),
     "conversation_status": (conversation_status, conversation_status_sql),
     "text_sanitize": (text_sanitize, text_sanitize_sql),

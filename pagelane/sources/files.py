@@ -7,11 +7,11 @@ plain ``length`` predicate the scan can push down.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelane.session import stage_table
+
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -39,8 +39,33 @@ def discover_documents(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(F.lower(F.col("name")).endswith(".pdf"))
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    """The folder as a Hadoop path and its file system, whatever the scheme."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, filesystem = _hadoop(spark, folder)
+    return filesystem.exists(path) and filesystem.getFileStatus(path).isDirectory()
+
+
+def folder_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A3: names of the folders directly inside ``folder``."""
+    names = []
+    if folder_exists(spark, folder):
+        path, filesystem = _hadoop(spark, folder)
+        entries = filesystem.listStatusIterator(path)
+        while entries.hasNext():
+            entry = entries.next()
+            if entry.isDirectory():
+                names.append((entry.getPath().getName(),))
+    return spark.createDataFrame(names, "name string")
+
+
 def _listing(spark: SparkSession, folder: str, label: str) -> DataFrame:
-    if not os.path.isdir(folder):
+    if not folder_exists(spark, folder):
         return spark.createDataFrame([], "folder string, name string, ext string, is_pdf boolean")
     files = read_files(spark, folder).select(_name().alias("name"))
     return files.select(F.lit(label).alias("folder"), "name",
@@ -72,7 +97,7 @@ def inventory_listing(spark: SparkSession, folders: dict) -> DataFrame:
 def inventory_report(spark: SparkSession, folders: dict) -> DataFrame:
     """A4: per expected folder: exists flag (the "folder doesn't exist"
     marker), file and PDF counts. Sorted names: ``inventory_listing``."""
-    expected = spark.createDataFrame([(k, os.path.isdir(v)) for k, v in folders.items()],
+    expected = spark.createDataFrame([(k, folder_exists(spark, v)) for k, v in folders.items()],
                                      "folder string, exists boolean")
     per = _all_listings(spark, folders).groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"),
@@ -92,26 +117,33 @@ def write_markdown(docs: DataFrame, folder: str, name_col: str = "output_name",
                    text_col: str = "markdown") -> DataFrame:
     """One UTF-8 file per row, replaced if present.
 
-    Runs inside ``foreachPartition`` through the Hadoop-compatible file
-    system of the output path (``pyarrow.fs`` for local/object stores), so
-    every executor writes its own rows; names are checked to stay inside
-    ``folder``. Returns nothing useful; re-running overwrites (idempotent
-    under task retry).
+    Every executor writes its own rows through the file system of the output
+    path (``pyarrow.fs``); names must stay inside ``folder``. Writes at once
+    and returns ``(name, ok, error)`` per row: an unsafe name or a failing
+    write does not stop the others. Re-running overwrites (idempotent under
+    task retry).
     """
+    import pandas as pd
+
     base = folder.rstrip("/")
 
-    def write_rows(rows):
+    def write(batches):
         filesystem, root = _fs_and_path(base)
         filesystem.create_dir(root, recursive=True)
-        for row in rows:
-            name = row[name_col]
-            if not name or "/" in name or name in (".", ".."):
-                raise ValueError(f"unsafe output name: {name!r}")
-            with filesystem.open_output_stream(f"{root}/{name}") as out:
-                out.write((row[text_col] or "").encode("utf-8"))
-
-    docs.select(name_col, text_col).foreachPartition(write_rows)
-    return docs
+        for pdf in batches:
+            report = []
+            for name, text in zip(pdf[name_col], pdf[text_col]):
+                try:
+                    if not name or "/" in name or name in (".", ".."):
+                        raise ValueError(f"unsafe output name: {name!r}")
+                    with filesystem.open_output_stream(f"{root}/{name}") as out:
+                        out.write((text or "").encode("utf-8"))
+                    report.append((name, True, None))
+                except Exception as exc:  # reported, the batch goes on
+                    report.append((name, False, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(report, columns=["name", "ok", "error"])
+
+    return stage_table(docs.select(name_col, text_col).mapInPandas(write, _REPORT), "written")
 
 
 def stage_plan(spark: SparkSession, working: str, input_folder: str) -> DataFrame:
@@ -123,35 +155,51 @@ def stage_plan(spark: SparkSession, working: str, input_folder: str) -> DataFram
 
 def _fs_and_path(uri: str):
     """``(pyarrow filesystem, path)`` for local paths, ``file:`` URIs and
-    object-store / HDFS URIs alike."""
-    from urllib.parse import unquote, urlparse
-
+    object-store / HDFS URIs alike. Spark's paths are not percent-encoded:
+    what follows the scheme is the name as it is."""
     from pyarrow import fs as pafs
     if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), unquote(urlparse(uri).path)
+        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
     if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
+        scheme, rest = uri.split("://", 1)
+        authority, _, path = rest.partition("/")
+        filesystem, root = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")
+        return filesystem, f"{root.rstrip('/')}/{path}"
     return pafs.LocalFileSystem(), uri
 
 
+_REPORT = "name string, ok boolean, error string"
+
+
 def stage_documents(plan: DataFrame) -> DataFrame:
-    """A8 (apply): move each planned file; ``(name, ok, error)`` per file, a
-    failing move does not stop the others. A retried task finds its files
-    already at the target and reports them as moved (idempotent)."""
-    def move(rows):
+    """A8 (apply): move each planned file, once; ``(name, ok, error)`` per
+    file. A failing move does not stop the others, and a target that exists is
+    not replaced. A retried task finds its files already at the target and
+    reports them as moved (idempotent); the report is a written table, so
+    reading it again moves nothing."""
+    import pandas as pd
+
+    def move_one(path, target):
         from pyarrow import fs as pafs
-        for row in rows:
-            try:
-                filesystem, src = _fs_and_path(row["path"])
-                _, dst = _fs_and_path(row["target"])
-                missing = filesystem.get_file_info(src).type == pafs.FileType.NotFound
-                if missing and filesystem.get_file_info(dst).type != pafs.FileType.NotFound:
-                    yield (row["name"], True, None)  # moved by an earlier attempt of this task
-                    continue
-                filesystem.move(src, dst)
-                yield (row["name"], True, None)
-            except Exception as exc:  # reported, the batch goes on
-                yield (row["name"], False, f"{type(exc).__name__}: {exc}")
-
-    spark = plan.sparkSession
-    return spark.createDataFrame(plan.rdd.mapPartitions(move), "name string, ok boolean, error string")
+        filesystem, src = _fs_and_path(path)
+        _, dst = _fs_and_path(target)
+        gone = filesystem.get_file_info(src).type == pafs.FileType.NotFound
+        there = filesystem.get_file_info(dst).type != pafs.FileType.NotFound
+        if gone and there:
+            return  # moved by an earlier attempt of this task
+        if there:
+            raise FileExistsError(f"target exists: {target}")
+        filesystem.move(src, dst)
+
+    def move(batches):
+        for pdf in batches:
+            report = []
+            for path, name, target in zip(pdf["path"], pdf["name"], pdf["target"]):
+                try:
+                    move_one(path, target)
+                    report.append((name, True, None))
+                except Exception as exc:  # reported, the batch goes on
+                    report.append((name, False, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(report, columns=["name", "ok", "error"])
+
+    return stage_table(plan.select("path", "name", "target").mapInPandas(move, _REPORT), "moved")

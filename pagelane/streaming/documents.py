@@ -28,7 +28,8 @@ def stream_documents(spark: SparkSession, folder: str, max_files_per_trigger: in
 
 def process_stream(stream: DataFrame, handle_batch, checkpoint: str, trigger_once: bool = True):
     """Run ``handle_batch(batch_df, epoch_id)`` for each micro-batch (e.g.
-    pages -> model -> parse -> assemble -> write), exactly-once per file."""
+    pages -> model -> parse -> assemble -> write). A batch may be replayed
+    after a failure, so the handler's sinks must overwrite."""
     writer = stream.writeStream.foreachBatch(handle_batch).option("checkpointLocation", checkpoint)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
@@ -46,19 +47,19 @@ def streaming_load_windows(events: DataFrame, ts_col: str = "ts", value_col: str
 
 
 def document_batch_handler(renderer, model_factory, output_folder: str, results_path: str | None = None,
-                           custom_prompt: str | None = None, structured: bool = True):
-    """``foreachBatch`` handler: each micro-batch of admitted files is turned
-    into markdown files (one per document, A6) and, optionally, appends its
-    per-input results. Whole files arrive in one batch, so no state is kept
-    between batches; overwriting sinks keep replays idempotent."""
+                           custom_prompt: str | None = None, **options):
+    """``foreachBatch`` handler: each micro-batch of judged files is turned
+    into markdown files (one per document, A6) and, optionally, its results
+    (one row per input, rejects included) are written to
+    ``results_path/epoch=<id>``. Both sinks overwrite, so a replayed batch adds
+    nothing. ``options`` go to ``process_documents``."""
     from pagelane.plans.documents import process_documents
     from pagelane.sources.files import write_markdown
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        results, documents = process_documents(batch, renderer, model_factory, custom_prompt, structured)
+        results, documents = process_documents(batch, renderer, model_factory, custom_prompt, **options)
         write_markdown(documents, output_folder)
         if results_path:
-            (results.withColumn("epoch", F.lit(epoch_id))
-             .write.mode("append").parquet(results_path))
+            results.write.mode("overwrite").parquet(f"{results_path}/epoch={epoch_id}")
 
     return handle
