@@ -1,10 +1,10 @@
 """Response text -> validated, typed record.
 
-The model answer is parsed once into a VARIANT. Strictness that
-``try_parse_json`` lacks (it ignores trailing text) is restored with two
-wrapper parses. Each record schema is a declarative field list; every
-field kind yields an acceptance predicate and a typed value, following
-the lax-mode rules of the original record models:
+Strictness that ``try_parse_json`` lacks (it ignores trailing text) is
+restored with two wrapper parses; the record's fields come from one
+``from_json`` with VARIANT fields. Each record schema is a declarative field
+list; every field kind yields an acceptance predicate and a typed value,
+following the lax-mode rules of the original record models:
 
 =============  ============  ==========  =====================================
 kind           missing key   JSON null   accepted
@@ -76,8 +76,10 @@ def _float_text_value(s: Column) -> Column:
     return F.coalesce(F.try_element_at(_float_words(), u), u).try_cast("double")
 
 
-# Each rule takes the field value ``x`` (VARIANT, NULL when the key is
-# missing) and its type name ``t`` (``schema_of_variant``), both bound once.
+# Each rule takes a field's value ``x`` (VARIANT, NULL when the key is missing)
+# and its type name ``t`` (``schema_of_variant``), and gives whether the value is
+# accepted and the typed value. Both arguments are plain columns, so the rules
+# run in generated code.
 
 def _float(x: Column, t: Column):
     text = unicode_trim(F.try_variant_get(x, "$", "string"))
@@ -118,24 +120,16 @@ def _strlist(x: Column, t: Column):
     return ok, value
 
 
-def _float_element(e: Column) -> Column:
-    def check(xt):
-        ok, value = _float(xt["x"], xt["t"])
-        return F.struct((xt["x"].isNotNull() & (xt["t"] != "VOID") & ok).alias("ok"), value.alias("v"))
-    return let(F.struct(e.alias("x"), F.schema_of_variant(e).alias("t")), check)
-
-
 def _floatlist(x: Column, t: Column):
-    checked = F.transform(_array(x), _float_element)
-
-    def from_checked(c):
-        ok = x.isNull() | (t == "VOID") | _all(c, lambda s: s["ok"])
-        value = (F.when(x.isNull(), F.array().cast("array<double>"))
-                 .otherwise(F.transform(c, lambda s: s["v"])))
-        return F.struct(ok.alias("ok"), value.alias("v"))
+    def accepted(e):
+        et = F.schema_of_variant(e)
+        return e.isNotNull() & (et != "VOID") & _float(e, et)[0]
 
-    out = let(checked, from_checked)
-    return out["ok"], out["v"]
+    arr = _array(x)
+    ok = x.isNull() | (t == "VOID") | _all(arr, accepted)
+    value = (F.when(x.isNull(), F.array().cast("array<double>"))
+             .otherwise(F.transform(arr, lambda e: _float(e, F.schema_of_variant(e))[1])))
+    return ok, value
 
 
 def _dict(x: Column, t: Column):
@@ -146,19 +140,25 @@ def _dict(x: Column, t: Column):
 
 
 def _txlist(x: Column, t: Column):
-    def element(e):
-        is_obj = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
-        checked = object_check(e, TRANSACTION_FIELDS, None)
-        return F.struct((is_obj & checked["ok"]).alias("ok"), checked["rec"].alias("v"))
+    """Elements are objects whose fields follow the transaction rules."""
+    def fields(e):
+        for name, kind in TRANSACTION_FIELDS:
+            value = _get(e, name)
+            yield name, _rule(kind, None)(value, F.schema_of_variant(value)), kind
 
-    def from_checked(c):
-        ok = x.isNull() | _all(c, lambda s: s["ok"])
-        value = (F.when(x.isNull(), F.array().cast(_SPARK_TYPES["txlist"]))
-                 .otherwise(F.transform(c, lambda s: s["v"])))
-        return F.struct(ok.alias("ok"), value.alias("v"))
+    def accepted(e):
+        ok = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
+        for _, (field_ok, _), _ in fields(e):
+            ok = ok & F.coalesce(field_ok, F.lit(False))
+        return ok
 
-    out = let(F.transform(_array(x), element), from_checked)
-    return out["ok"], out["v"]
+    def typed(e):
+        return F.struct(*[value.cast(_SPARK_TYPES[kind]).alias(name) for name, (_, value), kind in fields(e)])
+
+    arr = _array(x)
+    ok = x.isNull() | _all(arr, accepted)
+    value = F.when(x.isNull(), F.array().cast(_SPARK_TYPES["txlist"])).otherwise(F.transform(arr, typed))
+    return ok, value
 
 
 def _rule(kind: str, own_type):
@@ -173,58 +173,26 @@ def _rule(kind: str, own_type):
     return {"strlist": _strlist, "floatlist": _floatlist, "dict": _dict, "txlist": _txlist}[kind]
 
 
-def field_check(v: Column, name: str, kind: str, own_type=None) -> Column:
-    """``struct(ok, v)`` of one field: the key is looked up once and its
-    type computed once, then the acceptance rule and the typed value are
-    read from the bound pair."""
-    rule = _rule(kind, own_type)
-
-    def with_pair(xt):
-        ok, value = rule(xt["x"], xt["t"])
-        return F.struct(ok.alias("ok"), value.cast(_SPARK_TYPES[kind]).alias("v"))
+def _raw_ddl(schema_type: str) -> str:
+    """The record's fields as VARIANTs: NULL when the key is missing."""
+    return "struct<" + ", ".join(f"{name}: variant" for name, _ in SCHEMAS[schema_type]) + ">"
 
-    return let(_get(v, name), lambda x: let(F.struct(x.alias("x"), F.schema_of_variant(x).alias("t")), with_pair))
 
-
-def object_check(v: Column, fields, own_type) -> Column:
-    """``struct(ok, rec)`` of a JSON object against a field list: every field
-    is checked exactly once; ``ok`` is the conjunction, ``rec`` the typed
-    record in declared order."""
-    checks = F.struct(*[field_check(v, name, kind, own_type).alias(name) for name, kind in fields])
-
-    def combine(c):
-        ok = c[fields[0][0]]["ok"]
-        for name, _ in fields[1:]:
-            ok = ok & c[name]["ok"]
-        rec = F.struct(*[c[name]["v"].alias(name) for name, _ in fields])
-        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), rec.alias("rec"))
-
-    return let(checks, combine)
-
-
-def validate_record(v: Column, schema_type: str):
-    """(is_valid, record struct) of one schema on a parsed JSON object."""
-    checked = object_check(v, SCHEMAS[schema_type], schema_type)
-    return checked["ok"], checked["rec"]
-
-
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once and evaluate ``fn`` on it (``transform`` over a
-    one-element array). Catalyst substitutes attributes into filters and
-    projections; binding keeps each intermediate a single subtree, so a
-    downstream filter never multiplies the parse work."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
-def parse_json_strict(text: Column) -> Column:
-    """VARIANT of ``text`` if the whole text is one JSON value, else NULL.
+def is_whole_json(text: Column) -> Column:
+    """whether the whole text is one JSON value.
 
     ``try_parse_json`` ignores trailing text; the two wrapper parses fail on
     every trailing remainder (``x``, ``}``, ``]``, ``, {...}``), and together
     they imply the text itself is one value."""
-    whole = (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-             & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
-    return F.when(whole, F.try_parse_json(text))
+    return (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+            & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
+
+
+def parse_json_strict(text: Column) -> Column:
+    """VARIANT of ``text`` if the whole text is one JSON value, else NULL."""
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    return F.when(whole, F.try_variant_get(wrapped, "$.v", "variant"))
 
 
 def select_schema(label: Column) -> Column:
@@ -233,99 +201,89 @@ def select_schema(label: Column) -> Column:
 
 
 PAGE_FIELDS = ["schema_type", "parse_status", "record_type"] + [RECORD_COLUMNS[st] for st in fixed.SCHEMA_TYPES]
+_STEP = "__pl"
 
 
-def page_outputs(resp: Column, label: Column, structured: Column, with_markdown: bool = False) -> Column:
-    """F1-F12 (and G1-G8 with ``with_markdown``) for one page, as one struct.
+def _barrier(df: DataFrame, names) -> DataFrame:
+    """Columns ``names`` as the output of a one-row generator.
 
-    Fields: ``schema_type``, ``parse_status`` (``ok``, ``empty``,
-    ``disabled``, ``bad_json``, ``bad_schema``), ``record_type`` (the
-    record's own ``document_type``), one record struct per schema (only the
-    selected one, only when ok) and, optionally, ``markdown`` and
-    ``page_status``. The response is never changed, so fallbacks return the
-    original text (F12).
+    The optimizer neither merges projections across it nor pushes a filter on
+    its output below it, so the work behind ``names`` is done once per row,
+    whatever later steps read or filter.
     """
-    inputs = F.struct(resp.alias("resp"), select_schema(F.coalesce(label, F.lit("other"))).alias("schema_type"),
-                      structured.alias("structured"))
-
-    def cleaned(i):
-        empty = F.coalesce(i["resp"], F.lit("")) == ""
-        return F.struct(i["resp"].alias("resp"), i["schema_type"].alias("schema_type"),
-                        i["structured"].alias("structured"), empty.alias("empty"),
-                        F.when(i["structured"] & ~empty, strip_fence(i["resp"])).alias("clean"))
-
-    def parsed(c):
-        return F.struct(c["resp"].alias("resp"), c["schema_type"].alias("schema_type"),
-                        c["structured"].alias("structured"), c["empty"].alias("empty"),
-                        parse_json_strict(c["clean"]).alias("v"),
-                        F.coalesce(c["clean"].startswith("{"), F.lit(False)).alias("is_object"))
-
-    def status(p):
-        v, st = p["v"], p["schema_type"]
-        selected = F.struct(*[F.when(st == t, object_check(v, SCHEMAS[t], t)).alias(RECORD_COLUMNS[t])
-                              for t in fixed.SCHEMA_TYPES])
-        return F.struct(p["resp"].alias("resp"), st.alias("schema_type"), p["empty"].alias("empty"),
-                        p["structured"].alias("structured"), v.alias("v"), p["is_object"].alias("is_object"),
-                        selected.alias("sel"))
-
-    def records(s):
-        st, sel = s["schema_type"], s["sel"]
-        valid = F.lit(False)
-        for t in reversed(fixed.SCHEMA_TYPES):
-            valid = F.when(st == t, sel[RECORD_COLUMNS[t]]["ok"]).otherwise(valid)
-        state = (F.when(s["empty"], F.lit("empty"))
-                 .when(~s["structured"], F.lit("disabled"))
-                 .when(s["v"].isNull(), F.lit("bad_json"))
-                 .when(~s["is_object"], F.lit("bad_schema"))
-                 .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
-                 .otherwise(F.lit("bad_schema")))
-        ok = state == "ok"
-        record_type = F.lit(None).cast("string")
-        for t in reversed(fixed.SCHEMA_TYPES):
-            record_type = F.when(st == t, sel[RECORD_COLUMNS[t]]["rec"]["document_type"]).otherwise(record_type)
-        cols = [s["resp"].alias("resp"), st.alias("schema_type"), state.alias("parse_status"),
-                F.when(ok, record_type).alias("record_type")]
-        for t in fixed.SCHEMA_TYPES:
-            cols.append(F.when(ok & (st == t), sel[RECORD_COLUMNS[t]]["rec"]).alias(RECORD_COLUMNS[t]))
-        return F.struct(*cols)
-
-    out = let(let(let(let(inputs, cleaned), parsed), status), records)
-    if with_markdown:
-        from pagelane.operators.render import render_page
-        out = let(out, render_page)
-    return out
-
+    rest = [F.col(c) for c in df.columns if c not in names]
+    once = df.select(*rest, F.explode(F.array(F.struct(*names))).alias(_STEP))
+    return once.select(*rest, *[F.col(f"{_STEP}.{n}").alias(n) for n in names])
 
-_PAGE_INPUTS = ("__pl_resp", "__pl_label", "__pl_structured")
-_PAGE_EXPR_CACHE: dict = {}
 
+def _checked(df: DataFrame, st: str) -> DataFrame:
+    """The selected schema's fields in steps: variants, their types, verdicts and values.
 
-def _cached_page_expr(spark, with_markdown: bool) -> Column:
-    """The page expression over fixed helper column names, built once per
-    application: it has thousands of nodes and building it through py4j
-    costs seconds (each PySpark function call also records its call site),
-    while reusing the immutable, unresolved JVM column is free."""
-    # Unresolved JVM columns stay valid for every session of the application.
-    key = (spark.sparkContext.applicationId, bool(with_markdown))
-    expr = _PAGE_EXPR_CACHE.get(key)
-    if expr is None:
-        resp, label, structured = (F.col(c) for c in _PAGE_INPUTS)
-        expr = page_outputs(resp, label, structured, with_markdown)
-        _PAGE_EXPR_CACHE[key] = expr
-    return expr
+    Every step is a projection whose columns are read several times by the
+    next, so Spark keeps the steps apart and compiles each; rows of other
+    schemas skip them (``CASE`` is lazy).
+    """
+    fields, raw, types, rec = SCHEMAS[st], f"{_STEP}_raw_{st}", f"{_STEP}_type_{st}", f"{_STEP}_rec_{st}"
+    mine = (F.col(f"{_STEP}_schema") == st) & F.col(f"{_STEP}_object")
+    df = df.withColumn(raw, F.when(mine, F.from_json(F.col(f"{_STEP}_clean"), _raw_ddl(st))))
+    df = df.withColumn(types, F.when(F.col(raw).isNotNull(), F.struct(
+        *[F.schema_of_variant(F.col(raw)[name]).alias(name) for name, _ in fields])))
+    found = [(name, kind, *_rule(kind, st)(F.col(raw)[name], F.col(types)[name])) for name, kind in fields]
+    checks = F.struct(*[F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value.cast(_SPARK_TYPES[kind]).alias("v")).alias(name)
+                        for name, kind, ok, value in found])
+    return df.withColumn(rec, F.when(F.col(raw).isNotNull(), checks)).drop(raw, types)
 
 
 def parse_responses(df: DataFrame, response_col: str = "response", label_col: str = "document_type",
                     structured: bool | Column = True, with_markdown: bool = False) -> DataFrame:
     """F1-F12 on a frame of model answers: adds the ``PAGE_FIELDS`` columns
-    (and ``markdown``/``page_status`` with ``with_markdown``)."""
-    structured_col = structured if isinstance(structured, Column) else F.lit(bool(structured))
-    fields = PAGE_FIELDS + (["markdown", "page_status"] if with_markdown else [])
-    page = _cached_page_expr(df.sparkSession, with_markdown)
-    staged = df.select("*", F.col(response_col).alias(_PAGE_INPUTS[0]), F.col(label_col).alias(_PAGE_INPUTS[1]),
-                       structured_col.alias(_PAGE_INPUTS[2]))
-    return (staged.withColumn("_page", page)
-            .select(*[F.col(c) for c in df.columns], *[F.col("_page")[f].alias(f) for f in fields]))
+    (and, with ``with_markdown``, ``markdown`` and ``page_status``, G1-G8).
+
+    ``schema_type``, ``parse_status`` (``ok``, ``empty``, ``disabled``,
+    ``bad_json``, ``bad_schema``), ``record_type`` (the record's own
+    ``document_type``) and one record struct per schema (only the selected one,
+    only when ok). The response is never changed, so fallbacks return the
+    original text (F12).
+    """
+    flag = structured if isinstance(structured, Column) else F.lit(bool(structured))
+    response = F.col(response_col)
+    empty = F.coalesce(response, F.lit("")) == ""
+    step = df.select("*", select_schema(F.coalesce(F.col(label_col), F.lit("other"))).alias(f"{_STEP}_schema"),
+                     F.coalesce(flag, F.lit(False)).alias(f"{_STEP}_structured"), empty.alias(f"{_STEP}_empty"))
+    wanted = F.col(f"{_STEP}_structured") & ~F.col(f"{_STEP}_empty")
+    step = step.withColumn(f"{_STEP}_clean", F.when(wanted, strip_fence(response)))
+    step = step.withColumn(f"{_STEP}_json", is_whole_json(F.col(f"{_STEP}_clean")))
+    step = step.withColumn(f"{_STEP}_object", F.col(f"{_STEP}_json") & F.coalesce(F.col(f"{_STEP}_clean").startswith("{"), F.lit(False)))
+    step = _barrier(step, [f"{_STEP}_{n}" for n in ("schema", "structured", "empty", "clean", "json", "object")])
+    for st in fixed.SCHEMA_TYPES:
+        step = _checked(step, st)
+
+    valid, record_type = F.lit(False), F.lit(None).cast("string")
+    for st in fixed.SCHEMA_TYPES:
+        checks, mine = F.col(f"{_STEP}_rec_{st}"), F.col(f"{_STEP}_schema") == st
+        ok = F.lit(True)
+        for name, _ in SCHEMAS[st]:
+            ok = ok & checks[name]["ok"]
+        valid = F.when(mine, ok).otherwise(valid)
+        record_type = F.when(mine, checks["document_type"]["v"]).otherwise(record_type)
+    status = (F.when(F.col(f"{_STEP}_empty"), F.lit("empty")).when(~F.col(f"{_STEP}_structured"), F.lit("disabled"))
+              .when(~F.col(f"{_STEP}_json"), F.lit("bad_json")).when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
+              .otherwise(F.lit("bad_schema")))
+    step = step.select("*", F.col(f"{_STEP}_schema").alias(f"{_STEP}_out_schema_type"), status.alias(f"{_STEP}_out_parse_status"),
+                       record_type.alias(f"{_STEP}_own_type"))
+    ok = F.col(f"{_STEP}_out_parse_status") == "ok"
+    records = []
+    for st in fixed.SCHEMA_TYPES:
+        checks = F.col(f"{_STEP}_rec_{st}")
+        record = F.struct(*[checks[name]["v"].alias(name) for name, _ in SCHEMAS[st]])
+        records.append(F.when(ok & (F.col(f"{_STEP}_schema") == st), record).alias(f"{_STEP}_out_{RECORD_COLUMNS[st]}"))
+    outputs = [f"{_STEP}_out_{f}" for f in PAGE_FIELDS]
+    step = step.select(*df.columns, *outputs[:2], F.when(ok, F.col(f"{_STEP}_own_type")).alias(outputs[2]), *records)
+    step = _barrier(step, outputs).select(*df.columns, *[F.col(o).alias(f) for o, f in zip(outputs, PAGE_FIELDS)])
+    if with_markdown:
+        from pagelane.operators.render import render_markdown
+        step = render_markdown(step, response_col)
+    return step
 
 
 def union_records(parsed: DataFrame, key_cols) -> DataFrame:

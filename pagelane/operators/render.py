@@ -113,25 +113,6 @@ def renders(schema_type: Column, record_type: Column) -> Column:
             | ((schema_type == "other") & record_type.isin(*GENERAL_RECORD_TYPES)))
 
 
-def render_page(p: Column) -> Column:
-    """G1 + F12 on one page struct (``page_outputs`` fields plus ``resp``):
-    markdown for valid records of the matching type, ``''`` on type mismatch
-    or empty answers, the original answer on every parse failure."""
-    status, st = p["parse_status"], p["schema_type"]
-    ok = status == "ok"
-    match = F.coalesce(renders(st, p["record_type"]), F.lit(False))
-    rendered = F.lit(None).cast("string")
-    for t, fn in RENDERERS.items():
-        rendered = F.when(st == t, fn(p[RECORD_COLUMNS[t]])).otherwise(rendered)
-    markdown = (F.when(status == "empty", F.lit(""))
-                .when(ok & match, rendered)
-                .when(ok, F.lit(""))
-                .otherwise(p["resp"]))
-    page_status = F.when(ok & ~match, F.lit("type_mismatch")).otherwise(status)
-    fields = ["resp", "schema_type", "parse_status", "record_type"] + list(RECORD_COLUMNS.values())
-    return F.struct(*[p[f].alias(f) for f in fields], markdown.alias("markdown"), page_status.alias("page_status"))
-
-
 def with_page_status(parsed: DataFrame) -> DataFrame:
     """``page_status`` alone: ``parse_status``, or ``type_mismatch`` for a valid
     record whose own type no renderer of its schema takes."""
@@ -141,15 +122,17 @@ def with_page_status(parsed: DataFrame) -> DataFrame:
 
 def render_markdown(parsed: DataFrame, response_col: str = "response",
                     out_col: str = "markdown") -> DataFrame:
-    """G1 on a frame produced by ``parse_responses``; adds ``out_col`` and
-    ``page_status``. The page columns are bound once (see ``records.let``)."""
-    from pagelane.operators.records import let
-    fields = ["schema_type", "parse_status", "record_type"] + list(RECORD_COLUMNS.values())
-    page = F.struct(F.col(response_col).alias("resp"), *[F.col(f) for f in fields])
-    return (parsed.withColumn("_md", let(page, render_page))
-            .withColumn(out_col, F.col("_md")["markdown"])
-            .withColumn("page_status", F.col("_md")["page_status"])
-            .drop("_md"))
+    """G1 + F12 on a frame produced by ``parse_responses``; adds ``out_col`` and
+    ``page_status``: markdown for valid records of the matching type, ``''`` on
+    type mismatch or empty answers, the original answer on every parse failure."""
+    staged = with_page_status(parsed)
+    rendered = F.lit(None).cast("string")
+    for t, fn in RENDERERS.items():
+        rendered = F.when(F.col("schema_type") == t, fn(F.col(RECORD_COLUMNS[t]))).otherwise(rendered)
+    markdown = (F.when(F.col("page_status").isin("empty", "type_mismatch"), F.lit(""))
+                .when(F.col("page_status") == "ok", rendered)
+                .otherwise(F.col(response_col)))
+    return staged.withColumn(out_col, markdown)
 
 
 def _number_text(x: Column) -> Column:

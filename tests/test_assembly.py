@@ -1,11 +1,13 @@
 """Pages, assembly, batch results, provider isolation (D, E2/E7/E9, H)."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagelane.functions import fixed
-from pagelane.operators.assemble import assemble_documents, batch_results, batch_summary, status_message
-from pagelane.operators.pages import (explode_rendered_pages, explode_text_pages, page_positions,
-                                      require_all_pages)
+from pagelane.operators.assemble import (assemble_documents, batch_results, batch_summary, document_parts, page_totals,
+                                         status_message)
+from pagelane.operators.pages import explode_rendered_pages, explode_text_pages, require_all_pages
 from pagelane.operators.provider import classify_pages, extract_pages, stage
 
 
@@ -21,15 +23,28 @@ def test_assembly_layout_and_order(spark):
 def test_assembly_large_document_spans_runs(spark):
     df = spark.range(0, 1000).select(F.lit(7).alias("doc_id"), F.col("id").cast("int").alias("page_no"),
                                      F.col("id").cast("string").alias("markdown"))
-    r = assemble_documents(df.orderBy(F.rand(1)), run_width=64).first()
+    r = assemble_documents(df.orderBy(F.rand(1))).first()
     assert r["n_pages"] == 1000
     assert "# Page 1000\n\n999" in r["markdown"] and r["markdown"].index("# Page 2\n\n1") < r["markdown"].index("# Page 3\n\n2")
 
 
-def test_page_positions_bucketed(spark):
-    df = spark.range(0, 500).select(F.lit(1).alias("g"), (F.col("id") * 7).alias("k"))
-    got = [r["page_no"] for r in page_positions(df, ["g"], "k", bucket_width=50).orderBy("k").collect()]
-    assert got == list(range(500))
+def test_document_parts_are_the_document(spark):
+    """One document holds a third of all pages; its parts in order are its text."""
+    df = spark.range(0, 1500).select(F.when(F.col("id") < 500, F.lit(0)).otherwise(F.col("id") % 100).alias("doc_id"), F.col("id"))
+    df = df.select("doc_id", F.when(F.col("id") < 500, F.col("id")).otherwise(500 + F.floor(F.col("id") / 100)).cast("int").alias("page_no"),
+                   F.concat(F.lit("p"), F.col("id").cast("string")).alias("markdown")).filter("doc_id = 0 or page_no < 507")
+    first = df.filter("doc_id = 0 and page_no < 500")
+    whole = assemble_documents(first).first()["markdown"]
+    parts = document_parts(first, pages_per_part=64).orderBy("part_no").collect()
+    assert len(parts) == 8 and "".join(p["markdown"] for p in parts) == whole
+
+
+def test_totals_and_the_line_of_a_null_document(spark):
+    pages = spark.createDataFrame([(None, True), (1, True), (1, True), (2, False), (2, True)], "doc_id int, ok boolean")
+    totals = page_totals(pages)
+    assert {r["doc_id"]: r["n_pages"] for r in totals.collect()} == {None: 1, 1: 2, 2: 0}
+    lines = sorted(r["summary"] for r in batch_summary(totals, "doc_id", F.col("n_pages")).collect())
+    assert lines == ["1 pages extracted", "2 pages extracted", "3 documents, 3 pages, 1 failed", fixed.BATCH_FAILED]
 
 
 def test_require_all_pages_and_batch(spark):
@@ -106,6 +121,48 @@ def test_status_message(spark):
                    fixed.STATUS_NO_OUTPUT]
 
 
+class SlowModel:
+    """Takes 0.2 s a call and fails on pages that say so."""
+
+    def __call__(self, payloads, prompts):
+        time.sleep(0.2)
+        if b"boom" in bytes(payloads[0]):
+            raise RuntimeError("model failure")
+        return ["text " + bytes(payloads[0]).decode()]
+
+
+def test_calls_of_a_task_overlap(spark):
+    from pagelane.operators.provider import answer_documents
+    docs = spark.createDataFrame([(1, bytearray(b"|".join(b"p%d" % i for i in range(24))))], "doc_id int, content binary").coalesce(1)
+
+    def run(concurrency):
+        began = time.time()
+        rows = answer_documents(docs, lambda b: bytes(b).split(b"|"), SlowModel, custom_prompt="Read it", concurrency=concurrency).collect()
+        assert [(r["page_no"], r["response"]) for r in rows] == [(i, f"text p{i}") for i in range(24)]
+        return time.time() - began
+    run(8)
+    assert run(8) < run(1) - 2
+
+
+def test_page_errors_do_not_spread(spark):
+    from pagelane.operators.provider import answer_documents
+    docs = spark.createDataFrame([(1, bytearray(b"a|boom|c")), (2, bytearray(b"x"))], "doc_id int, content binary")
+    rows = {(r["doc_id"], r["page_no"]): (r["response"], r["error"])
+            for r in answer_documents(docs, lambda b: bytes(b).split(b"|"), SlowModel, custom_prompt="Read it").collect()}
+    assert rows[1, 0] == ("text a", None) and rows[1, 2] == ("text c", None) and rows[2, 0] == ("text x", None)
+    assert rows[1, 1] == ("", "RuntimeError: model failure")
+    assert "payload" not in answer_documents(docs, list, SlowModel).columns
+
+
+def test_python_text_of_prompt_fields(spark):
+    from pagelane.operators.routing import extend_prompt
+    df = spark.createDataFrame([({"a": "O'Brien", "b": None, "c": 'x"y', "d": "q'\"z", "e": "l\nm\\"},)], "m map<string,string>")
+    got = df.select(extend_prompt(F.lit(""), F.col("m")).alias("t")).first()["t"]
+    assert got == fixed.CUSTOM_FIELDS_INTRO + str({"a": "O'Brien", "b": None, "c": 'x"y', "d": "q'\"z", "e": "l\nm\\"})
+    flags = spark.createDataFrame([({"a": True, "b": False},)], "m map<string,boolean>")
+    assert flags.select(extend_prompt(F.lit(""), F.col("m"), "boolean").alias("t")).first()["t"].endswith("{'a': True, 'b': False}")
+
+
 class OptionEcho:
     def __init__(self, system_instruction=None, generation=None):
         self.tag = f"{len(system_instruction or '')}:{(generation or {}).get('max_output_tokens')}"

@@ -190,9 +190,12 @@ def test_stream_documents_to_markdown(spark):
     assert md.startswith(fixed.DOC_HEADER + "# Page 1\n\n# Invoice\n\n**Invoice Number:** inv-1\n")
     assert "**Total Amount:** $2.67" in md and "# Page 2\n\n# Document\n\n**Title:** memo\n" in md
     status = {os.path.basename(r["path"]): (r["n_pages"], r["status"]) for r in spark.read.parquet(res).collect()}
-    assert status["a.pdf"] == (2, "ok")
-    assert status["b.pdf"][0] == 0 and status["b.pdf"][1].startswith("render failed")
-    assert "c.pdf" not in status  # rejected at admission (Invalid PDF file format)
+    assert status == {"a.pdf": (2, "✅ Successfully processed 2 pages from a.pdf"),
+                      "b.pdf": (0, fixed.STATUS_ERROR + "ValueError: cannot rasterise"),
+                      "c.pdf": (0, fixed.STATUS_REJECTED_PREFIX + fixed.MSG_BAD_MAGIC)}  # rejects are reported
+    # A replayed batch adds no rows.
+    handler(admit(S.read_files(spark, d)), 0)
+    assert spark.read.parquet(res).count() == 3
 
 
 def test_stage_documents_retry_and_failure(spark):
@@ -220,5 +223,66 @@ def test_batch_documents_from_folder(spark):
     results, documents = process_documents(admitted, fake_renderer, InvoiceModel, partitions=2)
     S.write_markdown(documents, out)
     assert sorted(os.listdir(out)) == ["x.md"]
-    got = {os.path.basename(r["path"]): (r["n_pages"], r["status"][:6]) for r in results.collect()}
-    assert got == {"x.pdf": (2, "ok"), "y.pdf": (0, "render")}
+    got = {os.path.basename(r["path"]): (r["n_pages"], r["n_failed_pages"], r["error"], r["status"][:3]) for r in results.collect()}
+    assert got == {"x.pdf": (2, 0, None, "✅ S"), "y.pdf": (0, 0, "ValueError: cannot rasterise", "❌ P")}
+
+
+class FailingModel:
+    def __call__(self, payloads, prompts):
+        if prompts[0] != fixed.CLASSIFICATION_PROMPT and b"bad" in bytes(payloads[0]):
+            raise RuntimeError("no answer")
+        return ["general prompt" if prompts[0] == fixed.GENERAL_DOCUMENT_PROMPT else
+                "fallback prompt" if prompts[0] == fixed.MARKDOWN_FALLBACK_PROMPT else "other"]
+
+
+def test_every_input_has_a_result(spark):
+    from pagelane.plans.documents import process_documents
+    d = tempfile.mkdtemp(prefix="pagelane-inputs-")
+    for name, data in (("a.pdf", b"%PDFone\fbad"), ("b.pdf", b"%PDFbad"), ("c.pdf", b"junk"), ("d.PDF", b"%PDFx"), ("d.pdf", b"%PDFy"), ("e.txt", b"%PDF")):
+        _write(d, name, data)
+    _write(d, "f.pdf", PDF, size=fixed.MAX_UPLOAD_BYTES + 1)
+    results, documents = process_documents(admit_folder(spark, d, keep_content=True), fake_renderer, FailingModel)
+    rows = {os.path.basename(r["path"]): r for r in results.collect()}
+    assert sorted(rows) == ["a.pdf", "b.pdf", "c.pdf", "d.PDF", "d.pdf", "e.txt", "f.pdf"]
+    assert (rows["a.pdf"]["n_pages"], rows["a.pdf"]["n_failed_pages"], rows["a.pdf"]["error"]) == (2, 1, "RuntimeError: no answer")
+    assert (rows["b.pdf"]["n_pages"], rows["b.pdf"]["n_failed_pages"]) == (1, 1)
+    assert rows["f.pdf"]["status"] == fixed.STATUS_REJECTED_PREFIX + fixed.MSG_TOO_LARGE and rows["e.txt"]["n_pages"] == 0
+    names = {os.path.basename(r["path"]): r["output_name"] for r in documents.collect()}
+    assert sorted(names.values()) == ["a.md", "b.md", "d-2.md", "d.md"]  # one stem, two files
+
+
+def test_structured_flags_choose_the_prompt(spark):
+    from pagelane.plans.documents import process_documents
+    d = tempfile.mkdtemp(prefix="pagelane-flags-")
+    _write(d, "a.pdf", b"%PDFone")
+    admitted = admit_folder(spark, d, keep_content=True)
+
+    def text(**flags):
+        return process_documents(admitted, fake_renderer, FailingModel, **flags)[1].first()["markdown"]
+    assert "general prompt" in text(call_structured=False)
+    assert "fallback prompt" in text(call_structured=False, manager_structured=False)
+    assert "fallback prompt" in text(classification=False)
+
+
+def test_file_uris_and_awkward_names(spark):
+    work = tempfile.mkdtemp(prefix="pagelane-uri-")
+    inp = os.path.join(work, "input")
+    os.makedirs(inp)
+    for name in ("x#1.pdf", "y%20z.pdf", "a b.pdf", "there.pdf"):
+        _write(work, name, PDF)
+    _write(inp, "there.pdf", b"%PDF old")
+    report = {r["folder"]: r for r in S.inventory_report(spark, {"work": "file://" + work, "gone": "file://" + work + "/gone"}).collect()}
+    assert report["work"]["exists"] and report["work"]["pdfs"] == 4 and not report["gone"]["exists"]
+    assert [r["name"] for r in S.folder_names(spark, "file:" + work).collect()] == ["input"]
+    moved = S.stage_documents(S.stage_plan(spark, "file://" + work, "file://" + inp))
+    assert {r["name"]: r["ok"] for r in moved.collect()} == {"x#1.pdf": True, "y%20z.pdf": True, "a b.pdf": True, "there.pdf": False}
+    assert moved.count() == 4  # reading the report again moves nothing
+    assert sorted(os.listdir(inp)) == ["a b.pdf", "there.pdf", "x#1.pdf", "y%20z.pdf"]
+    assert open(os.path.join(inp, "there.pdf"), "rb").read() == b"%PDF old"
+
+
+def test_a_bad_name_does_not_stop_the_sink(spark):
+    out = tempfile.mkdtemp(prefix="pagelane-out-")
+    docs = spark.createDataFrame([("a.md", "A"), ("../b.md", "B"), (None, "C")], "output_name string, markdown string")
+    assert sorted(r["ok"] for r in S.write_markdown(docs, out).collect()) == [False, False, True]
+    assert os.listdir(out) == ["a.md"]

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from pagelane.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -25,7 +25,7 @@ def formatted(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: formatted(fn(spark, SF)) for name, fn in entry.queries().items()}
+    return {name: formatted(fn(spark, SF)) for name, fn in catalog.queries().items()}
 
 
 def test_no_python_in_registered_queries(plans):
@@ -53,3 +53,15 @@ def test_no_forced_broadcast_of_data_sized_tables(plans):
     from pagelane.plans import responders
     import inspect
     assert "broadcast" not in inspect.getsource(responders.invoice_answers)
+
+
+@pytest.mark.parametrize("name", ["statement_pages", "statement_transactions", "invoice_records_json", "page_outcomes", "record_union"])
+def test_the_answer_is_parsed_once(spark, name):
+    """The strict parse is three parser calls, and the plan holds it once."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_json\(", plan)) <= 3, name
+
+
+def test_assembly_has_one_exchange_on_the_document(plans):
+    assert len(re.findall(r"^\(\d+\) Exchange", plans["conversation_documents"], re.M)) == 1
+    assert len(re.findall(r"^\(\d+\) Exchange", plans["batch_report"], re.M)) == 2

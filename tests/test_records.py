@@ -137,6 +137,9 @@ def test_format_output_forms(spark):
     assert rec["invoice_number"] == "A1" and rec["total_amount"] == 12.5 and rec["due_date"] is None
     assert js[2] == "not json"
     txt = {r["page_no"]: r["output"] for r in format_output(parsed, "text").collect()}
-    assert txt[1].startswith('document_type="invoice",invoice_number="A1"') and txt[2] == "not json"
+    assert txt[1] == ("document_type=<DocumentType.INVOICE: 'invoice'> invoice_number='A1' invoice_date='2024-01-01' due_date=None "
+                      "vendor_name='V' customer_name='C' total_amount=12.5 tax_amount=None subtotal=None items=[] "
+                      "vendor_address=None customer_address=None") and txt[2] == "not json"
+    assert js[1].startswith('{\n  "document_type": "invoice",\n  "invoice_number": "A1",') and '"items": [],' in js[1]
     md = {r["page_no"]: r["output"] for r in format_output(parsed, "markdown").collect()}
     assert md[1] == INV_MD
