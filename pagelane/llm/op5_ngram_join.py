@@ -13,11 +13,15 @@ of them is right; they are the most frequent ones, at most ``MAX_FREQUENT``).
    The pairs (and each group's other members) are verified by exact
    intersection, and the links give first components.
 3. Posting lists that still touch several components are joined again, for
-   groups of *different* components only, under the size and position filters;
-   group pairs are expanded to members and verified. Pairs inside a component
+   groups of *different* components only, expanded to their members, under the
+   size, position and bitmap filters; the pairs are verified. Pairs inside a component
    cannot change it, so none needs looking at and no link between components is
    lost.
 
+The bitmap filter compares 512 parity bits of the sets: they differ in at most as
+many bits as the sets in tokens, so it never drops a link, and members of a group
+of near copies that are not similar enough to each other make no rows.
+
 Full sets travel only for members of candidate pairs; they are computed again
 from the texts instead of being stored.
 
@@ -30,6 +34,8 @@ columns are not read. Sets are told apart by a 64-bit fingerprint and their size
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,33 +49,90 @@ PERCENT = 85
 FREQUENT = 16
 MAX_FREQUENT = 1_000_000
 MAX_LOOKUP = 4_000_000
-_CACHE_WORDS = 500_000
+_SEEN_SETS = 500_000
+_CHUNK_BYTES = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, np.uint64)  # one fixed number per byte value
+_VALUES[65:91] = _VALUES[97:123]  # A-Z like a-z
+
 
+def _powers(n: int, base: int, kept: dict = {}) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64; tables are kept."""
+    table_ = kept.get(base)
+    if table_ is None or len(table_) < n:
+        size = max(n, _CHUNK_BYTES)
+        table_ = np.full(size, base & (2**64 - 1), np.uint64)
+        table_[0] = 1
+        np.multiply.accumulate(table_, out=table_)
+        kept[base] = table_
+    return table_[:n]
 
-class _WordHashes(dict):
-    """Hash of each word, kept for the words seen lately."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_BASE = 0xD6E8FEB86659FD93
+_BACK = pow(_BASE, -1, 2**64)
 
 
-def shingle_set(text: str, hashes: _WordHashes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six blanks
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64).view(np.int64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    mixed = np.zeros(len(words) - k + 1, np.uint64)
-    for i in range(k):
-        mixed = (mixed ^ ids[i:len(words) - k + 1 + i]) * _MIX[i % 4]
-        mixed ^= mixed >> np.uint64(31)
-    return np.unique(mixed.view(np.int64))
+def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word in UTF-8 bytes, and where it starts.
+
+    ``breaks`` are offsets at which a text ends and the next one starts. The
+    hash of a word is a polynomial in its bytes; differences of running sums
+    give it for all words of a chunk at once.
+    """
+    word = ~_BLANK[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = breaks[(breaks > 0) & (breaks < len(data))]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # chunks of whole words
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _CHUNK_BYTES, "right")))
+        low, high = starts[at], ends[to - 1]
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_VALUES[data[low:high]] * _powers(high - low, _BASE), out=sums[1:])
+        here, there = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (sums[there] - sums[here]) * _powers(high - low, _BACK)[here] + (there - here).astype(np.uint64) * _MIX[0]
+        at = to
+    out ^= out >> np.uint64(32)
+    out *= _MIX[1]
+    out ^= out >> np.uint64(29)
+    return out, starts
+
+
+def shingle_sets(column: pa.BinaryArray, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the k-word shingles of each text (UTF-8 bytes, none null)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    done = 0
+    while done < len(column):  # texts of some megabytes together
+        to = max(done + 1, int(np.searchsorted(offsets, offsets[done] + 4 * _CHUNK_BYTES, "right")) - 1)
+        low, high = offsets[done], offsets[to]
+        ids, starts = word_hashes(data[low:high], offsets[done:to + 1] - low)
+        mixed = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+        for i in range(k if len(mixed) else 0):
+            mixed = (mixed ^ ids[i:len(ids) - k + 1 + i]) * _MIX[i % 4]
+            mixed ^= mixed >> np.uint64(31)
+        mixed = mixed.view(np.int64)
+        words = np.searchsorted(starts, offsets[done:to + 1] - low)
+        for begin, end in zip(words[:-1].tolist(), words[1:].tolist()):
+            if end - begin >= k:
+                tokens = np.sort(mixed[begin:end - k + 1])
+                fresh = np.empty(len(tokens), bool)
+                fresh[0] = True
+                np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+                yield tokens[fresh]
+            elif end > begin:
+                yield np.array([xxhash.xxh3_64_intdigest(ids[begin:end].tobytes(), seed=end - begin)], np.uint64).view(np.int64)
+            else:
+                yield np.empty(0, np.int64)
+        done = to
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -93,39 +156,48 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
 def _sampled_tokens(k: int, percent: int):
     """Tokens for counting: of each set about twice its prefix, in hash order."""
     def run(batches):
-        hashes = _WordHashes()
         for batch in batches:
-            parts = []
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), hashes, k)
-                parts.append(tokens[:2 * prefix_length(len(tokens), percent) + 16])
+            parts = [tokens[:2 * prefix_length(len(tokens), percent) + 16] for tokens in shingle_sets(batch.column(0), k)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))], names=["token"])
     return run
 
 
-_MEMBER_DDL = "doc_id long, local long, n long, gid long, pg long, prefix binary"
+BITMAP_LONGS = 8
+_BITS = [f"b{i}" for i in range(BITMAP_LONGS)]
+_MEMBER_DDL = "doc_id long, local long, n long, gid long, pg long, prefix binary, " + ", ".join(f"{b} long" for b in _BITS)
+
+
+def parity_bitmap(tokens: np.ndarray) -> list[int]:
+    """Every token flips one bit. The bits in which two bitmaps differ are no more than the tokens in which the sets differ."""
+    counts = np.bincount(tokens & (64 * BITMAP_LONGS - 1), minlength=64 * BITMAP_LONGS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Bitmap filter: whether sets with these sizes and bitmaps can reach the similarity."""
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _members(k: int, percent: int, frequent_tokens):
     """Per document its set's size and fingerprint; the first of a set in the task carries the prefix."""
     def run(batches):
-        hashes, frequent, seen = _WordHashes(), frequent_tokens.value, {}
+        frequent, seen = frequent_tokens.value, {}
         for batch in batches:
             out = []
-            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = shingle_set(text.as_py(), hashes, k)
+            for doc_id, row, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k)):
                 n = len(tokens)
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=n) - (1 << 63)
                 if n and (gid, n) not in seen:
-                    if len(seen) > _CACHE_WORDS:
+                    if len(seen) > _SEEN_SETS:
                         seen.clear()
                     seen[gid, n] = row
                     prefix = _prefix(tokens, frequent, percent).tobytes()
-                    out.append((doc_id, row, n, gid, xxhash.xxh3_64_intdigest(prefix, seed=n) - (1 << 63), prefix))
+                    out.append((doc_id, row, n, gid, xxhash.xxh3_64_intdigest(prefix, seed=n) - (1 << 63), prefix, *parity_bitmap(tokens)))
                 else:
-                    out.append((doc_id, seen[gid, n] if n else row, n, gid, None, None))
+                    out.append((doc_id, seen[gid, n] if n else row, n, gid, None, None, *[None] * BITMAP_LONGS))
             yield _rows(out, [("doc_id", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("gid", pa.int64()),
-                              ("pg", pa.int64()), ("prefix", pa.binary())])
+                              ("pg", pa.int64()), ("prefix", pa.binary()), *[(b, pa.int64()) for b in _BITS]])
     return run
 
 
@@ -176,12 +248,13 @@ def _star_postings(percent: int):
                 same[0] = token is not None and tokens[0] == token
             following = np.append(same[1:], True)  # the batch's last row may go on: looked at like one that does
             out = []
-            for i in np.flatnonzero(same | following | several):
-                row = (int(tokens[i]), batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+            at = np.flatnonzero(same | following | several)
+            reps, places = batch.column(1).to_numpy()[at].tolist(), batch.column(2).to_numpy()[at].tolist()
+            for row, many in zip(zip(tokens[at].tolist(), reps, places), several[at].tolist()):
                 if row[0] != token:
                     token, leader, last = row[0], row, row
                     first = row
-                    if several[i]:
+                    if many:
                         out.append((*row, None, None))
                         first = None
                     continue
@@ -202,12 +275,10 @@ def _star_postings(percent: int):
 def _wanted_sets(k: int, wanted):
     """Sets of the members that candidate pairs name (of all, if too many are named to be sent around)."""
     def run(batches):
-        hashes, seen = _WordHashes(), set()
-        names = wanted.value if wanted else None
+        seen, names = set(), wanted.value if wanted else None
         for batch in batches:
             out = []
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), hashes, k)
+            for tokens in shingle_sets(batch.column(0), k):
                 n = len(tokens)
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=n) - (1 << 63)
                 if not n or (gid, n) in seen:
@@ -216,7 +287,7 @@ def _wanted_sets(k: int, wanted):
                     at = np.searchsorted(names, gid)
                     if at == len(names) or names[at] != gid:
                         continue
-                if len(seen) > _CACHE_WORDS:
+                if len(seen) > _SEEN_SETS:
                     seen.clear()
                 seen.add((gid, n))
                 out.append((gid, tokens.tobytes()))
@@ -231,13 +302,20 @@ def _verify(percent: int):
             out = []
             for a, b, left, right in zip(*(batch.column(i) for i in range(4))):
                 x, y = np.frombuffer(left.as_py(), np.int64), np.frombuffer(right.as_py(), np.int64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     out.append((a.as_py(), b.as_py()))
             yield _rows(out, [("a", pa.int64()), ("b", pa.int64())])
     return run
 
 
+def _plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the bitmap filter."""
+    x, y = bitmaps.alias("x"), bitmaps.alias("y")
+    return (pairs.join(x, F.col("a") == F.col("x.gid")).join(y, (F.col("b") == F.col("y.gid")))
+            .filter(_may_link("x", "y", percent)).select("a", "b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The links among staged candidate pairs (a, b)."""
     spark = pairs.sparkSession
@@ -262,7 +340,7 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERC
                           text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                        text_or_empty(text_col).alias("text"))
+                        text_or_empty(text_col).cast("binary").alias("text"))
     frequent = _frequent_tokens(texts, k, percent)
     base = staged(texts.mapInArrow(_members(k, percent, frequent), _MEMBER_DDL), "join-members")
     firsts = base.filter("prefix IS NOT NULL")
@@ -277,19 +355,20 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERC
 
     stars = (postings.select(F.explode(F.array("leader", "previous")).alias("a"), F.col("rep").alias("b"))
              .unionByName(members.select(F.col("rep").alias("a"), F.col("gid").alias("b"))))
-    first_pairs = staged(stars.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                         .distinct(), "join-pairs")
+    bitmaps = staged(firsts.groupBy("gid").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS]), "join-bitmaps")
+    first_pairs = staged(_plausible(stars.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                                    .distinct(), bitmaps, percent), "join-pairs")
     links = _verified(first_pairs, texts, k, percent)
     roots = staged(connected_components(links, "a", "b"), "join-roots")
 
-    more_pairs = staged(_cross_pairs(postings, members, roots, percent).join(first_pairs, ["a", "b"], "left_anti"), "join-pairs")
+    more_pairs = staged(_cross_pairs(postings, members, roots, bitmaps, percent).join(first_pairs, ["a", "b"], "left_anti"), "join-pairs")
     if not more_pairs.isEmpty():
         more = _verified(more_pairs, texts, k, percent)
         roots = staged(connected_components(links.unionByName(more), "a", "b"), "join-roots")
     return _labelled(base, roots)
 
 
-def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of members of different components, from the lists that touch several."""
     expanded = postings.select("token", "rep", "place").join(members.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left") \
         .select("token", "place", F.coalesce("gid", "rep").alias("gid"))
@@ -297,12 +376,13 @@ def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, perc
         "token", "gid", F.shiftright("place", 32).alias("n"), (F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pos"),
         F.coalesce("root", "gid").alias("root"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rooted = staged(rooted.join(mixed, "token", "left_semi"), "join-mixed")
+    rooted = rooted.drop("n").join(mixed, "token", "left_semi").join(bitmaps, "gid")
+    rooted = staged(rooted, "join-mixed")
     x, y = rooted.alias("x"), rooted.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     near = ((F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.root") != F.col("y.root"))
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))))
+            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))) & _may_link("x", "y", percent))
     return x.join(y, near).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
 
