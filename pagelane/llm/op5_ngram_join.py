@@ -49,6 +49,7 @@ PERCENT = 85
 FREQUENT = 16
 MAX_FREQUENT = 1_000_000
 MAX_LOOKUP = 4_000_000
+LISTED_TOKENS = 64
 _SEEN_SETS = 500_000
 _CHUNK_BYTES = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -376,13 +377,20 @@ def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, bitm
         "token", "gid", F.shiftright("place", 32).alias("n"), (F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pos"),
         F.coalesce("root", "gid").alias("root"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rooted = rooted.drop("n").join(mixed, "token", "left_semi").join(bitmaps, "gid")
+    # A member's tokens in prefix order, so that a pair is made at its first common token only. Members of
+    # many such tokens go without, and distinct() takes their repeated pairs.
+    listed = (rooted.join(mixed, "token", "left_semi").groupBy("gid")
+              .agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("at")).join(bitmaps, "gid"))
+    few = F.when(F.size("at") <= LISTED_TOKENS, F.transform("at", lambda e: e["token"]))
+    rooted = listed.select("gid", "root", "n", *_BITS, few.alias("tokens"), F.posexplode("at").alias("i", "e")).select(
+        "gid", "root", "n", *_BITS, "e.token", "e.pos", F.when(F.col("tokens").isNotNull(), F.slice("tokens", F.lit(1), F.col("i"))).alias("before"))
     rooted = staged(rooted, "join-mixed")
     x, y = rooted.alias("x"), rooted.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     near = ((F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.root") != F.col("y.root"))
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))) & _may_link("x", "y", percent))
+            & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))) & _may_link("x", "y", percent)
+            & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False)))
     return x.join(y, near).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
 
