@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from pagelane.plans import catalog  # noqa: E402
 from pagelane.session import build_session  # noqa: E402
 
 
@@ -39,10 +39,10 @@ def main():
     spark = build_session("local[8]", 8)
     print("# PLANS\n")
     print(f"Physical plans of the registered queries at `{sf_dir}` (before AQE re-planning), summarised by "
-          "`tools/plan_summary.py`. `Exchange` counts include the `spread()` repartition of single-split inputs.\n")
+          "`tools/plan_summary.py`. `spread()` is off: scans keep their splits.\n")
     print("| Query | Tables (ReadSchema columns) | Pushed filters | Exchanges | Broadcasts | Joins | Aggregates | Windows | Python |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(catalog.QUERIES.items()):
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
