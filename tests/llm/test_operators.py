@@ -192,6 +192,30 @@ def test_line_dedup_recall(spark):
     assert 300 - op3.dedup_lines(documents(spark, rows)).count() >= 0.95 * expected
 
 
+def test_line_dedup_reads_every_character(spark):
+    """Lines with long words, without blanks or by tabs: as brute force over the shingles of all positions."""
+    rng = random.Random(12)
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(400)]
+    lines = ["https://example.com/a/first-page", "https://example.com/b/other?q=17", "user_id=1", "user_id=2", "session_token=abc",
+             "session_token=xyz", "alpha_one\tbeta\t1", "alpha_one\tgamma\t2", "internationally recognised", "internationally renowned"]
+    for _ in range(12):
+        base = "".join(rng.choice(han) for _ in range(60))
+        lines += [base, base[:30] + "字" + base[31:], base[:8] + "".join(rng.choice(han) for _ in range(52))]
+        path = "https://site.example/" + "".join(rng.choice("abcdefghij/") for _ in range(80))
+        lines += [path, path[:-1] + "#", path[:40] + path[60:], "see " + path, path + " " + "".join(rng.choice("klmno") for _ in range(40))]
+    lines = sorted(set(lines))
+
+    def all_positions(line):
+        return {line[i:i + 8] for i in range(max(1, len(line) - 7))}
+    root = list(range(len(lines)))
+    for (i, a), (j, b) in combinations(enumerate(map(all_positions, lines)), 2):
+        if 100 * len(a & b) >= op3.PERCENT * len(a | b):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    kept = {r.doc_id for r in op3.dedup_lines(documents(spark, [(i, t, "en", "s") for i, t in enumerate(lines)])).collect()}
+    assert kept == set(root) and 40 < len(kept) < len(lines) - 20
+
+
 def test_no_python_in_line_dedup(spark):
     docs = documents(spark)
     lines = op3._lines(docs, "doc_id", "text")
