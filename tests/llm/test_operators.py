@@ -216,6 +216,25 @@ def test_line_dedup_reads_every_character(spark):
     assert kept == set(root) and 40 < len(kept) < len(lines) - 20
 
 
+@pytest.mark.parametrize("hot", [op3.HOT, 10**6])
+def test_line_dedup_with_a_shared_passage(spark, monkeypatch, hot):
+    """Similar lines in the middle of a bucket that many unlike lines share."""
+    monkeypatch.setattr(op3, "HOT", hot)
+    rng = random.Random(13)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**8):08d}" for _ in range(n)]
+    passage, rows = prose(32), []
+    for _ in range(150):
+        words = passage + prose(8)
+        changed = words[:]
+        for at in rng.sample(range(32, 40), 2):
+            changed[at] = prose(1)[0]
+        rows += [" ".join(words), " ".join(changed)]
+    kept = [r.doc_id for r in op3.dedup_lines(documents(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()]
+    assert sorted(kept) == list(range(0, 300, 2))
+
+
 def test_no_python_in_line_dedup(spark):
     docs = documents(spark)
     lines = op3._lines(docs, "doc_id", "text")
