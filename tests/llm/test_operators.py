@@ -385,6 +385,28 @@ def test_language_id(spark):
     assert op7.identified_documents(empty(spark)).count() == 0
 
 
+def spoken_rows(rng, n):
+    """Rows of four invented languages, and words of a fifth one that shares their letters."""
+    letters = {"en": ("thwr", "eoa"), "de": ("schk", "iue"), "fr": ("lmpv", "eai"), "es": ("dngb", "oau"), "zz": ("xqjz", "yow")}
+    words = {lang: ["".join(rng.choice(p) for p in (a, b, a, b)[:rng.choice((2, 3, 4))]) for _ in range(60)] for lang, (a, b) in letters.items()}
+    return words, [(4 * i + j, " ".join(rng.choice(words[lang]) for _ in range(rng.choice((3, 12, 40)))), lang, "s")
+                   for i in range(n) for j, lang in enumerate(("en", "de", "fr", "es"))]
+
+
+def test_text_of_no_learned_language_goes(spark):
+    rng = random.Random(14)
+    words, rows = spoken_rows(rng, 100)
+    odd = [(1000 + i, " ".join(rng.choice(words["zz"]) for _ in range(n)), "en", "s") for i, n in enumerate((5, 20, 80))]
+    odd += [(2000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)), "de", "s") for i, n in enumerate((40, 400, 4000))]
+    odd += [(3000, "жук дом лес " * 5, "fr", "s"), (3001, "日本語の文章です", "fr", "s")]
+    model = op7.train(documents(spark, rows))
+    langs, scores = model.predict([r[1] for r in odd])
+    assert all(score < op7.MIN_SCORE for score in scores), list(zip(langs, scores))
+    kept = op7.identified_documents(documents(spark, rows)).collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in rows}
+    assert sum(r.lang == rows[r.doc_id][2] for r in kept) >= 0.97 * len(rows)
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, id string, value string")
 
