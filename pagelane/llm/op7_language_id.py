@@ -13,9 +13,10 @@ language, the excess over the median that 99 of 100 training rows do not reach
 language scores low. A language of fewer than ``LEAST_ROWS`` sampled rows cannot
 be measured and has nearness 1.
 
-Training takes a bounded sample: at most ``SAMPLE_PER_LANG`` rows of a language
-and ``SAMPLE_ROWS`` in all (of the ``MAX_LANGS`` most frequent languages), chosen
-by hash among training rows with a known language. Rows are featurised in Spark
+Training takes every language there is, and of each the rows with letters of the
+smallest hashes: at most ``SAMPLE_PER_LANG``, and ``SAMPLE_ROWS`` in all (one row
+of each language if there are more languages). Models grow with the square of
+the number of families. Rows are featurised in Spark
 tasks; only the sample's features come to the driver. Prediction runs over every
 whole text in tasks with the few weight vectors.
 
@@ -29,14 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pagelane.llm.common import table
+from pagelane.llm.common import staged, table
 
 FEATURES = 4096
 SAMPLE_PER_LANG = 800
 SAMPLE_ROWS = 8_000
-MAX_LANGS = 64
 REACH = 4.0
 LEAST_REACH = 1.0
 LEAST_ROWS = 8
@@ -206,15 +206,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Model learned from a bounded sample of the rows that are not held out."""
     rows = docs.filter(~held_out(id_col, folds, fold) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("id", "text"))
+    langs = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")), "language-counts")
+    number = langs.count()
+    if not number:
         return LanguageModel(np.empty((0, FEATURES), np.float32), np.empty(0, object))
-    each = min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts))
-    million = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (million < int(1_000_000 * min(1.0, each / n))))
-    sample = rows.filter(chosen).select("lang", "text").limit(2 * SAMPLE_ROWS).mapInArrow(_featurise, "lang string, x binary")
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // number))
+    # Rows that can be among the smallest hashes: a few more than needed, and the smallest one in any case.
+    share = F.least(F.lit(1.0), F.lit(each + 6.0 * each ** 0.5 + 20.0) / F.col("n"))
+    few = rows.join(F.broadcast(langs), "lang").filter((F.col("hash") == F.col("least")) | (F.col("hash") / 2.0 ** 64 + 0.5 <= share))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    sample = few.select("lang", "text", first.alias("at")).filter(F.col("at") <= each).select("lang", "text").mapInArrow(
+        _featurise, "lang string, x binary")
     found = sample.filter("x IS NOT NULL").toPandas().sort_values(["lang", "x"])
     if not len(found):
         return LanguageModel(np.empty((0, FEATURES), np.float32), np.empty(0, object))

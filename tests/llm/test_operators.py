@@ -407,6 +407,17 @@ def test_text_of_no_learned_language_goes(spark):
     assert sum(r.lang == rows[r.doc_id][2] for r in kept) >= 0.97 * len(rows)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than 64 languages, one of them rare; and one in which a share per million rounds to nothing."""
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 3} {chr(0x5E00 + i % 70) * 2}", f"l{i % 70:02d}", "s") for i in range(420)] + [(999, "ñandú ñu", "rare", "s"), (1001, "ñu", "rare", "s"), (1003, "ñandú", "rare", "s")]
+    model = op7.train(documents(spark, rows))
+    assert sorted(model.near) == sorted({r[2] for r in rows})
+    assert op7.identify(documents(spark, rows), model).filter("lang_pred = 'rare'").count() == 3
+    monkeypatch.setattr(op7, "SAMPLE_ROWS", 2)  # fewer than languages: one row of each
+    docs = documents(spark, [(i, "aa bb", ("en", "de", "fr")[i % 3], "s") for i in range(300)])
+    assert sorted(op7.train(docs).near) == ["de", "en", "fr"]
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, id string, value string")
 
