@@ -43,6 +43,7 @@ LEAST_ROWS = 8
 MIN_SCORE = 0.2
 UNKNOWN = "und"
 _CHUNK = 1 << 20
+_SLICE = 256  # rows whose vectors are held at a time
 
 # Families of languages by ISO 639-1 code.
 FAMILIES = {
@@ -171,11 +172,12 @@ class LanguageModel:
         out, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if self.family is None:
             return out, scores
-        vectors = [features(t) for t in texts]
-        known = [i for i, v in enumerate(vectors) if v is not None]
-        for start in range(0, len(known), 512):
-            rows = np.array(known[start:start + 512])
-            x = np.stack([vectors[i] for i in rows])
+        for start in range(0, len(texts), _SLICE):
+            vectors = {i: v for i in range(start, min(start + _SLICE, len(texts))) if (v := features(texts[i])) is not None}
+            if not vectors:
+                continue
+            rows, x = np.array(list(vectors)), np.stack(list(vectors.values()))
+            vectors.clear()
             family, sure = self.family.predict(x)
             for f in set(family.tolist()):
                 mine = np.flatnonzero(family == f)
@@ -193,8 +195,15 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _featurise(batches):
+def _slices(batches):
+    """A few rows of the Arrow batches at a time: only their texts and vectors are Python objects."""
     for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(start, _SLICE)
+
+
+def _featurise(batches):
+    for batch in _slices(batches):
         vectors = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in vectors], pa.binary())],
@@ -227,7 +236,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _predict(model):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             langs, scores = model.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
@@ -244,7 +253,7 @@ def identify(docs: DataFrame, model: LanguageModel, folds: int = 3, fold: int =
 
 def _relabel(model, text_at: int, lang_at: int, min_score: float):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             langs, scores = model.value.predict(batch.column(text_at).to_pylist())
             columns = list(batch.columns)
             columns[lang_at] = pa.array(langs, pa.string())
