@@ -434,17 +434,20 @@ def test_warc_round_trip(spark):
     largest = {}
     for i, _, h in rows:
         largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
-    seen = []
+    seen, by_record = [], {c.response.record_id: c for c in captures}
     for c in captures:
         page, r = c.page_id, c.response
         assert c.request is not None and c.metadata is not None and c.request.http.startswith("GET ")
         if r.type == "response":
             text = bytes(r.payload).decode()
             assert r.payload_digest == __import__("base64").b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
-            assert page == (largest[text] if largest[text] >= 0 else None) and r.refers_to is None
+            assert page == (largest[text] if largest[text] >= 0 else None) and r.refers_to is None and c.refers_to is None
             seen.append((page, text))
         else:
-            text = next(t for t in largest if c.metadata.payload_bytes == len(t.encode()) and largest[t] == r.refers_to)
+            target = by_record[r.refers_to]
+            text = bytes(target.response.payload).decode()
+            assert target.response.type == "response" and target.page_id == c.refers_to == largest[text]
+            assert c.metadata.payload_bytes == len(text.encode())
             seen.append((page, text))
     assert sorted(map(str, seen)) == sorted(str((i, h or "")) for i, _, h in rows)
     empty_path = shared_path(spark, "warc-test")
@@ -452,6 +455,19 @@ def test_warc_round_trip(spark):
     assert op8.assemble(op8.read_warc(spark, empty_path)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark):
+    """Few large pages among small ones: no file holds much more than its bytes, and all captures come back."""
+    import glob
+    import gzip
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(200)] + [(1000 + i, "http://h/l", f"{i} " + "é" * 500_000) for i in range(6)]
+    path = shared_path(spark, "warc-bytes")
+    op8.write_warc(pages(spark, rows).coalesce(1), path, records_per_file=100, file_bytes=1_000_000)
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{path.removeprefix('file:')}/*.gz")]
+    assert len(sizes) > 6 and max(sizes) < 2_200_000
+    captures = op8.assemble(op8.read_warc(spark, path)).collect()
+    assert sorted((c.page_id, bytes(c.response.payload).decode()) for c in captures) == sorted((i, h) for i, _, h in rows)
+
+
 def test_damaged_archives_are_noticed():
     import io
     with pytest.raises(ValueError):
