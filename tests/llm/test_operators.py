@@ -141,7 +141,7 @@ def test_m_tree_rules_out_nodes():
 
 def line_set(line):
     line = line.lower().strip(" \t\x0b\x0c\r")
-    return frozenset(line[i:i + op3.CHARS] for i in range(len(line)) if line[i] != " " and (i == 0 or line[i - 1] == " "))
+    return frozenset(line[i:i + op3.CHARS] for i in range(max(1, len(line) - op3.CHARS + 1)))
 
 
 def test_line_dedup(spark):
@@ -216,6 +216,32 @@ def test_line_dedup_reads_every_character(spark):
     assert kept == set(root) and 40 < len(kept) < len(lines) - 20
 
 
+def test_line_dedup_has_one_similarity(spark):
+    """Short words or long ones: a pair is judged by the same shingles."""
+    base = "we go to the big red old car and see the cat sit by the tree with the fox and the dog on "
+    lines = [base + "it", base + "me", "yesterday " + base + "it now", "yesterday " + base + "me now"]
+    kept = {r.doc_id for r in op3.dedup_lines(documents(spark, [(i, t, "en", "s") for i, t in enumerate(lines)])).collect()}
+    linked = {(i, j) for i, j in combinations(range(4), 2)
+              if 100 * len(line_set(lines[i]) & line_set(lines[j])) >= op3.PERCENT * len(line_set(lines[i]) | line_set(lines[j]))}
+    assert {(0, 1), (2, 3)} <= linked and kept == {i for i in range(4) if not any(j == i for _, j in linked)}
+
+
+@pytest.mark.parametrize("shingles", [3, 8, 20, 300])
+def test_line_dedup_recall_by_length(spark, shingles):
+    """Lines of few shingles leave most arcs empty; of the pairs over the threshold at least 0.95 are found."""
+    rng = random.Random(shingles)
+    rows, expected = [], 0
+    while expected < 60:
+        n = shingles + op3.CHARS - 1
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        other = line + "".join(rng.choice("0123456789") for _ in range(max(1, shingles // 8))) if shingles > 3 else line.upper() + " "
+        a, b = line_set(line), line_set(other)
+        if 100 * len(a & b) >= op3.PERCENT * len(a | b):
+            rows += [(2 * expected, line, "en", "s"), (2 * expected + 1, other, "en", "s")]
+            expected += 1
+    assert 120 - op3.dedup_lines(documents(spark, rows)).count() >= 0.95 * expected
+
+
 @pytest.mark.parametrize("hot", [op3.HOT, 10**6])
 def test_line_dedup_with_a_shared_passage(spark, monkeypatch, hot):
     """Similar lines in the middle of a bucket that many unlike lines share."""
