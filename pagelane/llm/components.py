@@ -4,14 +4,14 @@ Alternates two DataFrame steps until the table no longer changes: every node
 hangs its larger neighbours on its smallest one (large star), then its smaller
 ones (small star). The result is one star per component. Minima are partial
 aggregates; a hub's links are rows of a skew-splittable join, never one task's
-list. Each round is a table in the shared folder.
+list. Each round is a table in the shared folder, removed once the next is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagelane.llm.common import staged
+from pagelane.llm.common import discard, staged
 
 
 def _fingerprint(links: DataFrame):
@@ -40,8 +40,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     current = staged(ends.distinct(), "components")
     before = _fingerprint(current)
     while before[0]:
-        current = staged(_small_star(_large_star(current).distinct()).distinct(), "components")
+        last, current = current, staged(_small_star(_large_star(current).distinct()).distinct(), "components")
         after = _fingerprint(current)
+        discard(last)
         if after == before:
             break
         before = after

@@ -265,8 +265,8 @@ def test_no_python_in_line_dedup(spark):
     docs = documents(spark)
     lines = op3._lines(docs, "doc_id", "text")
     signatures = op3.line_signatures(lines)
-    pairs = op3.candidate_pairs(signatures)
-    for df in (signatures, pairs, op3.verified_links(lines, pairs), op3.dedup_lines(docs)):
+    pairs = op3.candidate_pairs(signatures, [])
+    for df in (signatures, pairs, op3.verified_links(lines, pairs, []), op3.dedup_lines(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
