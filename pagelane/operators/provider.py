@@ -12,8 +12,10 @@ to the shared folder before anything reads them twice.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from concurrent.futures import ThreadPoolExecutor
+from hashlib import sha256
 from itertools import islice
 from typing import Callable
 
@@ -21,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelane.functions import fixed
+from pagelane.operators.answer_store import answer_key
+from pagelane.operators.ranges import UNRENDERED, RangeReader, range_rows
 from pagelane.session import ensure_checkpoint_dir
+from pagelane.sources.files import read_document
 
 CONCURRENCY = 4
 _ROWS_PER_BATCH = 256
@@ -85,6 +90,13 @@ def _answer(model, payload, prompt):
         return None, f"{type(exc).__name__}: {exc}"
 
 
+def _answered_page(model, prompts, number, image):
+    """``(page number, label, text, error)`` of one page: its one or two calls."""
+    label = prompts.label(_answer(model, image, fixed.CLASSIFICATION_PROMPT)[0] if prompts.classify else None)
+    text, error = _answer(model, image, prompts.prompt(label))
+    return number, label, text or "", error
+
+
 def _in_flight(pool, work, items, limit):
     """Results of ``work(item)`` in order, never more than ``limit`` items taken ahead."""
     items, waiting = iter(items), deque()
@@ -96,6 +108,54 @@ def _in_flight(pool, work, items, limit):
             waiting.append(pool.submit(work, item))
 
 
+class PagePrompts:
+    """Which calls a page gets, in a task (see ``routing.page_prompts`` for the flags)."""
+
+    def __init__(self, custom_prompt: str | None, classification: bool, manager_structured: bool, call_structured: bool):
+        self.custom = custom_prompt
+        self.classify = bool(classification and call_structured and not custom_prompt)
+        self.fallback = not classification or not manager_structured
+        self.labels = dict(fixed.LABEL_MAP)
+        self.by_label = {t: prompt for kind, t, prompt in fixed.PROMPT_ROWS if kind == "extraction"}
+
+    def label(self, said: str | None) -> str:
+        return self.labels.get((said or "").strip().lower(), fixed.DEFAULT_LABEL)
+
+    def prompt(self, label: str) -> str:
+        if self.custom:
+            return self.custom
+        return fixed.MARKDOWN_FALLBACK_PROMPT if self.fallback else self.by_label.get(label, fixed.GENERAL_DOCUMENT_PROMPT)
+
+
+class PageKeys(PagePrompts):
+    """Store keys of a page's calls: as columns, and the same in a task."""
+
+    def __init__(self, custom_prompt, classification, manager_structured, call_structured, options: dict | None = None):
+        super().__init__(custom_prompt, classification, manager_structured, call_structured)
+        self.options = dict(options or {})
+
+    def classification(self, page_hash: Column) -> Column:
+        prompt = F.lit(fixed.CLASSIFICATION_PROMPT if self.classify else None).cast("string")
+        return answer_key(page_hash, prompt, self.options)
+
+    def label_of(self, said: Column) -> Column:
+        from pagelane.operators.routing import normalize_label
+        return F.when(F.coalesce(said, F.lit("")) == "", F.lit(fixed.DEFAULT_LABEL)).otherwise(normalize_label(said))
+
+    def extraction(self, page_hash: Column, label: Column) -> Column:
+        if self.custom or self.fallback:
+            return answer_key(page_hash, F.lit(self.prompt(fixed.DEFAULT_LABEL)), self.options)
+        prompt = F.lit(fixed.GENERAL_DOCUMENT_PROMPT)
+        for name, text in self.by_label.items():
+            prompt = F.when(label == name, F.lit(text)).otherwise(prompt)
+        return answer_key(page_hash, prompt, self.options)
+
+    def key(self, page_hash: str, prompt: str) -> str:
+        """``answer_key`` in a task."""
+        parts = (page_hash, sha256(prompt.encode()).hexdigest(), json.dumps(self.options, sort_keys=True))
+        return sha256("|".join(parts).encode()).hexdigest()
+
+
 ANSWER_SCHEMA = "page_no int, document_type string, response string, error string"
 
 
@@ -114,27 +174,13 @@ def answer_documents(docs: DataFrame, renderer, factory, custom_prompt: str | No
     import pandas as pd
 
     opts = dict(options or {})
-    labels = dict(fixed.LABEL_MAP)
-    by_label = {t: prompt for kind, t, prompt in fixed.PROMPT_ROWS if kind == "extraction"}
-    classify = classification and call_structured and not custom_prompt
-    fallback = not classification or not manager_structured
-
-    def prompt_for(label):
-        if custom_prompt:
-            return custom_prompt
-        return fixed.MARKDOWN_FALLBACK_PROMPT if fallback else by_label.get(label, fixed.GENERAL_DOCUMENT_PROMPT)
+    prompts = PagePrompts(custom_prompt, classification, manager_structured, call_structured)
 
     def run(batches):
         model = factory(**opts) if opts else factory()
 
         def one(numbered):
-            number, image = numbered
-            label = fixed.DEFAULT_LABEL
-            if classify:
-                said, _ = _answer(model, image, fixed.CLASSIFICATION_PROMPT)
-                label = labels.get((said or "").strip().lower(), fixed.DEFAULT_LABEL)
-            text, error = _answer(model, image, prompt_for(label))
-            return number, label, text or "", error
+            return _answered_page(model, prompts, *numbered)
 
         def pages_of(content, pool):
             try:
@@ -157,6 +203,95 @@ def answer_documents(docs: DataFrame, renderer, factory, custom_prompt: str | No
     return source.mapInPandas(run, f"{doc_col} {doc_type}, {ANSWER_SCHEMA}")
 
 
+def answer_ranges(ranges: DataFrame, renderer, factory, custom_prompt: str | None = None, classification: bool = True,
+                  manager_structured: bool = True, call_structured: bool = True, options: dict | None = None,
+                  concurrency: int = CONCURRENCY, doc_col: str = "doc_id", fetch: Callable = read_document) -> DataFrame:
+    """``answer_documents`` over page ranges (``operators.ranges``): the pages of one document are answered by many tasks.
+
+    A range that fails adds a row with ``page_no = -1`` to the pages before it."""
+    import pandas as pd
+
+    opts = dict(options or {})
+    prompts = PagePrompts(custom_prompt, classification, manager_structured, call_structured)
+
+    def run(batches):
+        model, reader = factory(**opts) if opts else factory(), RangeReader(renderer, fetch)
+
+        def one(numbered):
+            return _answered_page(model, prompts, *numbered)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                for doc, first, end, given in range_rows(pdf, doc_col):
+                    rows = []
+                    try:
+                        rows.extend(_in_flight(pool, one, reader.pages(doc, first, end, given), concurrency))
+                    except Exception as exc:  # one range fails, the others go on
+                        rows.append((UNRENDERED, None, None, f"{type(exc).__name__}: {exc}"))
+                    yield pd.DataFrame([(doc, *row) for row in rows], columns=[doc_col, "page_no", "document_type", "response", "error"])
+
+    columns = [doc_col, "first_page", "end_page", *(["_content"] if "_content" in ranges.columns else [])]
+    doc_type = ranges.schema[doc_col].dataType.simpleString()
+    return ranges.select(*columns).mapInPandas(run, f"{doc_col} {doc_type}, {ANSWER_SCHEMA}")
+
+
+def hash_ranges(ranges: DataFrame, renderer, doc_col: str = "doc_id", fetch: Callable = read_document) -> DataFrame:
+    """``(doc_id, first_page, end_page, page_no, page_hash, error)``: C1 of every rendered page; the images stay in the task."""
+    import pandas as pd
+
+    def run(batches):
+        reader = RangeReader(renderer, fetch)
+        names = [doc_col, "first_page", "end_page", "page_no", "page_hash", "error"]
+        for pdf in batches:
+            for doc, first, end, given in range_rows(pdf, doc_col):
+                rows = []
+                try:
+                    for number, image in reader.pages(doc, first, end, given):
+                        rows.append((doc, first, end, number, sha256(bytes(image)).hexdigest(), None))
+                except Exception as exc:  # one range fails, the others go on
+                    rows.append((doc, first, end, UNRENDERED, None, f"{type(exc).__name__}: {exc}"))
+                yield pd.DataFrame(rows, columns=names)
+
+    columns = [doc_col, "first_page", "end_page", *(["_content"] if "_content" in ranges.columns else [])]
+    doc_type = ranges.schema[doc_col].dataType.simpleString()
+    return ranges.select(*columns).mapInPandas(run, f"{doc_col} {doc_type}, first_page int, end_page int, page_no int, page_hash string, error string")
+
+
+def answer_wanted_pages(ranges: DataFrame, renderer, factory, keys: PageKeys, concurrency: int = CONCURRENCY,
+                        doc_col: str = "doc_id", fetch: Callable = read_document) -> DataFrame:
+    """``(key, response, error)`` of the calls made for the ``wanted`` pages of each range.
+
+    ``wanted`` holds ``(page_no, page_hash, class_response)``; a stored
+    classification is not asked again. Ranges end with their last wanted page."""
+    import pandas as pd
+
+    opts = dict(keys.options)
+
+    def run(batches):
+        model, reader = factory(**opts) if opts else factory(), RangeReader(renderer, fetch)
+
+        def one(page):
+            (_, page_hash, said), image = page
+            rows = []
+            if keys.classify and said is None:
+                said, error = _answer(model, image, fixed.CLASSIFICATION_PROMPT)
+                rows.append((keys.key(page_hash, fixed.CLASSIFICATION_PROMPT), said if error else said or "", error))
+            prompt = keys.prompt(keys.label(said))
+            text, error = _answer(model, image, prompt)
+            return rows + [(keys.key(page_hash, prompt), text if error else text or "", error)]
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                for (doc, first, end, given), wanted in zip(range_rows(pdf, doc_col), pdf["wanted"]):
+                    asked = {int(w["page_no"]): (w["page_no"], w["page_hash"], w["class_response"]) for w in wanted}
+                    pages = ((asked[number], image) for number, image in reader.pages(doc, first, end, given) if number in asked)
+                    rows = [row for found in _in_flight(pool, one, pages, concurrency) for row in found]
+                    yield pd.DataFrame(rows, columns=["key", "response", "error"])
+
+    columns = [doc_col, "first_page", "end_page", "wanted", *(["_content"] if "_content" in ranges.columns else [])]
+    return ranges.select(*columns).mapInPandas(run, "key string, response string, error string")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Persist model answers reliably (shared checkpoint folder) so later
     actions and retries never call the model again."""

@@ -11,13 +11,17 @@ again and no image leaves its task.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelane.functions.text import output_name
 from pagelane.operators.admission import quarantine
+from pagelane.operators.answer_store import AnswerStore, answer_document_ranges
 from pagelane.operators.assemble import assemble_documents, status_message
-from pagelane.operators.provider import CONCURRENCY, answer_documents, provider_options
+from pagelane.operators.provider import CONCURRENCY, answer_documents, answer_ranges, provider_options
+from pagelane.operators.ranges import PAGES_PER_RANGE, count_document_pages, deal_ranges, plan_ranges, whole_documents
 from pagelane.operators.records import parse_responses
 from pagelane.operators.routing import choose_output
 from pagelane.session import stage_table
@@ -25,7 +29,8 @@ from pagelane.session import stage_table
 
 def process_documents(admitted: DataFrame, renderer, model_factory, custom_prompt: str | None = None,
                       call_structured: bool = True, manager_structured: bool = True, classification: bool = True,
-                      partitions: int | None = None, pass_options: bool = False, concurrency: int = CONCURRENCY):
+                      partitions: int | None = None, pass_options: bool = False, concurrency: int = CONCURRENCY,
+                      counter=None, pages_per_range: int = PAGES_PER_RANGE, store: AnswerStore | None = None, run: str | None = None):
     """Return ``(results, documents)``.
 
     ``admitted``: ``binaryFile`` rows with ``is_valid`` and ``reason`` (see
@@ -39,12 +44,30 @@ def process_documents(admitted: DataFrame, renderer, model_factory, custom_promp
     ``call_structured`` the call's (see ``routing.page_prompts``). With
     ``pass_options`` the factory is called as
     ``model_factory(system_instruction=..., generation=...)``.
+
+    With ``counter(bytes) -> int`` documents are planned as page ranges
+    (``operators.ranges``): ``renderer(bytes, first, end)`` is called per range,
+    files are read in the tasks by path, and long documents are spread. With a
+    ``store`` (``operators.answer_store``, needs ``counter``) answers outlive the
+    run: identical pages are asked once and a re-run makes only missing calls.
     """
     options = provider_options() if pass_options else None
     accepted, _ = quarantine(admitted)
-    docs = accepted.select(F.col("path").alias("doc_id"), "content")
-    answers = stage_table(answer_documents(docs, renderer, model_factory, custom_prompt, classification, manager_structured,
-                                           call_structured, options, partitions, concurrency), "answers")
+    flags = dict(custom_prompt=custom_prompt, classification=classification, manager_structured=manager_structured,
+                 call_structured=call_structured, options=options, concurrency=concurrency)
+    if counter is None:
+        if store is not None:
+            raise ValueError("stored answers need a page counter")
+        docs = accepted.select(F.col("path").alias("doc_id"), "content")
+        answers = stage_table(answer_documents(docs, renderer, model_factory, partitions=partitions, **flags), "answers")
+    else:
+        counts = stage_table(count_document_pages(accepted.select(F.col("path").alias("doc_id")), counter), "page-counts")
+        ranges = plan_ranges(counts, pages_per_range)
+        if store is None:
+            found = answer_ranges(deal_ranges(ranges, partitions), renderer, model_factory, **flags)
+        else:
+            found = answer_document_ranges(ranges, renderer, model_factory, store, run or uuid4().hex, partitions=partitions, **flags)
+        answers = stage_table(whole_documents(stage_table(found, "range-answers"), counts), "answers")
     pages = answers.filter("page_no >= 0")
     parsed = parse_responses(pages, "response", "document_type", structured=manager_structured, with_markdown=True)
     page_text = choose_output(F.lit(bool(call_structured)), F.lit(custom_prompt).cast("string"), F.col("markdown"), F.col("response"))

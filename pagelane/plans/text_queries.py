@@ -7,6 +7,8 @@ uploads (``url`` gives the file name, ``html`` the bytes).
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,18 @@ from pagelane.functions import fixed
 from pagelane.functions.text import (PY_SPACE_CHARS, content_hash, cut_characters, extract_amounts, extract_dates,
                                      extract_emails, extract_phones, normalize_prompt, output_name,
                                      sanitize_name, sanitize_text, sql_quote as q, unsafe_folder)
+from pagelane.operators.answer_store import AnswerStore, answer_requests
 from pagelane.operators.assemble import (assemble_documents, batch_summary, first_document, page_totals,
                                          status_message)
 from pagelane.operators.balance import spread
 from pagelane.operators.pages import explode_text_pages, page_counts, require_all_pages
 from pagelane.operators.provider import KEYWORDS, keyword_classify
+from pagelane.operators.ranges import deal_ranges, range_text_pages, text_ranges
 from pagelane.operators.records import parse_responses
 from pagelane.operators.routing import (choose_output, empty_response, extend_prompt, extraction_prompt,
                                         normalize_label, page_prompts, route_prompts)
 from pagelane.plans.responders import INVOICE_CLASS_ANSWERS
+from pagelane.session import ensure_checkpoint_dir
 from pagelane.sources.tables import read_table
 
 NL = "chr(10)"
@@ -282,7 +287,15 @@ def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_classes_sql() -> str:
-    toks = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')"
+    scores, cases = _keyword_sql("text")
+    return f"""
+WITH s AS (SELECT doc_id, {scores} FROM documents)
+SELECT doc_id, CASE {cases} ELSE 'other' END AS document_type FROM s"""
+
+
+def _keyword_sql(text: str) -> tuple[str, str]:
+    """Score columns of the classes and the CASE branches that choose one."""
+    toks = rf"regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}_]+')"
     scores = []
     for cls, words in KEYWORDS:
         inlist = ", ".join(q(w) for w in words)
@@ -290,9 +303,7 @@ def keyword_classes_sql() -> str:
     names = [cls for cls, _ in KEYWORDS]
     best = "greatest(" + ", ".join(f"s_{c}" for c in names) + ")"
     cases = " ".join(f"WHEN s_{c} = {best} AND {best} > 0 THEN '{c}'" for c in names)
-    return f"""
-WITH s AS (SELECT doc_id, {", ".join(scores)} FROM documents)
-SELECT doc_id, CASE {cases} ELSE 'other' END AS document_type FROM s"""
+    return ", ".join(scores), cases
 
 
 # ---------------------------------------------------------------------- E12-15
@@ -480,7 +491,89 @@ SELECT o_orderkey, [CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE), 7.0::DO
        [strftime(o_orderdate, '%-m/%-d/%Y'), strftime(o_orderdate, '%Y-%m-%d')] AS dates FROM orders"""
 
 
+# ------------------------------------------------------------- D1 as page ranges
+RANGE_PAGES = 8
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents planned as ranges of ``RANGE_PAGES`` pages (lines), each with its text."""
+    ranges = text_ranges(read_table(spark, sf_dir, "documents").select("doc_id", "text"), RANGE_PAGES)
+    return ranges.select("doc_id", "n_pages", "first_page", "end_page", content_hash("range_text").alias("range_sha256"))
+
+
+def page_ranges_sql() -> str:
+    return f"""
+WITH s AS (SELECT doc_id, string_split(text, {NL}) AS parts FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, parts, unnest(range(0, len(parts), {RANGE_PAGES})) AS first_page FROM s)
+SELECT doc_id, len(parts)::INTEGER AS n_pages, first_page::INTEGER AS first_page,
+       least(first_page + {RANGE_PAGES}, len(parts))::INTEGER AS end_page,
+       sha256(array_to_string(list_slice(parts, first_page + 1, first_page + {RANGE_PAGES}), {NL})) AS range_sha256
+FROM r"""
+
+
+# ------------------------------------------------- E2, E9 with an answer store
+ANSWER_BATCHES = 4
+
+
+def _offline_call(rows: DataFrame) -> DataFrame:
+    """E11 in the place of the model: the class of a page's text; a page without a letter fails."""
+    failed = ~F.col("payload").rlike(r"\p{L}")
+    return rows.select("key", F.when(~failed, keyword_classify(F.col("payload"))).alias("response"),
+                       F.when(failed, F.lit("ValueError: no text")).alias("response_error"))
+
+
+def _page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classification request per page, of documents dealt out as page ranges."""
+    ranges = text_ranges(read_table(spark, sf_dir, "documents").select("doc_id", "text"), RANGE_PAGES)
+    pages = range_text_pages(deal_ranges(ranges))
+    return pages.select("doc_id", "page_no", F.col("page_text").alias("payload"), F.lit(fixed.CLASSIFICATION_PROMPT).alias("prompt"))
+
+
+def _new_store(spark: SparkSession) -> AnswerStore:
+    return AnswerStore(spark, f"{ensure_checkpoint_dir(spark)}/answers-{uuid4().hex}")
+
+
+def answered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its class or its error; identical pages are asked once, in batches kept in a store."""
+    answered = answer_requests(_page_requests(spark, sf_dir), _new_store(spark), _offline_call, "only", batches=ANSWER_BATCHES)
+    return answered.select("doc_id", "page_no", F.col("response").alias("document_type"), "error")
+
+
+def answered_pages_sql() -> str:
+    scores, cases = _keyword_sql("page_text")
+    return f"""
+WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, {NL}), 1) AS i, unnest(string_split(text, {NL})) AS page_text FROM documents),
+s AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS page_no, regexp_matches(page_text, '\\p{{L}}') AS good, {scores} FROM p)
+SELECT doc_id, page_no, CASE WHEN good THEN CASE {cases} ELSE 'other' END END AS document_type,
+       CASE WHEN NOT good THEN 'ValueError: no text' END AS error FROM s"""
+
+
+def answer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs over the same pages cost: the second makes only the calls that failed in the first."""
+    store, requests = _new_store(spark), _page_requests(spark, sf_dir)
+    for run in ("first", "second"):
+        answer_requests(requests, store, _offline_call, run, batches=ANSWER_BATCHES)
+    calls = store.calls().groupBy(F.substring_index("batch", ".", 1).alias("run")).agg(
+        F.count(F.lit(1)).alias("calls"), F.count("error").alias("failed"))
+    runs = F.explode(F.array(F.lit("first"), F.lit("second"))).alias("run")
+    asked = requests.agg(F.count(F.lit(1)).alias("requests")).select(runs, "requests")
+    return asked.join(calls, "run", "left").select("run", "requests", F.coalesce("calls", F.lit(0)).alias("calls"),
+                                                   F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
+def answer_calls_sql() -> str:
+    return f"""
+WITH p AS (SELECT unnest(string_split(text, {NL})) AS page_text FROM documents),
+d AS (SELECT count(*) AS requests, count(DISTINCT page_text) AS pages,
+             count(DISTINCT CASE WHEN NOT regexp_matches(page_text, '\\p{{L}}') THEN page_text END) AS failed FROM p)
+SELECT 'first' AS run, requests, pages AS calls, failed FROM d
+UNION ALL SELECT 'second', requests, failed, failed FROM d"""
+
+
 QUERIES = {
+    "page_ranges": (page_ranges, page_ranges_sql),
+    "answered_pages": (answered_pages, answered_pages_sql),
+    "answer_calls": (answer_calls, answer_calls_sql),
     "user_inputs": (user_inputs, user_inputs_sql),
     "upload_status": (upload_status, upload_status_sql),
     "prompt_routes": (prompt_routes, prompt_routes_sql),

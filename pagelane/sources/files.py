@@ -168,6 +168,13 @@ def _fs_and_path(uri: str):
     return pafs.LocalFileSystem(), uri
 
 
+def read_document(path: str) -> bytes:
+    """The bytes of one file, read in a task (local paths, ``file:`` and object-store / HDFS URIs)."""
+    filesystem, name = _fs_and_path(path)
+    with filesystem.open_input_stream(name, compression=None) as stream:
+        return stream.read()
+
+
 _REPORT = "name string, ok boolean, error string"
 
 
