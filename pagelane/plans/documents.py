@@ -72,18 +72,32 @@ def process_documents(admitted: DataFrame, renderer, model_factory, custom_promp
     parsed = parse_responses(pages, "response", "document_type", structured=manager_structured, with_markdown=True)
     page_text = choose_output(F.lit(bool(call_structured)), F.lit(custom_prompt).cast("string"), F.col("markdown"), F.col("response"))
     documents = _named(assemble_documents(parsed.select("doc_id", "page_no", page_text.alias("page_markdown")),
-                                          "doc_id", "page_no", "page_markdown"))
+                                          "doc_id", "page_no", "page_markdown"), pages.select("doc_id").distinct())
     return _results(admitted, answers), documents
 
 
-def _named(documents: DataFrame) -> DataFrame:
-    """Output names; of inputs that would write one file, all but the first by path get a number."""
-    named = documents.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id")).alias("wanted"), "n_pages", "markdown")
-    order = Window.partitionBy("wanted").orderBy("path")
-    numbers = named.select(F.col("path").alias("_path"), F.row_number().over(order).alias("_n")).filter("_n > 1")
-    numbered = F.concat(F.regexp_replace("wanted", r"\.md$", ""), F.lit("-"), F.col("_n").cast("string"), F.lit(".md"))
-    return named.join(numbers, F.col("path") == F.col("_path"), "left").select(
-        "path", F.coalesce(numbered, "wanted").alias("output_name"), "n_pages", "markdown")
+def numbered_names(documents: DataFrame) -> DataFrame:
+    """``(path, output_name)`` for the paths of ``documents``; of inputs that would write one file, all but the first by path get a number.
+
+    Paths are dealt out by ranges of (name, path), so one name in every folder is
+    many ranges: rows are numbered inside a range, and a range starts behind the
+    rows of the name in the ranges before it (one row a range and name)."""
+    wanted = documents.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id")).alias("wanted"))
+    ranged = stage_table(wanted.repartitionByRange("wanted", "path").withColumn("part", F.spark_partition_id()), "output-names")
+    inside = ranged.withColumn("at", F.row_number().over(Window.partitionBy("wanted", "part").orderBy("path")))
+    sizes = ranged.groupBy(F.col("wanted").alias("_wanted"), F.col("part").alias("_part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("_wanted").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    number = F.col("before") + F.col("at")
+    numbered = F.concat(F.regexp_replace("wanted", r"\.md$", ""), F.lit("-"), number.cast("string"), F.lit(".md"))
+    joined = inside.join(offsets, (F.col("wanted") == F.col("_wanted")) & (F.col("part") == F.col("_part")))
+    return joined.select("path", F.when(number > 1, numbered).otherwise(F.col("wanted")).alias("output_name"))
+
+
+def _named(documents: DataFrame, paged: DataFrame) -> DataFrame:
+    """Documents with their output names, which come from ``paged`` (doc_id of every document with pages), not from the parsed pages."""
+    names = numbered_names(paged).withColumnRenamed("path", "_path")
+    return documents.join(names, F.col("doc_id") == F.col("_path")).select(F.col("doc_id").alias("path"), "output_name", "n_pages", "markdown")
 
 
 def _results(admitted: DataFrame, answers: DataFrame) -> DataFrame:

@@ -115,35 +115,11 @@ def list_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_markdown(docs: DataFrame, folder: str, name_col: str = "output_name",
                    text_col: str = "markdown") -> DataFrame:
-    """One UTF-8 file per row, replaced if present.
-
-    Every executor writes its own rows through the file system of the output
-    path (``pyarrow.fs``); names must stay inside ``folder``. Writes at once
-    and returns ``(name, ok, error)`` per row: an unsafe name or a failing
-    write does not stop the others. Re-running overwrites (idempotent under
-    task retry).
-    """
-    import pandas as pd
-
-    base = folder.rstrip("/")
-
-    def write(batches):
-        filesystem, root = _fs_and_path(base)
-        filesystem.create_dir(root, recursive=True)
-        for pdf in batches:
-            report = []
-            for name, text in zip(pdf[name_col], pdf[text_col]):
-                try:
-                    if not name or "/" in name or name in (".", ".."):
-                        raise ValueError(f"unsafe output name: {name!r}")
-                    with filesystem.open_output_stream(f"{root}/{name}") as out:
-                        out.write((text or "").encode("utf-8"))
-                    report.append((name, True, None))
-                except Exception as exc:  # reported, the batch goes on
-                    report.append((name, False, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(report, columns=["name", "ok", "error"])
+    """One UTF-8 file per row, replaced if present; ``(name, ok, error)``
+    per row. Committed: see ``sources.markdown_sink``."""
+    from pagelane.sources import markdown_sink
 
-    return stage_table(docs.select(name_col, text_col).mapInPandas(write, _REPORT), "written")
+    return markdown_sink.write_markdown(docs, folder, name_col, text_col)
 
 
 def stage_plan(spark: SparkSession, working: str, input_folder: str) -> DataFrame:

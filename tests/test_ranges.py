@@ -237,3 +237,14 @@ def test_an_empty_store_and_no_requests(spark):
     out = answer_requests(requests, store, lambda df: df.withColumn("response", F.lit("x")).withColumn("response_error", F.lit(None).cast("string")), "r")
     assert out.count() == 0 and out.columns == ["doc_id", "prompt", "response", "error"]
     assert answer_store.BATCHES > 1
+
+
+def test_one_name_in_every_folder(spark):
+    """A hot name is numbered by path over many ranges, once for every path."""
+    from pagelane.plans.documents import numbered_names
+    rows = [(f"/in/{i:04d}/scan.pdf",) for i in range(700)] + [(f"/in/{i}/only{i}.pdf",) for i in range(40)] + [("/in/a/two.pdf",), ("/in/b/two.pdf",)]
+    got = {r.path: r.output_name for r in numbered_names(spark.createDataFrame(rows, "doc_id string").repartition(5)).collect()}
+    assert len(got) == len(rows) == len(set(got.values()))
+    for i in range(700):
+        assert got[f"/in/{i:04d}/scan.pdf"] == ("scan.md" if i == 0 else f"scan-{i + 1}.md")
+    assert got["/in/a/two.pdf"] == "two.md" and got["/in/b/two.pdf"] == "two-2.md" and got["/in/7/only7.pdf"] == "only7.md"
