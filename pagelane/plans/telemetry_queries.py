@@ -14,8 +14,10 @@ from pagelane.functions import fixed
 from pagelane.operators.pages import explode_text_pages, page_counts
 from pagelane.operators.records import parse_json_strict
 from pagelane.operators.balance import spread
-from pagelane.operators.telemetry import (io_throughput, load_windows, metrics_report, parse_log, rank_bottlenecks, ratio,
-                                          run_metrics, size_classes, suite_summary, throughput)
+from pagelane.operators.telemetry import (io_throughput, load_percentiles, load_sketches, load_windows, log_records, merge_load,
+                                          metrics_report, parse_log, rank_bottlenecks, ratio, record_messages, run_metrics, run_sessions,
+                                          size_classes, suite_summary, throughput)
+from pagelane.session import stage_table
 from pagelane.sources.tables import read_table
 
 
@@ -152,6 +154,47 @@ SELECT time_bucket(INTERVAL 1 minute, ts) AS window_start, time_bucket(INTERVAL
 FROM events GROUP BY 1, 2"""
 
 
+# J8 from stored sketches
+def load_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours and days from the minutes' stored sketches; the events are read once."""
+    e = _events(spark, sf_dir, "ts", "value", "event_type")
+    minutes = stage_table(load_sketches(e, "ts", "value", _is_error()), "load-minutes")
+    hours = stage_table(merge_load(minutes, "1 hour"), "load-hours")
+    rolled = [load_percentiles(rows).select(F.lit(name).alias("width"), "*") for name, rows in (("hour", hours), ("day", merge_load(hours, "1 day")))]
+    return rolled[0].unionByName(rolled[1])
+
+
+def load_rollup_sql() -> str:
+    def rolled(name):
+        return f"""
+SELECT '{name}' AS width, time_bucket(INTERVAL 1 {name}, ts) AS window_start, time_bucket(INTERVAL 1 {name}, ts) + INTERVAL 1 {name} AS window_end,
+       count(*) AS events, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99,
+       avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate
+FROM events GROUP BY 2, 3"""
+    return rolled("hour") + " UNION ALL " + rolled("day")
+
+
+# J1 without a run id
+SESSION_GAP_SECONDS = 6 * 3600
+
+
+def run_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs found by gaps of more than six hours between a user's events."""
+    e = _events(spark, sf_dir, "user_id", "ts", "value", "event_type")
+    return run_sessions(e, ["user_id"], "ts", "value", _is_error(), SESSION_GAP_SECONDS)
+
+
+def run_session_stats_sql() -> str:
+    return f"""
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL {SESSION_GAP_SECONDS} second
+                          THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(ts) AS run_start, max(ts) AS run_end, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed_secs,
+       coalesce(max(value), 0.0) AS peak, coalesce(avg(value), 0.0) AS mean, count(*) AS samples,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors
+FROM i GROUP BY user_id, run"""
+
+
 # F3 on a JSON column of the driver data
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir, "event_id", "props")
@@ -186,6 +229,27 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.count(F.when(F.col("message").rlike(fixed.API_KEY_PATTERN), 1)).alias("with_key"))
 
 
+def log_records_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several lines: a log file a day, in parts of four hours; lines that are no log line belong to the one before."""
+    e = _events(spark, sf_dir, "event_id", "ts", "event_type")
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - "), F.upper("event_type"), F.lit(" - event "), F.col("event_id").cast("string"))
+    more = F.concat(F.lit("  at step "), F.col("event_id").cast("string"))
+    lines = e.select(F.to_date("ts").alias("file"), F.floor(F.hour("ts") / 4).alias("split"), F.struct("ts", "event_id").alias("line"),
+                     F.when(F.col("event_type").isin("error", "purchase"), head).otherwise(more).alias("value"))
+    return record_messages(log_records(lines)).select("file", F.col("record_line.event_id").alias("first_event"), "level", "n_lines", "message")
+
+
+def log_records_by_day_sql() -> str:
+    return """
+WITH l AS (SELECT event_id, ts, CAST(ts AS DATE) AS file, event_type IN ('error', 'purchase') AS is_head, upper(event_type) AS level,
+                  CASE WHEN event_type IN ('error', 'purchase') THEN 'event ' ELSE '  at step ' END || event_id AS text FROM events),
+r AS (SELECT *, last_value(CASE WHEN is_head THEN event_id END IGNORE NULLS) OVER w AS first_event,
+             last_value(CASE WHEN is_head THEN level END IGNORE NULLS) OVER w AS record_level
+      FROM l WINDOW w AS (PARTITION BY file ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT file, first_event, record_level AS level, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY ts, event_id) AS message
+FROM r GROUP BY file, first_event, record_level"""
+
+
 def log_lines_sql() -> str:
     return """
 SELECT CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
@@ -209,6 +273,9 @@ SELECT *, CASE WHEN tests_run > 0 THEN (tests_run - failures - errors) * 100.0::
 
 
 QUERIES = {
+    "load_rollup": (load_rollup, load_rollup_sql),
+    "run_session_stats": (run_session_stats, run_session_stats_sql),
+    "log_records_by_day": (log_records_by_day, log_records_by_day_sql),
     "log_lines": (log_lines, log_lines_sql),
     "suite_results": (suite_results, suite_results_sql),
     "run_stats": (run_stats, run_stats_sql),

@@ -46,6 +46,18 @@ def streaming_load_windows(events: DataFrame, ts_col: str = "ts", value_col: str
     return load_windows(prepared, ts_col, value_col, F.col("event_type") == "error", width)
 
 
+def streaming_run_sessions(samples: DataFrame, key_cols: list[str], ts_col: str, value_col: str, error, gap_seconds: int,
+                           watermark: str = "10 minutes") -> DataFrame:
+    """J1 on a stream: runs without a run id, emitted (append mode) once the
+    watermark has passed a run's last sample by the gap."""
+    timed = samples.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+    runs = timed.groupBy(*key_cols, F.session_window(ts_col, f"{int(gap_seconds)} seconds").alias("_run")).agg(
+        F.min(ts_col).alias("run_start"), F.max(ts_col).alias("run_end"), F.max(value_col).alias("peak"), F.avg(value_col).alias("mean"),
+        F.count(F.lit(1)).alias("samples"), F.count(F.when(error, 1)).alias("errors"))
+    return runs.select(*key_cols, "run_start", "run_end", ((F.unix_micros("run_end") - F.unix_micros("run_start")) / 1e6).alias("elapsed_secs"),
+                       F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("mean", F.lit(0.0)).alias("mean"), "samples", "errors")
+
+
 def document_batch_handler(renderer, model_factory, output_folder: str, results_path: str | None = None,
                            custom_prompt: str | None = None, **options):
     """``foreachBatch`` handler: each micro-batch of judged files is turned
