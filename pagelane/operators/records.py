@@ -76,12 +76,12 @@ def _float_text_value(s: Column) -> Column:
     return F.coalesce(F.try_element_at(_float_words(), u), u).try_cast("double")
 
 
-# Each rule takes a field's value ``x`` (VARIANT, NULL when the key is missing)
-# and its type name ``t`` (``schema_of_variant``), and gives whether the value is
-# accepted and the typed value. Both arguments are plain columns, so the rules
-# run in generated code.
+# Each rule takes a field's value ``x`` (VARIANT, NULL when the key is missing),
+# its type name ``t`` (``schema_of_variant``) and, for lists, its ``cells``,
+# and gives whether the value is accepted and the typed value. The arguments are
+# plain columns, so the rules run in generated code.
 
-def _float(x: Column, t: Column):
+def _float(x: Column, t: Column, cells: Column | None = None):
     text = unicode_trim(F.try_variant_get(x, "$", "string"))
     ok = x.isNull() | F.when(t == "STRING", F.coalesce(text.rlike(FLOAT_TEXT), F.lit(False))) \
         .otherwise(t.isin(*_NUMERIC_TYPES, "BOOLEAN", "VOID") | t.startswith("DECIMAL"))
@@ -89,7 +89,7 @@ def _float(x: Column, t: Column):
     return ok, value
 
 
-def _str(x: Column, t: Column):
+def _str(x: Column, t: Column, cells: Column | None = None):
     ok = x.isNull() | t.isin("STRING", "VOID")
     return ok, F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
 
@@ -108,56 +108,51 @@ def _array(x: Column) -> Column:
     return F.try_variant_get(x, "$", "array<variant>")
 
 
-def _all(arr: Column, pred) -> Column:
-    return F.coalesce(F.forall(arr, pred), F.lit(False))
+def _list_rule(null_ok: bool, empty: str):
+    """Lists come as ``cells``: per element whether it is accepted and its typed value, made in one traversal."""
+    def rule(x: Column, t: Column, cells: Column):
+        ok = x.isNull() | F.coalesce(F.forall(cells, lambda c: c["ok"]), F.lit(False))
+        if null_ok:
+            ok = ok | (t == "VOID")
+        value = F.when(x.isNull(), F.array().cast(empty)).otherwise(F.transform(cells, lambda c: c["v"]))
+        return ok, value
+    return rule
 
 
-def _strlist(x: Column, t: Column):
-    arr = _array(x)
-    ok = x.isNull() | (t == "VOID") | _all(arr, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
-    value = (F.when(x.isNull(), F.array().cast("array<string>"))
-             .otherwise(F.transform(arr, lambda e: F.try_variant_get(e, "$", "string"))))
-    return ok, value
+def _cells(kind: str, x: Column) -> Column:
+    """``array<struct<ok, v>>`` of a list's elements; NULL if ``x`` is no list."""
+    return F.transform(_array(x), {"strlist": _str_cell, "floatlist": _float_cell, "txlist": _tx_cell}[kind])
 
 
-def _floatlist(x: Column, t: Column):
-    def accepted(e):
-        et = F.schema_of_variant(e)
-        return e.isNotNull() & (et != "VOID") & _float(e, et)[0]
+def _cell(ok: Column, value: Column) -> Column:
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value.alias("v"))
 
-    arr = _array(x)
-    ok = x.isNull() | (t == "VOID") | _all(arr, accepted)
-    value = (F.when(x.isNull(), F.array().cast("array<double>"))
-             .otherwise(F.transform(arr, lambda e: _float(e, F.schema_of_variant(e))[1])))
-    return ok, value
 
+def _str_cell(e: Column) -> Column:
+    return _cell(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
 
-def _dict(x: Column, t: Column):
-    is_obj = F.coalesce(t.startswith("OBJECT"), F.lit(False))
-    ok = x.isNull() | (t == "VOID") | is_obj
-    value = F.when(x.isNull(), F.parse_json(F.lit("{}"))).when(is_obj, x)
-    return ok, value
 
+def _float_cell(e: Column) -> Column:
+    et = F.schema_of_variant(e)
+    ok, value = _float(e, et)
+    return _cell(e.isNotNull() & (et != "VOID") & ok, value)
 
-def _txlist(x: Column, t: Column):
-    """Elements are objects whose fields follow the transaction rules."""
-    def fields(e):
-        for name, kind in TRANSACTION_FIELDS:
-            value = _get(e, name)
-            yield name, _rule(kind, None)(value, F.schema_of_variant(value)), kind
 
-    def accepted(e):
-        ok = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
-        for _, (field_ok, _), _ in fields(e):
-            ok = ok & F.coalesce(field_ok, F.lit(False))
-        return ok
+def _tx_cell(e: Column) -> Column:
+    """An object whose fields follow the transaction rules."""
+    ok, values = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)), []
+    for name, kind in TRANSACTION_FIELDS:
+        field = _get(e, name)
+        field_ok, value = _rule(kind, None)(field, F.schema_of_variant(field))
+        ok = ok & F.coalesce(field_ok, F.lit(False))
+        values.append(value.cast(_SPARK_TYPES[kind]).alias(name))
+    return _cell(ok, F.struct(*values))
 
-    def typed(e):
-        return F.struct(*[value.cast(_SPARK_TYPES[kind]).alias(name) for name, (_, value), kind in fields(e)])
 
-    arr = _array(x)
-    ok = x.isNull() | _all(arr, accepted)
-    value = F.when(x.isNull(), F.array().cast(_SPARK_TYPES["txlist"])).otherwise(F.transform(arr, typed))
+def _dict(x: Column, t: Column, cells: Column | None = None):
+    is_obj = F.coalesce(t.startswith("OBJECT"), F.lit(False))
+    ok = x.isNull() | (t == "VOID") | is_obj
+    value = F.when(x.isNull(), F.parse_json(F.lit("{}"))).when(is_obj, x)
     return ok, value
 
 
@@ -167,10 +162,12 @@ def _rule(kind: str, own_type):
     if kind == "float":
         return _float
     if kind == "doctype":
-        return lambda x, t: _enum(x, t, fixed.DOCUMENT_TYPES, own_type, null_ok=False)
+        return lambda x, t, cells=None: _enum(x, t, fixed.DOCUMENT_TYPES, own_type, null_ok=False)
     if kind == "txtype":
-        return lambda x, t: _enum(x, t, fixed.TRANSACTION_TYPES, None, null_ok=True)
-    return {"strlist": _strlist, "floatlist": _floatlist, "dict": _dict, "txlist": _txlist}[kind]
+        return lambda x, t, cells=None: _enum(x, t, fixed.TRANSACTION_TYPES, None, null_ok=True)
+    if kind == "dict":
+        return _dict
+    return _list_rule(kind != "txlist", _SPARK_TYPES[kind])
 
 
 def _raw_ddl(schema_type: str) -> str:
@@ -224,14 +221,19 @@ def _checked(df: DataFrame, st: str) -> DataFrame:
     schemas skip them (``CASE`` is lazy).
     """
     fields, raw, types, rec = SCHEMAS[st], f"{_STEP}_raw_{st}", f"{_STEP}_type_{st}", f"{_STEP}_rec_{st}"
+    lists, cells = {name: kind for name, kind in fields if kind.endswith("list")}, f"{_STEP}_list_{st}"
     mine = (F.col(f"{_STEP}_schema") == st) & F.col(f"{_STEP}_object")
     df = df.withColumn(raw, F.when(mine, F.from_json(F.col(f"{_STEP}_clean"), _raw_ddl(st))))
     df = df.withColumn(types, F.when(F.col(raw).isNotNull(), F.struct(
         *[F.schema_of_variant(F.col(raw)[name]).alias(name) for name, _ in fields])))
-    found = [(name, kind, *_rule(kind, st)(F.col(raw)[name], F.col(types)[name])) for name, kind in fields]
+    if lists:  # elements once for verdict and value
+        df = df.withColumn(cells, F.when(F.col(raw).isNotNull(), F.struct(*[
+            F.when(F.col(types)[name].startswith("ARRAY"), _cells(kind, F.col(raw)[name])).alias(name) for name, kind in lists.items()])))
+    found = [(name, kind, *_rule(kind, st)(F.col(raw)[name], F.col(types)[name], F.col(cells)[name] if name in lists else None))
+             for name, kind in fields]
     checks = F.struct(*[F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value.cast(_SPARK_TYPES[kind]).alias("v")).alias(name)
                         for name, kind, ok, value in found])
-    return df.withColumn(rec, F.when(F.col(raw).isNotNull(), checks)).drop(raw, types)
+    return df.withColumn(rec, F.when(F.col(raw).isNotNull(), checks)).drop(raw, types, cells)
 
 
 def parse_responses(df: DataFrame, response_col: str = "response", label_col: str = "document_type",

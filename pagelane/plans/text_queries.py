@@ -26,9 +26,10 @@ from pagelane.operators.ranges import deal_ranges, range_text_pages, text_ranges
 from pagelane.operators.records import parse_responses
 from pagelane.operators.routing import (choose_output, empty_response, extend_prompt, extraction_prompt,
                                         normalize_label, page_prompts, route_prompts)
-from pagelane.plans.responders import INVOICE_CLASS_ANSWERS
 from pagelane.session import ensure_checkpoint_dir
+from pagelane.sources.files import write_markdown
 from pagelane.sources.tables import read_table
+from pagelane.streaming.assembly import assemble_stream, run_assembly
 
 NL = "chr(10)"
 USER_INPUT_CHARS = 1000  # the reference rule for user input
@@ -185,6 +186,47 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_pages,
 FROM p GROUP BY conv_id"""
 
 
+# -------------------------------------------------------------- A6 with a commit
+def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's document through the committed sink, and what its file holds."""
+    documents = conversation_documents(spark, sf_dir).select(F.concat(F.lit("conversation-"), F.col("conv_id").cast("string"), F.lit(".md")).alias("output_name"),
+                                                             "markdown")
+    folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid4().hex}"
+    report = write_markdown(documents, folder)
+    files = spark.read.option("wholetext", True).text(f"{folder}/*.md").select(
+        F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("name"), F.sha2("value", 256).alias("file_sha256"))
+    return report.join(files, "name", "full").select("name", "ok", "error", "file_sha256")
+
+
+def written_documents_sql() -> str:
+    return f"""
+WITH d AS ({conversation_documents_sql()})
+SELECT 'conversation-' || conv_id || '.md' AS name, true AS ok, CAST(NULL AS VARCHAR) AS error, sha256(markdown) AS file_sha256 FROM d"""
+
+
+# -------------------------------------------------------- D2, H1, H2 as a stream
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations as a stream of pages (system turns are failed pages), assembled in keyed state."""
+    schema = read_table(spark, sf_dir, "conversations").schema
+    counts = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("_conv")).agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
+    turns = turns.join(counts, F.col("conv_id") == F.col("_conv"))
+    pages = turns.select("conv_id", "turn", "n_pages", "text", F.when(F.col("role") == "system", F.lit("ValueError: system turn")).alias("error"),
+                         F.current_timestamp().alias("arrived"))
+    return run_assembly(assemble_stream(pages, "arrived", "conv_id", "turn", "n_pages", "text", "error")).select(
+        "conv_id", "status", "n_pages", "markdown", "error")
+
+
+def streamed_documents_sql() -> str:
+    return f"""
+WITH d AS ({conversation_documents_sql()}),
+bad AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT d.conv_id, CASE WHEN bad.turn IS NULL THEN 'complete' ELSE 'failed' END AS status,
+       CASE WHEN bad.turn IS NULL THEN d.n_pages ELSE 0 END AS n_pages, CASE WHEN bad.turn IS NULL THEN d.markdown END AS markdown,
+       'page ' || (bad.turn + 1) || ': ValueError: system turn' AS error
+FROM d LEFT JOIN bad ON d.conv_id = bad.conv_id"""
+
+
 # ---------------------------------------------------------------------- H4, H5
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = page_totals(_conversation_pages(spark, sf_dir))
@@ -225,18 +267,25 @@ def first_upload_sql() -> str:
 
 # --------------------------------------------------------------------------- E3
 def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
-    answer = F.element_at(F.array(*[F.lit(a) for a in INVOICE_CLASS_ANSWERS]),
-                          (F.col("o_orderkey") % 7 + 1).cast("int"))
+    """Answers made of an order's status and the words of its priority: some with blanks or capitals, some no label at all."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    said = (F.when(F.col("o_orderstatus") == "F", F.lit("invoice")).when(F.col("o_orderstatus") == "O", F.lit("bill"))
+            .otherwise(F.lit("receipt")))
+    word = F.substring_index("o_orderpriority", "-", -1)
+    answer = (F.when(word == "URGENT", F.upper(said)).when(word == "HIGH", F.concat(F.lit("\t"), F.initcap(said)))
+              .when(word == "MEDIUM", F.concat(said, F.lit(" \n"))).when(word == "LOW", F.concat(said, F.lit(" "), F.lower(word)))
+              .otherwise(F.lower(word)))
     return (o.select("o_orderkey", answer.alias("class_response"))
             .withColumn("document_type", normalize_label("class_response")))
 
 
 def class_labels_sql() -> str:
-    answers = ", ".join(q(a) for a in INVOICE_CLASS_ANSWERS)
     mapping = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.LABEL_MAP)
     return f"""
-WITH a AS (SELECT o_orderkey, list_extract([{answers}], (o_orderkey % 7 + 1)::INTEGER) AS class_response FROM orders)
+WITH w AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'bill' ELSE 'receipt' END AS said,
+                  split_part(o_orderpriority, '-', 2) AS word FROM orders),
+a AS (SELECT o_orderkey, CASE word WHEN 'URGENT' THEN upper(said) WHEN 'HIGH' THEN chr(9) || upper(said[1]) || said[2:]
+                              WHEN 'MEDIUM' THEN said || ' ' || {NL} WHEN 'LOW' THEN said || ' ' || lower(word) ELSE lower(word) END AS class_response FROM w)
 SELECT o_orderkey, class_response,
        CASE lower(trim(class_response, {PY_STRIP_SQL})) {mapping} ELSE {q(fixed.DEFAULT_LABEL)} END AS document_type
 FROM a"""
@@ -590,6 +639,8 @@ QUERIES = {
     "complete_conversations": (complete_conversations, complete_conversations_sql),
     "conversation_documents": (conversation_documents, conversation_documents_sql),
     "batch_report": (batch_report, batch_report_sql),
+    "written_documents": (written_documents, written_documents_sql),
+    "streamed_documents": (streamed_documents, streamed_documents_sql),
     "first_upload": (first_upload, first_upload_sql),
     "class_labels": (class_labels, class_labels_sql),
     "custom_field_prompts": (custom_field_prompts, custom_field_prompts_sql),

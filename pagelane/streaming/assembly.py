@@ -20,13 +20,17 @@ read once, when the document goes out.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from pagelane.functions import fixed
 from pagelane.operators.ranges import UNRENDERED
+from pagelane.session import ensure_checkpoint_dir
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OPEN, COMPLETE, FAILED = "open", "complete", "failed"
 LATE = "late"
@@ -35,7 +39,7 @@ _OUTPUT = "status string, n_pages long, page_no int, markdown string, error stri
 
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that keyed map state and timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(_PROVIDER, ROCKSDB)
 
 
 def document_text(pages: list[tuple[int, str]]) -> str:
@@ -135,3 +139,24 @@ def assemble_stream(pages: DataFrame, ts_col: str = "ts", doc_col: str = "doc_id
                         F.col(count_col).cast("int").alias("n_pages"), F.col(text_col).alias("text"), F.col(error_col).alias("error"))
     assembler = DocumentAssembler(doc_col, timeout_seconds * 1000, retention_seconds * 1000)
     return rows.groupBy(doc_col).transformWithState(assembler, f"{doc_col} {doc_type}, {_OUTPUT}", "append", "EventTime")
+
+
+def run_assembly(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Take all that has arrived, write the rows as Parquet and read them back; the next run goes on from the checkpoint.
+
+    Without paths a new folder of the shared checkpoint folder is used. The session's
+    state store is RocksDB while the query runs."""
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/assembled-{uuid4().hex}"
+    path, checkpoint = path or f"{base}/rows", checkpoint or f"{base}/checkpoint"
+    before = spark.conf.get(_PROVIDER, None)
+    use_rocksdb(spark)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(stream.schema).parquet(path)
