@@ -4,9 +4,10 @@ The histogram of lengths (one row per distinct length, so at most as many rows
 as the longest text has words) goes to the driver, where dynamic programming
 chooses the bucket boundaries with the least total padding. With boundary b for
 lengths (a, b], the padding is b * count - words, so each layer of the recursion
-is a lower envelope of lines and takes one pass over the lengths. Beyond
-``max_lengths`` distinct lengths, they are rounded up to a grid that keeps the
-histogram within that size.
+is a lower envelope of lines and takes one pass over the lengths. Only if there are more
+than ``max_lengths`` distinct lengths, those above half that number are rounded up to
+a grid that keeps the histogram within that size; the boundaries are then optimal for
+the rounded lengths, and padding grows by less than the grid a document above it.
 
 Documents of a bucket are numbered without bringing a bucket into one task:
 they fall into shards by their hash (about ``shard_rows`` rows each, by the
@@ -85,10 +86,15 @@ def _pick(values: list, index: Column) -> Column:
 
 def _histogram(lengths: DataFrame, max_lengths: int) -> tuple[list[int], list[int]]:
     """Distinct lengths and their counts, at most ``max_lengths`` of them."""
-    longest = lengths.agg(F.max("n_tokens")).first()[0] or 0
-    grid = -(-longest // max_lengths) or 1
-    rounded = (F.ceil(F.col("n_tokens") / grid) * grid).cast("long") if grid > 1 else F.col("n_tokens")
-    pairs = lengths.groupBy(rounded.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("n_tokens")
+    histogram = staged(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")), "pack-histogram")
+    size = histogram.agg(F.count(F.lit(1)).alias("distinct"), F.max("n_tokens").alias("longest")).first()
+    if size["distinct"] > max_lengths:
+        exact = max_lengths // 2
+        grid = -(-(size["longest"] - exact) // (max_lengths - exact - 1))  # one number less for the length 0
+        above = F.ceil((F.col("n_tokens") - exact) / grid) * grid + exact
+        rounded = F.when(F.col("n_tokens") <= exact, F.col("n_tokens")).otherwise(above).cast("long")
+        histogram = histogram.groupBy(rounded.alias("n_tokens")).agg(F.sum("n").alias("n"))
+    pairs = histogram.toPandas().sort_values("n_tokens")
     return [int(x) for x in pairs["n_tokens"]], [int(x) for x in pairs["n"]]
 
 

@@ -4,7 +4,8 @@ A list is a log of dated entries (list, pattern, add or remove). Per list and
 pattern, entries become disjoint validity intervals; each capture is evaluated
 against the intervals that hold on its fetch day. A pattern is a domain (matching
 the host and all hosts below it) or a host with a path prefix, so a capture has a
-few keys (its host's suffixes and path prefixes) and the as-of join is an equality
+few keys (its host's suffixes and path prefixes, no longer than the list's longest
+pattern, so a very long url takes linear time) and the as-of join is an equality
 on key and period plus the interval condition. The period (``PERIOD_DAYS`` of the
 fetch day) also splits a hot host's captures over time; a long interval has one
 row per period that has captures. The join is left outer and one aggregate per
@@ -33,14 +34,14 @@ def path_of(url: str) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def url_keys(url: str) -> Column:
-    """All patterns that match a url: host suffixes of two labels or more (or the host), and path prefixes."""
+def url_keys(url: str, most_labels: int, most_parts: int) -> Column:
+    """All patterns of at most so many host labels or path parts that match a url: host suffixes of two labels or more (or the host), and path prefixes."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), n - (most_labels - 1)), F.greatest(n - 1, F.lit(1))),
                            lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
+    parts = F.slice(F.filter(F.split(path_of(url), "/"), lambda p: p != ""), 1, most_parts)
     prefixes = F.when(F.size(parts) > 0, F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     ).otherwise(F.array().cast("array<string>"))
@@ -65,7 +66,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, period_days: int = PERIOD_
                  .filter("start <= end")
                  .select("list", "pattern", "valid_from", "valid_to",
                          F.explode(F.sequence(F.floor(F.col("start") / period_days), F.floor(F.col("end") / period_days))).alias("span")))
-    numbered = captures.select("page_id", "fetch_day", url_keys("url").alias("keys"), F.monotonically_increasing_id().alias("uid"))
+    longest = entries.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))).alias("labels"),
+                          F.max(F.size(F.split("pattern", "/")) - 1).alias("parts")).first()
+    keys = url_keys("url", max(2, longest["labels"] or 0), longest["parts"] or 0)
+    numbered = captures.select("page_id", "fetch_day", keys.alias("keys"), F.monotonically_increasing_id().alias("uid"))
     keyed = numbered.select("page_id", "fetch_day", "uid", F.floor(F.col("fetch_day") / period_days).alias("period"),
                             F.explode_outer("keys").alias("key"))
     holds = ((F.col("key") == F.col("pattern")) & (F.col("period") == F.col("span")) & (F.col("fetch_day") >= F.col("valid_from"))

@@ -444,6 +444,23 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert sorted(op7.train(docs).near) == ["de", "en", "fr"]
 
 
+def test_few_lengths_stay_exact(spark):
+    """The grid follows the number of distinct lengths, not the longest text."""
+    rows = [(i, " ".join(["w"] * n), "en", "s") for i, n in enumerate([10, 11, 12, 13, 500, 501])]
+    out = op10.pack(documents(spark, rows), n_buckets=6, max_lengths=100).collect()
+    assert sorted((r.n_tokens, r.bucket_len) for r in out) == [(n, n) for n in (10, 11, 12, 13, 500, 501)]
+
+
+def test_many_lengths_are_rounded_above_half_the_limit(spark):
+    lengths = list(range(0, 40)) + [60, 61, 200, 333, 334, 900]
+    docs = documents(spark, [(i, " ".join(["w"] * n), "en", "s") for i, n in enumerate(lengths)])
+    rows = docs.select("doc_id", op10.word_count("text").alias("n_tokens"))
+    values, counts = op10._histogram(rows, 30)
+    assert len(values) <= 30 and sum(counts) == len(lengths) and values[:16] == list(range(16)) and values[-1] >= 900
+    out = op10.pack(docs, n_buckets=4, max_lengths=30).collect()
+    assert len(out) == len(lengths) and all(r.n_tokens <= r.bucket_len for r in out)
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, id string, value string")
 
@@ -502,6 +519,20 @@ def test_damaged_archives_are_noticed():
         list(op8.records_of(io.BytesIO(b"hello\r\n")))
 
 
+def test_very_long_urls(spark):
+    """A url of 20,000 parts and a host of 5,000 labels have no more keys than the list's patterns can match."""
+    import time
+    url, host = "http://long.example.com/" + "/".join(f"p{i}" for i in range(20_000)), "http://" + ".".join(["x"] * 5_000) + ".deep.org/a"
+    captures = spark.createDataFrame([(1, url, 5), (2, host, 5), (3, "http://long.example.com/p0/p1/zz", 5)], "page_id long, url string, fetch_day int")
+    entries = spark.createDataFrame([("l", "long.example.com/p0/p1/p2", "add", 0), ("m", "example.com", "add", 0), ("n", "x.deep.org", "add", 0)],
+                                    "list string, pattern string, action string, day int")
+    began = time.time()
+    got = {r.page_id: r.lists for r in op9.evaluate(captures, entries).collect()}
+    assert got == {1: "l,m", 2: "n", 3: "m"} and time.time() - began < 30
+    keys = captures.select(op9.url_keys("url", 3, 3).alias("k")).select(F.size("k").alias("n")).collect()
+    assert max(r.n for r in keys) <= 6
+
+
 def test_url_filters(spark):
     rng = random.Random(7)
     hosts = ["a.b.example.com", "b.example.com", "example.com", "other.org", "solo"]
