@@ -21,12 +21,15 @@ Defined cases: rows whose id or vector is null, or whose vector holds a null or
 non-finite component, take no part; shorter vectors count as padded with zeros;
 each row of a repeated query id is a query; rows with the query's id are not its
 candidates; equal scores go to the smaller id; an empty table gives no rows;
-other columns are not read. Squared norms must be below 2^62.
+other columns are not read. Scores are exact integers at any size of the components
+(whole parts beyond a long count as the nearest long); they decide the ranks (up to 38
+digits), and one that a long cannot hold is given as the nearest long.
 """
 
 from __future__ import annotations
 
 import heapq
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,9 @@ MAX_PIVOTS = 64
 TREE_ROWS = 8_192
 LEAF_ROWS = 64
 BLOCK_ROWS = 512
+#: Squared norms below which products are exact as floats, and as longs (with room for the rounding of the norms).
+EXACT_FLOATS, EXACT_LONGS = 2.0 ** 52, 2.0 ** 61
+_LEAST, _MOST, _DIGITS = -2 ** 63, 2 ** 63 - 1, 10 ** 38 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -51,7 +57,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
         F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    return rows.select("*", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("norm"))
+    return rows.select("*", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("norm"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -61,11 +67,17 @@ def _matrix(column, dim: int) -> np.ndarray:
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Integer inner products; by floating point where that is exact."""
-    if limit < 1 << 52:
+def _products(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Integer inner products; by floating point where that is exact, by Python integers where a long is too small."""
+    if limit < EXACT_FLOATS:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a @ b.T if limit < EXACT_LONGS else a.astype(object) @ b.astype(object).T
+
+
+def _not_above(scores: np.ndarray) -> np.ndarray:
+    """Floats no larger than the integers, which may have more digits."""
+    out = scores.astype(np.float64)
+    return np.where(np.abs(out) < EXACT_FLOATS, out, np.nextafter(out, -np.inf))
 
 
 def _small(matrix: np.ndarray) -> tuple[str, bytes]:
@@ -77,7 +89,7 @@ def _small(matrix: np.ndarray) -> tuple[str, bytes]:
 class Space:
     """What all tasks share: bounds, the sample and the pivots (bounded sizes)."""
 
-    def __init__(self, dim: int, limit: int, sample_ids: np.ndarray, sample: np.ndarray, n_pivots: int):
+    def __init__(self, dim: int, limit: float, sample_ids: np.ndarray, sample: np.ndarray, n_pivots: int):
         self.dim, self.limit, self.sample_ids, self.sample = dim, limit, sample_ids, sample
         self.slack = 1e-5 * np.sqrt(float(limit)) + 1e-9
         chosen, far = [0], None
@@ -162,7 +174,8 @@ _TREE_DDL = ("tree long, pivot int, reach double, ids binary, starts binary, rad
 def search(space: Space, tree: Tree, query_ids: np.ndarray, queries: np.ndarray, first: np.ndarray, k: int) -> list[tuple]:
     """(query number, id, score) of the k best entries of the tree per query, of those that reach its first score."""
     n = len(queries)
-    best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * n  # scores, ids
+    kind = np.int64 if space.limit < EXACT_LONGS else object
+    best = [(np.empty(0, kind), np.empty(0, np.int64))] * n  # scores, ids
     kth = first.copy()
     reach = space.reach(queries, kth)
     from_root = space.to_queries(queries, tree.root)
@@ -191,14 +204,20 @@ def search(space: Space, tree: Tree, query_ids: np.ndarray, queries: np.ndarray,
             q = active[i]
             all_scores = np.concatenate([best[q][0], scores[i, hits[i]]])
             all_ids = np.concatenate([best[q][1], ids[hits[i]]])
-            top = np.lexsort((all_ids, -all_scores))[:k]
+            top = _best(all_scores, all_ids, k)
             best[q] = all_scores[top], all_ids[top]
             if len(top) == k:
-                kth[q] = max(kth[q], float(best[q][0][-1]))
+                kth[q] = max(kth[q], float(_not_above(best[q][0][-1:])[0]))
         reach[active] = space.reach(queries[active], kth[active])
     return [(q, int(i), int(s)) for q, (scores, ids) in enumerate(best) for s, i in zip(scores, ids)]
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))[:k]
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+
+
 def _assign(space):
     def run(batches):
         at = space.value
@@ -223,7 +242,7 @@ def _block(space, reaches: dict[int, float], trees: dict[int, int], k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         at = space.value
         ids, q = rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], at.dim)
-        scores = _products(q, at.sample, at.limit).astype(np.float64)
+        scores = _not_above(_products(q, at.sample, at.limit))
         scores[ids[:, None] == at.sample_ids] = -np.inf
         first = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
         reach = at.reach(q, first)
@@ -246,9 +265,11 @@ def _search(space, k: int):
                 found = search(at, tree, query_ids, np.frombuffer(value["q"], np.int64).reshape(-1, at.dim),
                                np.frombuffer(value["first"], np.float64), k)
                 if found:
-                    number, ids, scores = (np.array(x, np.int64) for x in zip(*found))
+                    number, ids, scores = zip(*found)
+                    number = np.array(number, np.int64)
+                    scores = pa.array(scores, pa.int64()) if at.limit < EXACT_LONGS else pa.array([Decimal(max(-_DIGITS, min(_DIGITS, x))) for x in scores], pa.decimal128(38, 0))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(number + (np.int64(value["block"]) << 20)), pa.array(query_ids[number]), pa.array(ids), pa.array(scores)],
+                        [pa.array(number + (np.int64(value["block"]) << 20)), pa.array(query_ids[number]), pa.array(ids, pa.int64()), scores],
                         names=["query", "query_id", "vec_id", "score"])
     return run
 
@@ -264,7 +285,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, stats["dim"])
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").toPandas()
-    space = spark.sparkContext.broadcast(Space(dim, max(1, stats["limit"]), sample["vec_id"].to_numpy(np.int64), _matrix(sample["v"], dim),
+    space = spark.sparkContext.broadcast(Space(dim, max(1.0, stats["limit"] * (1 + 1e-9)), sample["vec_id"].to_numpy(np.int64), _matrix(sample["v"], dim),
                                                min(MAX_PIVOTS, -(-stats["n"] // TREE_ROWS))))
 
     assigned = staged(rows.select("vec_id", "v").mapInArrow(_assign(space), "vec_id long, v array<long>, pivot int, away double"), "topk-assigned")
@@ -280,9 +301,11 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col:
     blocks = staged(queries.groupBy("block").applyInPandas(_block(space, reaches, trees, k), "block long, q_ids binary, q binary, first binary, wanted array<long>"),
                     "topk-blocks")
     pairs = blocks.select("block", "q_ids", "q", "first", F.explode("wanted").alias("tree")).join(index, "tree")
-    found = pairs.mapInArrow(_search(space, k), "query long, query_id long, vec_id long, score long")
+    long = space.value.limit < EXACT_LONGS
+    found = pairs.mapInArrow(_search(space, k), f"query long, query_id long, vec_id long, score {'long' if long else 'decimal(38,0)'}")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    return found.select("*", rank.alias("rank")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.col("score") if long else F.greatest(F.least("score", F.lit(Decimal(_MOST))), F.lit(Decimal(_LEAST))).cast("long")
+    return found.select("*", rank.alias("rank")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,19 @@ def test_exact_top_k(spark, monkeypatch):
     assert op2.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [1e6, 3e7, 1e9, 1e15])
+def test_exact_top_k_of_large_components(spark, monkeypatch, large):
+    """Scores beyond floats and beyond longs still decide the ranks exactly; longs hold what they can."""
+    monkeypatch.setattr(op2, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(op2, "LEAF_ROWS", 8)
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([1.0, -1.0, large, large + 1.0]) * rng.choice([1.0, 1.0, 0.5]) for _ in range(4)]) for i in range(150)]
+    rows += [(i, rows[i % 7][1]) for i in range(150, 180)]  # repeated candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = [(q, rank, i, max(-2 ** 63, min(2 ** 63 - 1, s))) for q, rank, i, s in brute_top_k(rows, 5, 20)]
+    assert sorted(tuple(r) for r in op2.top_k(df, k=5, query_step=20).collect()) == expected
+
+
 def test_m_tree_rules_out_nodes():
     import numpy as np
     rng = np.random.default_rng(0)
