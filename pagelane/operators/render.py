@@ -135,10 +135,25 @@ def render_markdown(parsed: DataFrame, response_col: str = "response",
     return staged.withColumn(out_col, markdown)
 
 
-def _number_text(x: Column) -> Column:
-    """A float as Python prints it, for values of up to ten decimals below 10^16."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(28,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
-    return F.when(F.abs(x) < 1e16, plain).otherwise(x.cast("string"))
+def json_number(x: Column) -> Column:
+    """A float as the record models write it to JSON: an exponent below 1e-5 and from 1e16 on (``1e16``, ``1.5e-7``), null for no finite number."""
+    finite = (F.abs(x) < float("inf")) & ~F.isnan(x)
+    return F.when(finite, F.regexp_replace(number_text(x, 1e-5), r"e(-?)\+?0*", "e$1"))
+
+
+def number_text(x: Column, plain_from: float = 1e-4) -> Column:
+    """A float as Python prints it: the fewest digits that read back as the same number, with an exponent below 1e-4 and from 1e16 on.
+
+    Fifteen digits are tried first (trailing zeros go, so shorter numbers come out
+    short), then sixteen, then seventeen, which always read back."""
+    fifteen, sixteen, seventeen = (F.format_string(f"%.{n}e", x) for n in (14, 15, 16))
+    digits = F.when(fifteen.try_cast("double") == x, fifteen).when(sixteen.try_cast("double") == x, sixteen).otherwise(seventeen)
+    size = F.abs(x)
+    plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38,21)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    return (F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when(x == 0, F.when(x.cast("string").startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+            .when((size >= plain_from) & (size < 1e16), plain)
+            .when(x.isNotNull(), F.regexp_replace(digits, r"\.?0*e", "e")))
 
 
 def _enum_text(enum: str, x: Column) -> Column:
@@ -154,7 +169,7 @@ def _field_text(x: Column, kind: str) -> Column:
     if kind == "str":
         text = python_text(x, "string")
     elif kind == "float":
-        text = _number_text(x)
+        text = number_text(x)
     elif kind == "doctype":
         text = _enum_text("DocumentType", x)
     elif kind == "txtype":
@@ -162,7 +177,7 @@ def _field_text(x: Column, kind: str) -> Column:
     elif kind == "strlist":
         text = _listed(F.transform(x, lambda e: python_text(e, "string")))
     elif kind == "floatlist":
-        text = _listed(F.transform(x, _number_text))
+        text = _listed(F.transform(x, lambda e: number_text(e)))
     elif kind == "txlist":
         text = _listed(F.transform(x, lambda t: F.concat(
             F.lit("Transaction("), _fields_text(t, TRANSACTION_FIELDS, ", "), F.lit(")"))))
@@ -186,11 +201,11 @@ def _json_text(x: Column, kind: str, indent: int) -> Column:
     def quoted(e):
         return F.regexp_replace(F.to_json(F.array(e)), r"(?s)^\[|\]$", "")
     if kind == "float":
-        text = _number_text(x)
+        text = json_number(x)
     elif kind == "strlist":
         text = block(F.transform(x, quoted), "[]")
     elif kind == "floatlist":
-        text = block(F.transform(x, _number_text), "[]")
+        text = block(F.transform(x, lambda e: F.coalesce(json_number(e), F.lit("null"))), "[]")
     elif kind == "txlist":
         text = block(F.transform(x, lambda t: _json_object(t, TRANSACTION_FIELDS, indent + 2)), "[]")
     elif kind == "dict":

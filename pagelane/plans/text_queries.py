@@ -193,7 +193,7 @@ def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                              "markdown")
     folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid4().hex}"
     report = write_markdown(documents, folder)
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.md").select(
+    files = spark.read.text(f"{folder}/*.md", wholetext=True).select(
         F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("name"), F.sha2("value", 256).alias("file_sha256"))
     return report.join(files, "name", "full").select("name", "ok", "error", "file_sha256")
 
