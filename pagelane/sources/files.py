@@ -52,16 +52,11 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
 
 
 def folder_names(spark: SparkSession, folder: str) -> DataFrame:
-    """A3: names of the folders directly inside ``folder``."""
-    names = []
-    if folder_exists(spark, folder):
-        path, filesystem = _hadoop(spark, folder)
-        entries = filesystem.listStatusIterator(path)
-        while entries.hasNext():
-            entry = entries.next()
-            if entry.isDirectory():
-                names.append((entry.getPath().getName(),))
-    return spark.createDataFrame(names, "name string")
+    """A3: names of the folders directly inside ``folder``, listed in a task
+    (whole trees: ``sources.tree``)."""
+    from pagelane.sources.tree import list_tree
+
+    return list_tree(spark, folder, max_depth=1).filter("is_folder").select("name")
 
 
 def _listing(spark: SparkSession, folder: str, label: str) -> DataFrame:
