@@ -140,7 +140,8 @@ def money(c) -> Column:
     """``f"${x or 0:.2f}"`` -- NULL, 0 and -0 print ``$0.00``."""
     x = _col(c)
     guarded = F.when(x.isNull() | (x == 0), F.lit(0.0)).otherwise(x)
-    return F.concat(F.lit("$"), fmt2(guarded))
+    word = F.when(F.isnan(guarded), F.lit("nan")).when(F.abs(guarded) == float("inf"), F.when(guarded > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+    return F.concat(F.lit("$"), F.coalesce(word, fmt2(guarded)))
 
 
 # Patterns of the offline extractors.

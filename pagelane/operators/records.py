@@ -82,7 +82,7 @@ def _float_text_value(s: Column) -> Column:
 # plain columns, so the rules run in generated code.
 
 def _float(x: Column, t: Column, cells: Column | None = None):
-    text = unicode_trim(F.try_variant_get(x, "$", "string"))
+    text = unicode_trim(F.regexp_replace(F.try_variant_get(x, "$", "string"), f"^{BARE}", ""))
     ok = x.isNull() | F.when(t == "STRING", F.coalesce(text.rlike(FLOAT_TEXT), F.lit(False))) \
         .otherwise(t.isin(*_NUMERIC_TYPES, "BOOLEAN", "VOID") | t.startswith("DECIMAL"))
     value = F.when(t == "STRING", _float_text_value(text)).otherwise(F.try_variant_get(x, "$", "double"))
@@ -90,8 +90,8 @@ def _float(x: Column, t: Column, cells: Column | None = None):
 
 
 def _str(x: Column, t: Column, cells: Column | None = None):
-    ok = x.isNull() | t.isin("STRING", "VOID")
-    return ok, F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
+    s = F.when(t == "STRING", F.try_variant_get(x, "$", "string"))
+    return x.isNull() | (t == "VOID") | ((t == "STRING") & _quoted(s)), s
 
 
 def _enum(x: Column, t: Column, members, missing_value, null_ok: bool):
@@ -129,7 +129,8 @@ def _cell(ok: Column, value: Column) -> Column:
 
 
 def _str_cell(e: Column) -> Column:
-    return _cell(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
+    s = F.try_variant_get(e, "$", "string")
+    return _cell((F.schema_of_variant(e) == "STRING") & _quoted(s), s)
 
 
 def _float_cell(e: Column) -> Column:
@@ -175,6 +176,33 @@ def _raw_ddl(schema_type: str) -> str:
     return "struct<" + ", ".join(f"{name}: variant" for name, _ in SCHEMAS[schema_type]) + ">"
 
 
+#: Marks the strings that stand for the bare words NaN, Infinity and -Infinity (a private-use character).
+BARE = "\ue000"
+# A quote that no backslash escapes (an even number of them, up to a hundred, stands before it).
+_QUOTE = r'(?<=(?<!\\)(?:\\\\){0,50})"'
+_BARE_WORD = r"(?<![0-9A-Za-z_.+\-])(NaN|-?Infinity)(?![0-9A-Za-z_.+\-]|[ \t\r\n]*:)"
+
+
+def bare_words(text: Column) -> Column:
+    """``text`` with the number words that ``json.loads`` takes (``NaN``, ``Infinity``, ``-Infinity``) as marked strings.
+
+    Every second piece between quotes is a string and stays; texts without such a word are not split."""
+    def marked(piece: Column, at: Column) -> Column:
+        return F.when(at % 2 == 1, piece).otherwise(F.regexp_replace(piece, _BARE_WORD, f'"{BARE}$1"'))
+    rejoined = F.array_join(F.transform(F.split(text, _QUOTE, -1), marked), '"')
+    return F.when(text.contains("NaN") | text.contains("Infinity"), rejoined).otherwise(text)
+
+
+def bare_words_back(json_text: Column, instead: str = "$1") -> Column:
+    """JSON text with marked strings as the bare words again, or as something else."""
+    return F.regexp_replace(json_text, f'"{BARE}(NaN|-?Infinity)"', instead)
+
+
+def _quoted(s: Column) -> Column:
+    """Whether a string value was a string in the text, too."""
+    return ~F.coalesce(s.startswith(BARE), F.lit(False))
+
+
 def is_whole_json(text: Column) -> Column:
     """whether the whole text is one JSON value.
 
@@ -186,7 +214,8 @@ def is_whole_json(text: Column) -> Column:
 
 
 def parse_json_strict(text: Column) -> Column:
-    """VARIANT of ``text`` if the whole text is one JSON value, else NULL."""
+    """VARIANT of ``text`` if the whole text is one JSON value, else NULL; bare number words are marked strings."""
+    text = bare_words(text)
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
     return F.when(whole, F.try_variant_get(wrapped, "$.v", "variant"))
@@ -253,7 +282,7 @@ def parse_responses(df: DataFrame, response_col: str = "response", label_col: st
     step = df.select("*", select_schema(F.coalesce(F.col(label_col), F.lit("other"))).alias(f"{_STEP}_schema"),
                      F.coalesce(flag, F.lit(False)).alias(f"{_STEP}_structured"), empty.alias(f"{_STEP}_empty"))
     wanted = F.col(f"{_STEP}_structured") & ~F.col(f"{_STEP}_empty")
-    step = step.withColumn(f"{_STEP}_clean", F.when(wanted, strip_fence(response)))
+    step = step.withColumn(f"{_STEP}_clean", F.when(wanted, bare_words(strip_fence(response))))
     step = step.withColumn(f"{_STEP}_json", is_whole_json(F.col(f"{_STEP}_clean")))
     step = step.withColumn(f"{_STEP}_object", F.col(f"{_STEP}_json") & F.coalesce(F.col(f"{_STEP}_clean").startswith("{"), F.lit(False)))
     step = _barrier(step, [f"{_STEP}_{n}" for n in ("schema", "structured", "empty", "clean", "json", "object")])

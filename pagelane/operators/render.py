@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelane.functions.text import fmt2, money, or_na, python_text
-from pagelane.operators.records import RECORD_COLUMNS, SCHEMAS, TRANSACTION_FIELDS
+from pagelane.operators.records import RECORD_COLUMNS, SCHEMAS, TRANSACTION_FIELDS, bare_words_back
 
 NL = "\n"
 
@@ -182,7 +182,7 @@ def _field_text(x: Column, kind: str) -> Column:
         text = _listed(F.transform(x, lambda t: F.concat(
             F.lit("Transaction("), _fields_text(t, TRANSACTION_FIELDS, ", "), F.lit(")"))))
     else:
-        text = F.to_json(x)
+        text = bare_words_back(F.to_json(x))
     return F.coalesce(text, F.lit("None"))
 
 
@@ -209,7 +209,7 @@ def _json_text(x: Column, kind: str, indent: int) -> Column:
     elif kind == "txlist":
         text = block(F.transform(x, lambda t: _json_object(t, TRANSACTION_FIELDS, indent + 2)), "[]")
     elif kind == "dict":
-        text = F.to_json(x)
+        text = bare_words_back(F.to_json(x), "null")
     else:
         text = F.when(x.isNotNull(), quoted(x))
     return F.coalesce(text, F.lit("null"))
