@@ -24,10 +24,10 @@ MAIN_TABLE = {
     "conversations": ["conversation_documents", "batch_report", "complete_conversations", "conversation_status", "custom_prompts",
                       "prompt_routes", "user_inputs"],
     "documents": ["text_pages", "text_page_counts", "text_sanitize", "contact_fields", "keyword_classes", "document_hashes",
-                  "document_sizes"],
+                  "document_sizes", "page_ranges", "answered_pages"],
     "pages": ["upload_names", "upload_verdicts", "upload_status", "first_upload"],
     "events": ["minute_load", "run_stats", "run_report", "event_payloads", "event_throughput", "event_ratios", "bottlenecks",
-               "payload_io", "log_lines", "suite_results"],
+               "payload_io", "log_lines", "suite_results", "load_rollup", "run_session_stats", "log_records_by_day"],
 }
 MAIN_TABLE = {query: table for table, queries in MAIN_TABLE.items() for query in queries}
 
