@@ -37,7 +37,10 @@ STATEMENT_ANSWERS = ["statement", "Bank Statement", "bank_statement"]
 def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement page per order; its lines are the transactions, in
     ``(l_linenumber, text)`` order. Damage by ``k = o_orderkey % 9``:
-    4 gives line 1 the type "refund", 5 sends ``"transactions": null``."""
+    4 gives line 1 the type "refund", 5 sends ``"transactions": null``.
+
+    Both sides meet by shuffle: the orders of a file may be one split, and the
+    costly parse that follows runs where the join puts its rows."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"),
         ["l_orderkey", "l_linenumber"])
@@ -67,7 +70,7 @@ def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "transactions": '),
         F.when(k == 5, F.lit("null")).otherwise(F.concat(F.lit("["), F.coalesce("txns", F.lit("")), F.lit("]"))),
         F.lit("}"))
-    return (orders.join(per_order, "o_orderkey", "left")
+    return (orders.join(per_order.hint("merge"), "o_orderkey", "left")
             .select(F.col("o_custkey").alias("doc_id"), "o_orderkey",
                     _pick(F.col("o_orderkey"), STATEMENT_ANSWERS).alias("class_response"),
                     _fence(body, (F.col("o_orderkey") % 2) == 0).alias("response")))
