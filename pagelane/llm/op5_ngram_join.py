@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagelane.llm.common import staged, table, text_or_empty
+from pagelane.llm.common import discard, staged, table, text_or_empty
 from pagelane.llm.components import connected_components
 
 SHINGLE = 4
@@ -328,13 +328,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     sets = staged(sets.groupBy("gid").agg(F.first("tokens").alias("tokens")), "join-sets")
     left = pairs.join(sets.select(F.col("gid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("gid").alias("b"), F.col("tokens").alias("y")), "b")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "join-links")
+    links = staged(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "join-links")
+    discard(names, sets)
+    return links
 
 
 def _frequent_tokens(texts: DataFrame, k: int, percent: int):
     counts = texts.select("text").mapInArrow(_sampled_tokens(k, percent), "token long").groupBy("token").count()
-    top = counts.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token")
-    return texts.sparkSession.sparkContext.broadcast(np.sort(staged(top, "join-frequent").toPandas()["token"].to_numpy(np.int64)))
+    top = staged(counts.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token"), "join-frequent")
+    tokens = np.sort(top.toPandas()["token"].to_numpy(np.int64))
+    discard(top)
+    return texts.sparkSession.sparkContext.broadcast(tokens)
 
 
 def similarity_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
@@ -347,30 +351,36 @@ def similarity_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERC
     firsts = base.filter("prefix IS NOT NULL")
     groups = staged(firsts.groupBy("pg", "n").agg(F.min("gid").alias("rep"), (F.min("gid") < F.max("gid")).alias("several"),
                                                   F.first("prefix").alias("prefix")), "join-groups")
-    members = (firsts.select("pg", "n", "gid").distinct().join(groups.filter("several").select("pg", "n", "rep"), ["pg", "n"])
-               .select("rep", "gid"))
+    members = staged(firsts.select("pg", "n", "gid").distinct().join(groups.filter("several").select("pg", "n", "rep"), ["pg", "n"])
+                     .select("rep", "gid"), "join-grouped")
+    bitmaps = staged(firsts.groupBy("gid").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS]), "join-bitmaps")
+    named = staged(base.select("doc_id", "local", "n", "gid"), "join-named")
+    discard(base)
     index = groups.select("rep", "n", "several", "prefix").mapInArrow(
         _index, "token long, rep long, place long, several boolean")
     postings = staged(index.repartition("token").sortWithinPartitions("token", "place", "rep").mapInArrow(
         _star_postings(percent), "token long, rep long, place long, leader long, previous long"), "join-postings")
+    discard(groups)
 
     stars = (postings.select(F.explode(F.array("leader", "previous")).alias("a"), F.col("rep").alias("b"))
              .unionByName(members.select(F.col("rep").alias("a"), F.col("gid").alias("b"))))
-    bitmaps = staged(firsts.groupBy("gid").agg(F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS]), "join-bitmaps")
     first_pairs = staged(_plausible(stars.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                                     .distinct(), bitmaps, percent), "join-pairs")
     links = _verified(first_pairs, texts, k, percent)
-    roots = staged(connected_components(links, "a", "b"), "join-roots")
+    roots = connected_components(links, "a", "b")
 
-    more_pairs = staged(_cross_pairs(postings, members, roots, bitmaps, percent).join(first_pairs, ["a", "b"], "left_anti"), "join-pairs")
+    more_pairs = _cross_pairs(postings, members, roots, bitmaps, percent, first_pairs)
+    discard(postings, members, bitmaps, first_pairs)
     if not more_pairs.isEmpty():
         more = _verified(more_pairs, texts, k, percent)
-        roots = staged(connected_components(links.unionByName(more), "a", "b"), "join-roots")
-    return _labelled(base, roots)
+        roots = connected_components(links.unionByName(more), "a", "b")
+        discard(more)
+    discard(links, more_pairs)
+    return _labelled(named, roots)
 
 
-def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of members of different components, from the lists that touch several."""
+def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int, known: DataFrame) -> DataFrame:
+    """Candidate pairs of members of different components, from the lists that touch several, without the ``known`` ones."""
     expanded = postings.select("token", "rep", "place").join(members.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left") \
         .select("token", "place", F.coalesce("gid", "rep").alias("gid"))
     rooted = expanded.join(roots, F.col("gid") == F.col("node"), "left").select(
@@ -391,7 +401,10 @@ def _cross_pairs(postings: DataFrame, members: DataFrame, roots: DataFrame, bitm
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))) & _may_link("x", "y", percent)
             & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False)))
-    return x.join(y, near).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    pairs = x.join(y, near).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    pairs = staged(pairs.join(known, ["a", "b"], "left_anti"), "join-pairs")
+    discard(rooted)
+    return pairs
 
 
 def _labelled(base: DataFrame, roots: DataFrame) -> DataFrame:
