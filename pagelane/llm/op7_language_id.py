@@ -110,7 +110,7 @@ class OneVersusOne:
         for i, a in enumerate(classes):
             for j in range(i + 1, len(classes)):
                 rows = (labels == a) | (labels == classes[j])
-                weights.append(train_svm(x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32)))
+                weights.append(train_svm(x if rows.all() else x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32)))
                 self.pairs.append((i, j))
         self.weights = np.array(weights, np.float32)
 
@@ -230,8 +230,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = sample.filter("x IS NOT NULL").toPandas().sort_values(["lang", "x"])
     if not len(found):
         return LanguageModel(np.empty((0, FEATURES), np.float32), np.empty(0, object))
-    x = np.stack([np.frombuffer(b, np.float16) for b in found["x"]]).astype(np.float32)
-    return LanguageModel(x, found["lang"].to_numpy(object))
+    names, vectors = found["lang"].to_numpy(object), found["x"].tolist()
+    del found  # the driver holds the sample once, and one vector more
+    x = np.empty((len(vectors), FEATURES), np.float32)
+    for i in range(len(vectors)):
+        x[i], vectors[i] = np.frombuffer(vectors[i], np.float16), None
+    return LanguageModel(x, names)
 
 
 def _predict(model):
