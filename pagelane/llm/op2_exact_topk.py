@@ -248,8 +248,8 @@ def _block(space, reaches: dict[int, float], trees: dict[int, int], k: int):
         reach = at.reach(q, first)
         away = at.to_queries(q, at.pivots)
         wanted = [p * 2**32 + t for p, radius in reaches.items() if (away[:, p] - radius <= reach + at.slack).any() for t in range(trees[p])]
-        return pd.DataFrame([(int(rows["block"].iloc[0]), ids.tobytes(), q.tobytes(), first.tobytes(), wanted)],
-                            columns=["block", "q_ids", "q", "first", "wanted"])
+        return pd.DataFrame([(int(rows["block"].iloc[0]), ids.tobytes(), *_small(q), first.tobytes(), wanted)],
+                            columns=["block", "q_ids", "q_kind", "q", "first", "wanted"])
     return run
 
 
@@ -262,8 +262,8 @@ def _search(space, k: int):
                 value = {name: column[i].as_py() for name, column in names.items()}
                 query_ids = np.frombuffer(value["q_ids"], np.int64)
                 tree = Tree.of(at.dim, [value[f] for f in (*Tree.FIELDS, "kind", "vectors", "objects", "root")])
-                found = search(at, tree, query_ids, np.frombuffer(value["q"], np.int64).reshape(-1, at.dim),
-                               np.frombuffer(value["first"], np.float64), k)
+                queries = np.frombuffer(value["q"], value["q_kind"]).reshape(-1, at.dim).astype(np.int64)
+                found = search(at, tree, query_ids, queries, np.frombuffer(value["first"], np.float64), k)
                 if found:
                     number, ids, scores = zip(*found)
                     number = np.array(number, np.int64)
@@ -274,6 +274,17 @@ def _search(space, k: int):
     return run
 
 
+def _sample(rows: DataFrame) -> DataFrame:
+    """The ``SAMPLE_ROWS`` rows with the smallest hashes, in their order.
+
+    Tasks send hashes only, of which the last one cuts off; taken with their vectors, each task's first rows would go to the driver.
+    """
+    hashed = rows.select(F.xxhash64("vec_id", "v").alias("hash"), "vec_id", "v")
+    last = hashed.select("hash").orderBy("hash").limit(SAMPLE_ROWS).agg(F.max("hash")).first()[0]
+    taken = staged(hashed.filter(F.col("hash") <= last).orderBy("hash", "vec_id").limit(SAMPLE_ROWS), "topk-sample")
+    return taken.orderBy("hash", "vec_id").select("vec_id", "v")
+
+
 def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col: str = "vec_id", vector_col: str = "embedding",
           scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``query_step``."""
@@ -284,7 +295,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col:
     if not stats["n"] or not stats["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, stats["dim"])
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").toPandas()
+    sample = _sample(rows).toPandas()
     space = spark.sparkContext.broadcast(Space(dim, max(1.0, stats["limit"] * (1 + 1e-9)), sample["vec_id"].to_numpy(np.int64), _matrix(sample["v"], dim),
                                                min(MAX_PIVOTS, -(-stats["n"] // TREE_ROWS))))
 
@@ -298,9 +309,10 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col:
     n_blocks = -(-stats["queries"] // BLOCK_ROWS)
     queries = rows.filter(F.col("vec_id") % query_step == 0).select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).alias("block"))
     reaches = {p: r["away"] for p, r in pivots.items()}
-    blocks = staged(queries.groupBy("block").applyInPandas(_block(space, reaches, trees, k), "block long, q_ids binary, q binary, first binary, wanted array<long>"),
+    blocks = staged(queries.groupBy("block").applyInPandas(_block(space, reaches, trees, k), "block long, q_ids binary, q_kind string, q binary, first binary, wanted array<long>"),
                     "topk-blocks")
-    pairs = blocks.select("block", "q_ids", "q", "first", F.explode("wanted").alias("tree")).join(index, "tree")
+    # Both sides are shuffled: the planner takes a block for as small as its file, though there is one for each tree.
+    pairs = blocks.select("block", "q_ids", "q_kind", "q", "first", F.explode("wanted").alias("tree")).join(index.hint("merge"), "tree")
     long = space.value.limit < EXACT_LONGS
     found = pairs.mapInArrow(_search(space, k), f"query long, query_id long, vec_id long, score {'long' if long else 'decimal(38,0)'}")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
